@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hidden
+from .common import hidden, slices
 
 SPLIT_CHARS = 1 << 16
 LEAF_CHARS = 1 << 14
@@ -184,7 +184,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", split
 
     def short(batches):
         c = codec(path)
-        for b in batches:
+        for b in slices(batches):
             rows = [c.encode(t or "") for t in b.column(position).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, as_column(rows)], [*b.schema.names, ids])
 
@@ -197,7 +197,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", split
 
     def encode_leaves(batches):
         c = codec(path)
-        for b in batches:
+        for b in slices(batches):
             rows = [[c.special[p]] if s % 2 else c.plain(p) for s, p in zip(b.column("segment").to_pylist(), b.column("part").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([_packed(r) for r in rows], pa.binary())], [*b.schema.names, "tokens"])
 
@@ -228,7 +228,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded", pa
 
     def run(batches):
         c = codec(path)
-        for b in batches:
+        for b in slices(batches):
             column = b.column(position).to_pylist() if packed else [None if x is None else x.values.to_numpy(False) for x in b.column(position)]
             texts = [c.decode(np.frombuffer(x or b"", "<u4") if packed else [] if x is None else x) for x in column]
             keep = [i for i in range(b.num_columns) if i != position]

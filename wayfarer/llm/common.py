@@ -112,3 +112,11 @@ def range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     total = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * up, out=total[1:])
     return mix((total[ends] - total[starts]) * down[starts])
+
+
+def slices(batches, n_bytes: int = 1 << 20):
+    """Arrow batches cut into runs of rows of about n_bytes, so that what Python makes of one stays small."""
+    for b in batches:
+        step = max(1, int(b.num_rows * n_bytes / max(b.nbytes, 1)))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
