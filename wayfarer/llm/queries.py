@@ -5,17 +5,40 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, fingerprints, langid, mixing, pii
 from .common import documents
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_pii(spark, sf_dir):
+    found = pii.find(documents(spark, sf_dir).select("doc_id", "text"), with_text=False)
+    line = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    is_kind = lambda k: lambda s: s["kind"] == k
+    counts = [F.size(F.filter("base_spans", is_kind(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(line("base_spans").cast("binary"), 256).alias("base_sha256"), line("pii_spans").alias("spans"))
+
+
+def op2_mixing(spark, sf_dir):
+    mixed = mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "source", "mix_tokens", F.round("mix_weight", 9).alias("mix_weight"), "mix_copies", "mix_block", "mix_place")
+
+
+def op3_fingerprints(spark, sf_dir):
+    return fingerprints.fingerprint_edits(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op4_bpe(spark, sf_dir):
     ids = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), VOCABULARY, packed=True)
     ids = ids.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids")
     return bpe.decode(ids, VOCABULARY, packed=True).select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op4_bpe": op4_bpe}
-ORACLES: dict[str, str] = {}
+def op6_language(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    model = langid.train_on_folds(docs.select("doc_id", "text", "lang"))
+    return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {"op1_pii": op1_pii, "op2_mixing": op2_mixing, "op3_fingerprints": op3_fingerprints, "op4_bpe": op4_bpe, "op6_language": op6_language}
+ORACLES = {"op2_mixing": mixing.ORACLE}
