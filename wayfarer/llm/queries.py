@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, langid, mixing, pii
+from . import bpe, fingerprints, jaccard, langid, lpf, mixing, pii, recompress
 from .common import documents
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -34,11 +34,25 @@ def op4_bpe(spark, sf_dir):
     return bpe.decode(ids, VOCABULARY, packed=True).select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op5_recompression(spark, sf_dir):
+    kept = recompress.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_language(spark, sf_dir):
     docs = documents(spark, sf_dir)
     model = langid.train_on_folds(docs.select("doc_id", "text", "lang"))
     return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_mixing": op2_mixing, "op3_fingerprints": op3_fingerprints, "op4_bpe": op4_bpe, "op6_language": op6_language}
-ORACLES = {"op2_mixing": mixing.ORACLE}
+def op7_jaccard(spark, sf_dir):
+    return jaccard.jaccard_components(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def op9_suffixes(spark, sf_dir):
+    kept = lpf.remove_earlier(documents(spark, sf_dir).select("doc_id", "text"))
+    return kept.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_mixing, op3_fingerprints, op4_bpe, op5_recompression, op6_language, op7_jaccard, op9_suffixes)}
+ORACLES = {"op2_mixing": mixing.ORACLE, "op5_recompression": recompress.ORACLE, "op7_jaccard": jaccard.ORACLE}
