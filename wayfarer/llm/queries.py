@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, jaccard, langid, lpf, mixing, pii, recompress
+from . import bpe, fingerprints, jaccard, langid, lpf, mixing, pii, recompress, topk, toxicity
 from .common import documents
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -49,10 +49,21 @@ def op7_jaccard(spark, sf_dir):
     return jaccard.jaccard_components(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op8_topk(spark, sf_dir):
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), is_query=lambda i: F.col(i) % 100 == 0)
+
+
 def op9_suffixes(spark, sf_dir):
     kept = lpf.remove_earlier(documents(spark, sf_dir).select("doc_id", "text"))
     return kept.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_mixing, op3_fingerprints, op4_bpe, op5_recompression, op6_language, op7_jaccard, op9_suffixes)}
-ORACLES = {"op2_mixing": mixing.ORACLE, "op5_recompression": recompress.ORACLE, "op7_jaccard": jaccard.ORACLE}
+def op10_toxicity(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").where(~toxicity.held_out())
+    model = toxicity.train(docs, labels)
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_mixing, op3_fingerprints, op4_bpe, op5_recompression, op6_language, op7_jaccard, op8_topk, op9_suffixes, op10_toxicity)}
+ORACLES = {"op2_mixing": mixing.ORACLE, "op5_recompression": recompress.ORACLE, "op7_jaccard": jaccard.ORACLE, "op8_topk": topk.ORACLE}
