@@ -65,5 +65,11 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_mixing, op3_fingerprints, op4_bpe, op5_recompression, op6_language, op7_jaccard, op8_topk, op9_suffixes, op10_toxicity)}
+def pipeline(spark, sf_dir):
+    import corpus_pipeline  # which imports this module
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_mixing, op3_fingerprints, op4_bpe, op5_recompression, op6_language, op7_jaccard, op8_topk, op9_suffixes, op10_toxicity, pipeline)}
 ORACLES = {"op2_mixing": mixing.ORACLE, "op5_recompression": recompress.ORACLE, "op7_jaccard": jaccard.ORACLE, "op8_topk": topk.ORACLE}
