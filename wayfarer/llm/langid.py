@@ -18,6 +18,7 @@ from .common import fold, slices
 GRAM_BITS = 16
 SMOOTHING = 0.5
 ROUNDS = 15
+TOLERANCE = 1e-3
 #: Languages of a document at most are as many as are learned; each beyond the first must add this much log-likelihood, besides half the log of the number of words.
 PENALTY = 6.0
 #: The model is fitted on at most about so many labelled documents, by a hash of id and text.
@@ -53,49 +54,60 @@ class Model:
     def __init__(self, langs: list[str], counts: np.ndarray):
         self.langs = langs
         p = counts + SMOOTHING
-        self.logs = np.log(p / p.sum(1, keepdims=True)).T.astype(np.float32).copy()  # gram, language
+        self.logs = np.log(p / p.sum(1, keepdims=True)).astype(np.float32)  # language, gram
 
     def predict(self, texts: list[str]) -> list[tuple[list[int], list[float], float]]:
-        """For each text, which must have a letter: its languages by falling proportion, the proportions, and a score in 0 to 1."""
+        """For each text, which must have a letter: its languages by falling proportion, the proportions, and a score in 0 to 1.
+
+        A document's rounds end once no proportion moves by TOLERANCE, whatever documents stand beside it.
+        """
         codes, words, docs = grams(texts)
         n_docs, n_langs = len(texts), len(self.langs)
-        sums = np.add.reduceat(self.logs[codes], words, axis=0).astype(np.float64)
-        size = np.diff(np.append(docs, len(words)))
-        doc = np.repeat(np.arange(n_docs), size)
-        top = sums.max(1)
-        like = np.exp(sums - top[:, None])
-
-        def fit(allowed: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-            share = allowed / allowed.sum(1, keepdims=True)
-            for _ in range(rounds):
-                r = share[doc] * like
-                r /= r.sum(1, keepdims=True) + 1e-300
-                share = np.add.reduceat(r, docs, axis=0) / size[:, None]
-            level = np.log((share[doc] * like).sum(1) + 1e-300) + top
-            return share, np.add.reduceat(level, docs)
-
-        share, _ = fit(np.ones((n_docs, n_langs)), ROUNDS)
-        single = np.add.reduceat(sums, docs, axis=0)
-        order = np.argsort(-share, axis=1, kind="stable")
-        best_one = single.argmax(1)
-        best = single.max(1)
-        chosen = np.zeros((n_docs, n_langs))
-        chosen[np.arange(n_docs), best_one] = 1
+        sums = np.stack([np.add.reduceat(row[codes], words) for row in self.logs])  # language, word
+        size = np.diff(np.append(docs, sums.shape[1]))
+        top = sums.max(0)
+        like = np.exp(sums - top)
+        base = np.add.reduceat(top.astype(np.float64), docs)
+
+        def fit(allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Proportions (language, document) and log-likelihoods over the allowed languages."""
+            share = (allowed / allowed.sum(0)).astype(np.float32)
+            left, x, n = np.arange(n_docs), like, size
+            for _ in range(ROUNDS):
+                at = np.cumsum(n) - n
+                r = np.repeat(share[:, left], n, axis=1) * x
+                r /= r.sum(0) + np.float32(1e-30)
+                new = np.add.reduceat(r, at, axis=1) / n
+                moves = np.abs(new - share[:, left]).max(0) > TOLERANCE
+                share[:, left] = new
+                if not moves.any():
+                    break
+                if not moves.all():
+                    x, left, n = x[:, np.repeat(moves, n)], left[moves], n[moves]
+            level = np.log((np.repeat(share, size, axis=1) * like).sum(0) + np.float32(1e-30))
+            return share, np.add.reduceat(level.astype(np.float64), docs) + base
+
+        share, _ = fit(np.ones((n_langs, n_docs)))
+        single = np.stack([np.add.reduceat(row.astype(np.float64), docs) for row in sums])
+        order = np.argsort(-share, axis=0, kind="stable")
+        best = single.max(0)
+        chosen = np.zeros((n_langs, n_docs))
+        chosen[single.argmax(0), np.arange(n_docs)] = 1
+        better = np.ones(n_docs, bool)  # a set grows as long as each further language pays
         for k in range(2, n_langs + 1):
-            allowed = np.zeros((n_docs, n_langs))
-            np.put_along_axis(allowed, order[:, :k], 1, axis=1)
-            s, level = fit(allowed, ROUNDS)
+            allowed = np.zeros((n_langs, n_docs))
+            np.put_along_axis(allowed, order[:k], 1, axis=0)
+            s, level = fit(allowed)
             level -= (k - 1) * (PENALTY + 0.5 * np.log(size))
-            better = level > best
-            best[better], chosen[better] = level[better], s[better]
+            better &= level > best
+            best[better], chosen[:, better] = level[better], s[:, better]
             if not better.any():
                 break
-        spread = np.exp(single - single.max(1, keepdims=True))
-        sure = 1 / spread.sum(1)
+        sure = 1 / np.exp(single - single.max(0)).sum(0)
         out = []
         for d in range(n_docs):
-            rank = [int(i) for i in np.argsort(-chosen[d], kind="stable") if chosen[d, i] > 0]
-            out.append((rank, [float(chosen[d, i]) for i in rank], float(min(1.0, chosen[d, rank[0]] * (sure[d] if len(rank) == 1 else 1.0)))))
+            rank = [int(i) for i in np.argsort(-chosen[:, d], kind="stable") if chosen[i, d] > 0]
+            out.append((rank, [float(chosen[i, d]) for i in rank], float(min(1.0, chosen[rank[0], d] * (sure[d] if len(rank) == 1 else 1.0)))))
         return out
 
 
