@@ -1,0 +1,10 @@
+"""Schemas of the index's tables."""
+
+GEOMETRY = "x float, y float, a float, b float, c float"
+FEATURES = f"image_id int, feature_id int, {GEOMETRY}, proj array<float>, words array<long>"
+POSTINGS = f"word_id long, posting_id long, image_id int, {GEOMETRY}, code long, sigma_final int"
+WORD_MODEL = "word_id long, thresholds array<float>, v double, initialized boolean"
+WORD_SIGMA = "word_id long, s int, byte int, sigma int"
+MATCHES = "query_id int, image_id int, feature_id int, word_id long, posting_id long, weight double"
+RANKINGS = "query_id int, scheme string, rank int, image_id int, score double"
+SCHEMES = ("retrieval", "inlier_count", "effective_inlier_count", "inter_image_geometric_burstiness", "inter_place_geometric_burstiness", "inter_place_popularity_geometric_burstiness")
