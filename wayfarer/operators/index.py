@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import Steps
 from . import density
 from .features import binarize, word_model
 
@@ -49,11 +50,16 @@ def checked(features: DataFrame, words: int) -> DataFrame:
 
 
 def finalize(postings: DataFrame, model: DataFrame) -> Index:
-    """Densities, idf and norms depend on all postings and are worked out anew after each change."""
-    sigma, v = density.learn(postings)
-    whole = density.with_sigma(postings.drop("sigma_final"), sigma, v)
-    weights = idf(whole, model.select("word_id"))
-    return Index(whole, model.drop("v").join(v, "word_id", "left").fillna(0.0, ["v"]), weights, image_norms(whole, weights))
+    """Densities, idf and norms depend on all postings and are worked out anew after each change. All tables are written to the shared folder."""
+    steps = Steps(postings.sparkSession, "index")
+    coded = steps.write(postings.drop("sigma_final"))
+    sigma, v = density.learn(coded)
+    v = steps.write(v)
+    whole = steps.write(density.with_sigma(coded, sigma, v))
+    words = steps.write(model.drop("v").join(v, "word_id", "left").fillna(0.0, ["v"]))
+    weights = steps.write(idf(whole, words.select("word_id")))
+    steps.drop(coded)
+    return Index(whole, words, weights, steps.write(image_norms(whole, weights)))
 
 
 def build(features: DataFrame, thresholds: DataFrame, words: int) -> Index:

@@ -58,7 +58,6 @@ def top_images(scores: DataFrame, k: int = TOP) -> DataFrame:
     return scores.withColumn("retrieval_rank", F.row_number().over(order)).where(F.col("retrieval_rank") <= k)
 
 
-def retrieve(query: DataFrame, index: Index, k: int = TOP) -> tuple[DataFrame, DataFrame]:
-    """The best images of each query and the votes, whose weights times squared idf are those of the matches."""
-    voted = votes(query, index)
-    return top_images(image_scores(burst_normalized(voted), query, index), k), voted
+def best(voted: DataFrame, query: DataFrame, index: Index, k: int = TOP) -> DataFrame:
+    """The k best images of each query by its votes."""
+    return top_images(image_scores(burst_normalized(voted), query, index), k)

@@ -10,6 +10,7 @@ from ..operators import features as O
 from ..operators import index as I
 from ..operators import rank, retrieve, verify, vocab
 from ..sources import features as S
+from ..sources.store import Steps
 
 NEAREST = 5
 
@@ -45,6 +46,9 @@ def compute_index_weights(index: I.Index) -> tuple[DataFrame, DataFrame]:
 
 def query(index: I.Index, queries: DataFrame, positions: DataFrame, k: int = retrieve.TOP, model: str = "affine", matching: str = "all") -> DataFrame:
     """All six rankings of query features (query_id, feature_id, x, y, a, b, c, proj, words)."""
-    top, voted = retrieve.retrieve(queries, index, k)
-    verified = verify.verify(verify.matches_of(top, voted, index.idf), model, matching)
+    steps = Steps(queries.sparkSession, "query")
+    voted = steps.write(retrieve.votes(queries, index))
+    top = steps.write(retrieve.best(voted, queries, index, k))
+    verified = steps.write(verify.verify(verify.matches_of(top, voted, index.idf), model, matching))
+    steps.drop(voted)
     return rank.rankings(top, verified, positions)

@@ -231,7 +231,7 @@ def order_norms(spark, sf):
 
 def _matches(spark, sf):
     own, asked, voted = T.votes(spark, sf)
-    top = retrieve.top_images(retrieve.image_scores(retrieve.burst_normalized(voted), asked, own))
+    top = retrieve.best(voted, asked, own)
     return verify.matches_of(top, voted, own.idf)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import features as O
 from ..operators import index as I
 from ..operators import retrieve
+from ..sources.store import Steps
 
 #: Geometry of a feature from its number; all values are exact in single precision.
 GEOMETRY = {"x": "vec_id * 37 % 640", "y": "vec_id * 53 % 480", "a": "1 + vec_id % 7 * 0.25", "b": "vec_id % 5 * 0.125", "c": "1 + vec_id % 3 * 0.5"}
@@ -49,18 +50,18 @@ def index(spark: SparkSession, sf: str) -> I.Index:
 def votes(spark: SparkSession, sf: str) -> tuple[I.Index, DataFrame, DataFrame]:
     """The index, the query features and their votes."""
     own, asked = index(spark, sf), queries(spark, sf)
-    return own, asked, retrieve.votes(asked, own)
+    return own, asked, Steps(spark, "votes").write(retrieve.votes(asked, own))
 
 
 def top(spark: SparkSession, sf: str) -> DataFrame:
     own, asked, voted = votes(spark, sf)
-    return retrieve.top_images(retrieve.image_scores(retrieve.burst_normalized(voted), asked, own))
+    return retrieve.best(voted, asked, own)
 
 
 def verified(spark: SparkSession, sf: str) -> DataFrame:
     """Stands in for verified images: each retrieved image with the query features that vote for it as its inliers."""
     own, asked, voted = votes(spark, sf)
-    ranked = retrieve.top_images(retrieve.image_scores(retrieve.burst_normalized(voted), asked, own))
+    ranked = retrieve.best(voted, asked, own)
     inliers = voted.groupBy("query_id", "image_id").agg(F.sort_array(F.collect_set("feature_id")).alias("inlier_feature_ids"))
     return ranked.join(inliers, ["query_id", "image_id"]).withColumn("num_inliers", F.size("inlier_feature_ids"))
 
