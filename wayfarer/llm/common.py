@@ -1,58 +1,19 @@
-"""Shared folder, materialised steps and hashing that the operators have in common."""
+"""Tables, folds and hashing that the operators have in common."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import Steps, shared_dir
+
 #: Odd multipliers of the polynomial and finalising hashes (fixed values).
 MULTIPLIER = 0x9E3779B97F4A7C15
 MIX_1 = 0xBF58476D1CE4E5B9
 MIX_2 = 0x94D049BB133111EB
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it.
-
-    Only where spark.checkpoint.dir is unset and Spark runs in this one process is a folder made here.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="wayfarer-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-class Steps:
-    """Intermediate tables in the shared folder; each cuts the lineage and outlives lost executors."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.base = f"{shared_dir(spark)}/wayfarer-{name}-{uuid.uuid4().hex}"
-        self.count = 0
-
-    def write(self, df: DataFrame) -> DataFrame:
-        path = f"{self.base}/{self.count}"
-        self.count += 1
-        df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._step = path
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        """Deletes tables that no later step reads."""
-        jvm = self.spark._jvm
-        conf = self.spark._jsc.hadoopConfiguration()
-        for df in tables:
-            path = jvm.org.apache.hadoop.fs.Path(df._step)
-            path.getFileSystem(conf).delete(path, True)
-
+__all__ = ["MULTIPLIER", "POWERS", "Powers", "Steps", "documents", "fold", "hidden", "mix", "range_hash", "shared_dir", "slices", "table_of_bytes"]
 
 def hidden(df: DataFrame, name: str) -> str:
     """A column name that the table doesn't have, in any case."""

@@ -34,37 +34,67 @@ def smallest(keys: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(keys[: len(keys) - (n - have)], keys[n - have :]) if have < n else keys
 
 
+def prefix_sums(text: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(text) + 1, np.uint64)
+    np.cumsum(LETTERS[text] * POWERS.get(len(text))[0], out=total[1:])
+    return total
+
+
 def segment_anchors(text: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """For each window of the text the position of its anchor, and the hash of the gram at each position."""
-    up, down = POWERS.get(len(text))
-    total = np.zeros(len(text) + 1, np.uint64)
-    np.cumsum(LETTERS[text] * up, out=total[1:])
-    h = mix((total[gram:] - total[:-gram]) * down[: len(text) - gram + 1])
+    total = prefix_sums(text)
+    h = total[gram:] - total[:-gram]
+    h *= POWERS.get(len(text))[1][: len(h)]
+    h = mix(h)
     low = np.uint64(0xFFFFFFFF)
-    keys = (h & ~low) | np.arange(len(h), dtype=np.uint64)
-    return (smallest(keys, window - gram + 1) & low).astype(np.int64), h
+    keys = h & ~low
+    keys |= np.arange(len(h), dtype=np.uint64)
+    return smallest(keys, window - gram + 1).astype(np.uint32), h
+
+
+def segments(block: B.Block, overlap: int):
+    """Parts of a block's text, so that one very long text needs no more memory than many short ones."""
+    text = np.frombuffer(block.text, np.uint8)
+    for a in range(0, max(0, len(text) - overlap), SEGMENT):
+        yield a, text[a : a + SEGMENT + overlap]
 
 
 def block_runs(window: int, gram: int):
     def runs_of(block: B.Block) -> W.Runs:
-        """Runs of windows, found in segments so that one very long text needs no more memory than many short ones."""
-        text = np.frombuffer(block.text, np.uint8)
+        """Runs of the block's windows."""
         found = []
-        for a in range(0, len(text) - window + 1, SEGMENT):
-            part = text[a : a + SEGMENT + window - 1]
+        for a, part in segments(block, window - 1):
             anchor, h = segment_anchors(part, window, gram)
-            s = np.arange(a, a + len(anchor))
-            doc = np.searchsorted(block.ends, s, "right")
-            runs = W.runs_in_order(anchor, s + window <= block.ends[doc], doc, h)
-            runs.first = runs.first + a
+            stop = np.clip(block.ends - a, 0, len(anchor))
+            doc = np.repeat(np.arange(len(stop), dtype=np.int32), np.diff(stop, prepend=0))
+            valid = np.zeros(len(anchor) + 1, np.int8)  # windows that end within their document
+            begin, end = np.clip(block.starts - a, 0, len(anchor)), np.clip(block.ends - a - window + 1, 0, len(anchor))
+            some = begin < end
+            np.add.at(valid, begin[some], 1)
+            np.add.at(valid, end[some], -1)
+            runs = W.runs_in_order(anchor, np.cumsum(valid[:-1], dtype=np.int8) > 0, doc, h)
+            runs.first, runs.place = runs.first + a, runs.place + a
             found.append(runs)
-        if not found:
-            return W.runs_in_order(np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.uint64))
-        return W.Runs(*(np.concatenate([getattr(r, n) for r in found]) for n in ("keys", "first", "count", "doc")))
+        return W.Runs.joined(found)
 
     return runs_of
 
 
+def name_of(block: B.Block):
+    """Hashes of bytes [a, b) of the block, which lie within one text."""
+    text = np.frombuffer(block.text, np.uint8)
+
+    def name(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(a), np.uint64)
+        at = np.arange(int((b - a).max(initial=0)))
+        for k in range(0, len(a), 1 << 16):
+            part = LETTERS[text[a[k : k + (1 << 16), None] + at]]
+            out[k : k + (1 << 16)] = mix((part * POWERS.get(len(at))[0]).sum(1, dtype=np.uint64))
+        return out
+
+    return name
+
+
 def suffix_runs(contexts: list[bytes], ids: np.ndarray, count: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """For each window of the contexts the id at the start of its run of neighbours in suffix order."""
     if not len(count) or not count.sum():
@@ -89,7 +119,7 @@ def suffix_runs(contexts: list[bytes], ids: np.ndarray, count: np.ndarray, windo
     return out
 
 
-def remove_earlier(df: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, gram: int = GRAM, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+def remove_earlier(df: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, gram: int = GRAM, block_bytes: int = B.BLOCK_BYTES, hot: int = W.HOT) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, kept (bytes), spans (of removed bytes, maximal, ends exclusive).
 
     Every byte covered by a string of `window` bytes that also starts in a document of smaller id goes; the first document keeps it.
@@ -102,7 +132,7 @@ def remove_earlier(df: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
     total = packed.agg(F.sum("bytes").alias("n")).first().n or 0
     contexts_of = lambda block, runs: [block.text[a : a + n + window - 1] for a, n in zip(runs.first.tolist(), runs.count.tolist(), strict=True)]
     windows_in = lambda contexts: np.array([len(c) - window + 1 for c in contexts], np.int64)
-    removed = W.earlier(packed, steps, block_runs(window, gram), contexts_of, windows_in, lambda c, i, n: suffix_runs(c, i, n, window), int(total * 2 / (window - gram + 2)))
+    removed = W.earlier(packed, steps, block_runs(window, gram), contexts_of, windows_in, lambda c, i, n: suffix_runs(c, i, n, window), int(total * 2 / (window - gram + 2)), window // 2, name_of, hot=hot)
 
     def finish(batches):
         for row in B.each_row(batches):
@@ -128,3 +158,24 @@ def remove_earlier(df: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
     types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
     out = packed.join(removed, "block", "left").mapInArrow(finish, "id long, n_bytes long, n_removed long, kept binary, spans array<struct<start:long,end:long>>")
     return out.select(F.when(F.col("id") != B.NULL_ID, F.col("id")).alias("doc_id"), "n_bytes", "n_removed", "kept", "spans")
+
+
+#: The same in SQL, byte by byte in hexadecimal.
+ORACLE = f"""
+with t as (
+  select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents
+), b as (
+  select doc_id, n, i, substr(h, 2 * i + 1, 2) as byte, case when i <= n - {WINDOW} then md5(substr(h, 2 * i + 1, {2 * WINDOW})) end as w from (select *, unnest(range(0, n)) as i from t) x
+), first as (
+  select w, min(doc_id) as doc_id from b where w is not null group by w
+), gone as (
+  select b.doc_id, n, i, byte, coalesce(max(case when first.doc_id < b.doc_id then i end) over (partition by b.doc_id order by i) >= i - {WINDOW} + 1, false) as gone
+  from b left join first on b.w = first.w
+), spans as (
+  select *, gone and not coalesce(lag(gone) over (partition by doc_id order by i), false) as starts from gone
+), sums as (
+  select doc_id, count(*) filter (where gone) as n_removed, count(*) filter (where starts) as n_spans, string_agg(byte, '' order by i) filter (where not gone) as kept from spans group by doc_id
+)
+select t.doc_id, t.n::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept, ''))) as kept_sha256
+from t left join sums using (doc_id)
+"""

@@ -72,4 +72,4 @@ def pipeline(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_mixing, op3_fingerprints, op4_bpe, op5_recompression, op6_language, op7_jaccard, op8_topk, op9_suffixes, op10_toxicity, pipeline)}
-ORACLES = {"op2_mixing": mixing.ORACLE, "op5_recompression": recompress.ORACLE, "op7_jaccard": jaccard.ORACLE, "op8_topk": topk.ORACLE}
+ORACLES = {"op2_mixing": mixing.ORACLE, "op5_recompression": recompress.ORACLE, "op7_jaccard": jaccard.ORACLE, "op8_topk": topk.ORACLE, "op9_suffixes": lpf.ORACLE}

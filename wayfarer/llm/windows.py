@@ -1,9 +1,10 @@
 """Which windows of a document occur earlier: the exchange that both kinds of substring removal share.
 
 An operator names, for every window, one anchor inside it that depends on the window's content alone. Windows in
-a row with the same anchor make a run; its context is all they cover. Contexts whose anchor is shared meet in the
-anchor's bucket, each distinct one once a block, with the smallest id that has it there. The bucket answers, for
-each window of each context, with the smallest id of all that contain it.
+a row with the same anchor make a run; its context is what tells them apart, the bytes that they cover or their
+names. Contexts whose anchor is shared meet in the anchor's bucket, each distinct one once a block, with the smallest
+id that has it there, and the places that ask. The bucket finds, for each window of each context, the smallest id of
+all that contain it, and names the windows of larger ids.
 """
 
 from __future__ import annotations
@@ -14,30 +15,55 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import Steps
+from .common import Steps, mix
 
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 1 << 21
+#: An anchor that so many blocks have is hot: its windows are told apart further before they meet.
+HOT = 24
 
 
 class Runs:
-    """Runs of windows of a block: the anchor's key, the first window, how many, and the document's place in the block."""
+    """Runs of windows of a block: the anchor's key, the first window, how many, the document's place in the block, and where the anchor stands."""
 
-    def __init__(self, keys: np.ndarray, first: np.ndarray, count: np.ndarray, doc: np.ndarray):
-        self.keys, self.first, self.count, self.doc = keys, first, count, doc
-
-    def take(self, which: np.ndarray) -> Runs:
-        return Runs(self.keys[which], self.first[which], self.count[which], self.doc[which])
+    NAMES = ("keys", "first", "count", "doc", "place")
 
+    def __init__(self, keys: np.ndarray, first: np.ndarray, count: np.ndarray, doc: np.ndarray, place: np.ndarray):
+        self.keys, self.first, self.count, self.doc, self.place = keys, first, count, doc, place
 
-def runs_in_order(anchor: np.ndarray, valid: np.ndarray, doc: np.ndarray, keys: np.ndarray) -> Runs:
-    """Runs from each window's anchor position, whether it is a window at all, its document, and the anchors' keys by position."""
-    at = np.flatnonzero(valid)
-    if not len(at):
+    @classmethod
+    def joined(cls, parts: list[Runs]) -> Runs:
         none = np.zeros(0, np.int64)
-        return Runs(np.zeros(0, np.uint64), none, none, none)
-    a, d = anchor[at], doc[at]
-    new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (d[1:] != d[:-1]) | (at[1:] != at[:-1] + 1)]))
-    return Runs(keys[a[new]], at[new], np.diff(np.append(new, len(at))), d[new])
+        return cls(*(np.concatenate([getattr(p, n) for p in parts]) if parts else none.astype(np.uint64 if n == "keys" else np.int64) for n in cls.NAMES))
+
+    def take(self, which: np.ndarray) -> Runs:
+        return Runs(*(getattr(self, n)[which] for n in self.NAMES))
+
+    def split(self, hot: np.ndarray, half: int, name) -> Runs:
+        """Hot anchors' runs in two, each under a key of its own: of the `half` units before the anchor where windows hold these, else of those from the anchor on.
+
+        Either lies within the window, so that equal windows still meet, but the many surroundings of a common passage don't.
+        """
+        if not hot.any():
+            return self
+        rest, own = self.take(~hot), self.take(hot)
+        n = np.clip(own.place - half - own.first + 1, 0, own.count)  # windows that begin `half` units before the anchor, or more
+        before = Runs(own.keys, own.first, n, own.doc, own.place).take(n > 0)
+        after = Runs(own.keys, own.first + n, own.count - n, own.doc, own.place).take(n < own.count)
+        before.keys = mix(before.keys ^ name(before.place - half, before.place))
+        after.keys = mix(after.keys + name(after.place, after.place + half))
+        return Runs.joined([rest, before, after])
+
+
+def runs_in_order(anchor: np.ndarray, valid: np.ndarray, doc: np.ndarray, keys: np.ndarray, places: np.ndarray | None = None) -> Runs:
+    """Runs from each window's anchor, whether it is a window at all, its document, and the anchors' keys and places (by default, what the anchors are)."""
+    if not len(valid):
+        return Runs.joined([])
+    same = (anchor[1:] == anchor[:-1]) & (doc[1:] == doc[:-1]) & valid[:-1]
+    first = np.flatnonzero(valid & ~np.concatenate([[False], same]))
+    goes_on = np.concatenate([same & valid[1:], [False]])
+    last = np.flatnonzero(valid & ~goes_on)
+    a = anchor[first]
+    return Runs(keys[a], first, last - first + 1, doc[first].astype(np.int64), a.astype(np.int64) if places is None else places[a])
 
 
 def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -60,19 +86,43 @@ def from_runs(blobs: list[bytes] | None) -> np.ndarray:
     return spread(pairs[:, 0], pairs[:, 1])
 
 
-def earlier(packed: DataFrame, steps: Steps, runs_of, contexts_of, windows_in, earliest, anchors: int, names_of=None) -> DataFrame:
+def cut(blob: bytes, lengths: np.ndarray) -> list[bytes]:
+    ends = np.cumsum(lengths).tolist()
+    return [blob[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def merged(rows: list[tuple[list[bytes], list[int]]]) -> tuple[list[bytes], np.ndarray, list[np.ndarray]]:
+    """Distinct contexts of several lists, the smallest id of each, and for each list which of them its contexts are."""
+    seen: dict[bytes, int] = {}
+    least: list[int] = []
+    which = []
+    for contexts, ids in rows:
+        own = []
+        for c, i in zip(contexts, ids, strict=True):
+            k = seen.setdefault(c, len(least))
+            if k == len(least):
+                least.append(i)
+            elif i < least[k]:
+                least[k] = i
+            own.append(k)
+        which.append(np.array(own, np.int64))
+    return list(seen), np.array(least, np.int64), which
+
+
+def earlier(packed: DataFrame, steps: Steps, runs_of, contexts_of, windows_in, earliest, anchors: int, half: int, name_of, names_of=None, hot: int = HOT) -> DataFrame:
     """(block, removed): for each block the runs of its windows that occur in a document of smaller id or, with names_of, further up in the same one.
 
     runs_of(block) -> Runs; contexts_of(block, runs) -> the bytes of each; windows_in(contexts) -> how many windows each has;
-    earliest(contexts, ids, counts) -> for all their windows the smallest id; names_of(block) -> a name for each window's content;
-    anchors: about how many runs there are, for the number of buckets.
+    earliest(contexts, ids, counts) -> for all their windows the smallest id; anchors: about how many runs there are, for the number
+    of buckets; half, name_of(block): half a window, and what hashes units [a, b) of the block, for anchors that `hot` blocks have;
+    names_of(block) -> a name for each window's content.
     """
 
     def keys_of(block):
         runs = runs_of(block)
         return B.distinct(runs.keys, np.arange(len(runs.keys)) if names_of else runs.doc)
 
-    counts = B.shared(packed, keys_of, anchors)
+    counts = steps.write(B.shared(packed, keys_of, anchors))
     total = packed.agg(F.sum("bytes").alias("n")).first().n or 0
     n_buckets = max(1, total // BUCKET_BYTES)
 
@@ -81,82 +131,53 @@ def earlier(packed: DataFrame, steps: Steps, runs_of, contexts_of, windows_in, e
             block = B.Block(row)
             runs = runs_of(block)
             met = B.counts_of(row)
-            runs = runs.take(met[np.searchsorted(np.unique(runs.keys), runs.keys)] > 0) if len(runs.keys) else runs
+            if not len(runs.keys):
+                continue
+            met = met[np.searchsorted(np.unique(runs.keys), runs.keys)]
+            runs, met = runs.take(met > 0), met[met > 0]
+            if not len(met):
+                continue
             out = []
-            if names_of and len(runs.keys):
+            if names_of:
                 starts = spread(runs.first, runs.count)
                 name, doc = names_of(block)[starts], np.repeat(runs.doc, runs.count)
                 order = np.lexsort((starts, name, doc))
                 s, n, d = starts[order], name[order], doc[order]
                 again = np.concatenate([[False], (n[1:] == n[:-1]) & (d[1:] == d[:-1])])
-                out.append((-1, row["block"], b"", b"", b"", b"", as_runs(np.sort(s[again]))))
+                out.append((-1, row["block"], *[b""] * 6, as_runs(np.sort(s[again]))))
+            runs = runs.split(met >= hot, half, name_of(block))
             bucket = (runs.keys % np.uint64(n_buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            found = contexts_of(block, runs)
-            ids, first = block.ids[runs.doc].tolist(), runs.first
-            cuts = np.flatnonzero(np.concatenate([[True], bucket[order][1:] != bucket[order][:-1]])) if len(order) else []
-            for a, b in zip(cuts, [*cuts[1:], len(order)], strict=False):
-                seen: dict[bytes, int] = {}
-                least: list[int] = []
-                which = []
-                for k in order[a:b].tolist():
-                    i = seen.setdefault(found[k], len(least))
-                    if i == len(least):
-                        least.append(ids[k])
-                    elif ids[k] < least[i]:
-                        least[i] = ids[k]
-                    which.append(i)
-                occurrences = np.stack([first[order[a:b]], runs.doc[order[a:b]], which], 1).astype("<i8")
-                out.append((int(bucket[order[a]]), row["block"], b"".join(seen), np.array([len(c) for c in seen], "<i4").tobytes(), np.array(least, "<i8").tobytes(), occurrences.tobytes(), b""))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
-
-    names = ["bucket", "block", "contexts", "lengths", "least", "places", "removed"]
-    types = [pa.int64(), pa.int64(), *[pa.binary()] * 5]
-    offers = steps.write(packed.join(counts, "block", "left").mapInArrow(offer, "bucket long, block long, contexts binary, lengths binary, least binary, places binary, removed binary"))
-
-    def split(blob: bytes, lengths: bytes) -> list[bytes]:
-        ends = np.cumsum(np.frombuffer(lengths, "<i4")).tolist()
-        return [blob[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+            found, ids = contexts_of(block, runs), block.ids[runs.doc]
+            cuts = np.flatnonzero(np.concatenate([[True], bucket[order][1:] != bucket[order][:-1]])).tolist()
+            for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
+                own = order[a:b]
+                contexts, least, which = merged([([found[k] for k in own.tolist()], ids[own].tolist())])
+                out.append((int(bucket[own[0]]), row["block"], b"".join(contexts), np.array([len(c) for c in contexts], "<i4").tobytes(), least.astype("<i8").tobytes(), runs.first[own].astype("<i8").tobytes(), ids[own].astype("<i8").tobytes(), which[0].astype("<i4").tobytes(), b""))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+
+    names = ["bucket", "block", "contexts", "lengths", "least", "first", "ids", "which", "removed"]
+    types = [pa.int64(), pa.int64(), *[pa.binary()] * 7]
+    offers = steps.write(packed.join(counts, "block").mapInArrow(offer, ", ".join(f"{n} {'binary' if k > 1 else 'long'}" for k, n in enumerate(names))))
+    steps.drop(counts)
 
     def answer(key, table):
         del key
-        seen: dict[bytes, int] = {}
-        least: list[int] = []
-        rows = []
-        for c, l, m in zip(*(table[n].to_pylist() for n in ("contexts", "lengths", "least")), strict=True):
-            which = []
-            for context, i in zip(split(c, l), np.frombuffer(m, "<i8").tolist(), strict=True):
-                k = seen.setdefault(context, len(least))
-                if k == len(least):
-                    least.append(i)
-                elif i < least[k]:
-                    least[k] = i
-                which.append(k)
-            rows.append(np.array(which, np.int64))
-        contexts = list(seen)
+        rows = [{n: np.frombuffer(r[n], t) for n, t in (("lengths", "<i4"), ("least", "<i8"), ("first", "<i8"), ("ids", "<i8"), ("which", "<i4"))} for r in table.select(names[3:8]).to_pylist()]
+        contexts, least, which = merged([(cut(c, r["lengths"]), r["least"].tolist()) for c, r in zip(table["contexts"].to_pylist(), rows, strict=True)])
         count = windows_in(contexts)
-        found = earliest(contexts, np.array(least, np.int64), count)
         start = np.cumsum(count) - count
-        blobs = [found[spread(start[r], count[r])].astype("<i8").tobytes() for r in rows]
-        sizes = [count[r].astype("<i4").tobytes() for r in rows]
-        return pa.table({"block": table["block"], "bucket": table["bucket"], "found": pa.array(blobs, pa.binary()), "counts": pa.array(sizes, pa.binary())})
-
-    met = offers.where("bucket >= 0")
-    answers = met.select("bucket", "block", "contexts", "lengths", "least").groupBy("bucket").applyInArrow(answer, "block long, bucket long, found binary, counts binary")
-    owners = packed.select("block", "ids")
-
-    def decide(batches):
-        for row in B.each_row(batches):
-            first, doc, which = np.frombuffer(row["places"], "<i8").reshape(-1, 3).T
-            count = np.frombuffer(row["counts"], "<i4").astype(np.int64)
-            start = np.cumsum(count) - count
-            n = count[which]
-            windows = spread(first, n)
-            ids = np.repeat(np.asarray(row["ids"], np.int64)[doc], n)
-            gone = np.frombuffer(row["found"], "<i8")[spread(start[which], n)] < ids
-            yield pa.RecordBatch.from_arrays([pa.array([row["block"]]), pa.array([as_runs(np.sort(windows[gone]))], pa.binary())], ["block", "removed"])
-
-    decided = met.select("bucket", "block", "places").join(answers, ["bucket", "block"]).join(owners, "block").mapInArrow(decide, "block long, removed binary")
+        found = earliest(contexts, least, count)
+        removed = []
+        for r, own in zip(rows, which, strict=True):
+            context = own[r["which"]]
+            n = count[context]
+            gone = found[spread(start[context], n)] < np.repeat(r["ids"], n)
+            removed.append(as_runs(np.sort(spread(r["first"], n)[gone])))
+        return pa.table({"block": table["block"], "removed": pa.array(removed, pa.binary())})
+
+    decided = offers.where("bucket >= 0").select(*names[:8]).groupBy("bucket").applyInArrow(answer, "block long, removed binary")
     local = offers.where("bucket < 0").select("block", "removed")
-    return decided.union(local).groupBy("block").agg(F.collect_list("removed").alias("removed"))
+    removed = steps.write(decided.union(local).groupBy("block").agg(F.collect_list("removed").alias("removed")))
+    steps.drop(offers)
+    return removed
