@@ -90,6 +90,8 @@ def test_rows_of_one_id_nulls_and_no_rows(spark):
     assert got == [(3, 7, 3), (3, 7, 3), (7, 7, 3), (9, 0, 9)]
     assert {r.component_id for r in jaccard.jaccard_components(df).where("n_shingles > 0").collect()} == {None}
     assert jaccard.jaccard_components(df.limit(0)).count() == 0
+    few = spark.createDataFrame([(1, "two words"), (2, "TWO\nwords"), (3, "three")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in jaccard.jaccard_components(few, block_bytes=1).collect()) == [(1, 1), (2, 1), (3, 3)]
 
 
 def test_long_chain(spark):

@@ -60,7 +60,7 @@ def shingles(block: B.Block, words: int = WORDS) -> tuple[np.ndarray, np.ndarray
     size = np.searchsorted(doc, np.arange(len(block.ids)), "right") - first
     n = len(word)
     value, own = np.zeros(n, np.uint64), np.zeros(n, np.int64)
-    for j in range(words):
+    for j in range(min(words, n)):
         m = n - j
         same = doc[:m] == doc[j:]
         value[:m][same] += mix(word[j:] + PLACES[j])[same] * PLACES[64 + j]
@@ -155,7 +155,7 @@ def jaccard_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
         d, k = shingles(block, words)
         return B.distinct(k, d)
 
-    counts = B.shared(packed, keys_of, total // 6)
+    counts = steps.write(B.shared(packed, keys_of, total // 6))
 
     def read(batches):
         for row in B.each_row(batches):
@@ -172,7 +172,7 @@ def jaccard_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
             yield pa.RecordBatch.from_arrays([pa.array(block.ids), pa.array(size, pa.int64()), *[pa.array(s.view(np.int64)) for s in sums], pa.array(rows, pa.binary())], ["id", "n", "h1", "h2", "tokens"])
 
     sets = steps.write(packed.join(counts, "block", "left").mapInArrow(read, "id long, n long, h1 long, h2 long, tokens binary"))
-    steps.drop(packed)
+    steps.drop(packed, counts)
     some = sets.where("tokens is not null")
     reps = steps.write(some.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.first("tokens").alias("tokens")))
 
