@@ -43,8 +43,8 @@ def test_words(spark, seed):
     rows = list(enumerate(texts(seed, 60, ["the", "of", "And", "ünd", "a,"], " ") + ["p\tq\n\n r  s\x0bt\x0cu\rv w " * 3, "   x"]))
     random.Random(1).shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("BLOCK", F.lit(1))
-    for window, rounds in ((8, 1), (20, 2), (20, 3)):
-        got = {r.doc_id: r for r in recompress.remove_repeats(df, window=window, rounds=rounds, block_bytes=700).collect()}
+    for window, rounds, hot in ((8, 1, 2), (20, 2, 24), (20, 3, 3)):
+        got = {r.doc_id: r for r in recompress.remove_repeats(df, window=window, rounds=rounds, block_bytes=700, hot=hot).collect()}
         units = [(i, (t or "").encode().split()) for i, t in rows]
         assert len(got) == len(rows)
         for (i, u), gone in zip(units, brute(units, window, True), strict=True):
@@ -57,8 +57,8 @@ def test_bytes(spark, seed):
     rows = list(enumerate(texts(seed, 60, ["ab", "c", "é", "ddd", "日"], "")))
     random.Random(1).shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids", F.lit(1))
-    for window, gram in ((12, 8), (50, 20)):
-        got = {r.doc_id: r for r in lpf.remove_earlier(df, window=window, gram=gram, block_bytes=700).collect()}
+    for window, gram, hot in ((12, 8, 2), (50, 20, 3), (50, 20, 24)):
+        got = {r.doc_id: r for r in lpf.remove_earlier(df, window=window, gram=gram, block_bytes=700, hot=hot).collect()}
         units = [(i, (t or "").encode()) for i, t in rows]
         for (i, u), gone in zip(units, brute(units, window, False), strict=True):
             r = got[i]
@@ -95,12 +95,12 @@ def test_equal_windows_have_equal_anchors():
     words = [rng.choice("abcd") for _ in range(3000)]
     text = " ".join(words).encode()
     block = blocks.Block({"block": 1, "ids": [1], "ends": [len(text)], "text": text})
-    chosen, names = recompress.anchors(recompress.Words(block), 20, 2)
+    chosen, names, _ = recompress.anchors(recompress.Words(block), 20, 2)
     seen = {}
     for s in range(len(words) - 19):
         assert chosen[s] >= 0 and seen.setdefault(tuple(words[s : s + 20]), names[chosen[s]]) == names[chosen[s]]
     again = b"z y " + text[len(" ".join(words[:1000])) + 1 :] + b" q"
     other = blocks.Block({"block": 2, "ids": [1], "ends": [len(again)], "text": again})
-    chosen2, names2 = recompress.anchors(recompress.Words(other), 20, 2)
+    chosen2, names2, _ = recompress.anchors(recompress.Words(other), 20, 2)
     for s in range(1000, 2900):
         assert names2[chosen2[s - 1000 + 2]] == names[chosen[s]]
