@@ -28,7 +28,7 @@ ORDER = 4
 BITS = 5
 #: The mark that stands before a word.
 BEGIN = 31
-#: Labelled documents that the model sees at most, about, of either label; chosen by a hash of id and text.
+#: Labelled documents that the model sees at most, about, of either label; chosen by a hash of the id.
 TRAINING_DOCS = 2000
 LANDMARKS = 96
 #: Telling fragments by which each toxic document is covered, if it has as many.
@@ -296,15 +296,18 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     Rows without an id, a text or a label are left out; a document with several labels is toxic if one of them says so.
     """
     marks = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("text is not null").join(marks, "id")
-    rows = rows.withColumn("y", (F.col("y") > 0).cast("int")).groupBy("text").agg(F.max("y").alias("y"))
-    rows = rows.withColumn("at", F.pmod(F.xxhash64("text"), F.lit(1 << 30)))
-    n = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    limit = {y: (1 << 30) if c <= training_docs else int(training_docs / c * (1 << 30)) for y, c in n.items()}
-    if len(limit) < 2:
+    at = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    n = {r.y: r.n for r in marks.groupBy((F.col("y") > 0).alias("y")).agg(F.count("*").alias("n")).collect()}
+    if len(n) < 2:
         return None
-    taken = rows.where(F.col("at") < F.when(F.col("y") == 1, limit[1]).otherwise(limit[0])).select("text", "y").collect()
-    return fit([(plain_words(r.text), r.y, r.text) for r in taken])
+    limit = {y: (1 << 30) if c <= training_docs else int(training_docs / c * (1 << 30)) for y, c in n.items()}
+    # about 2 x training_docs ids, whatever the corpus: the texts are read where they lie
+    some = marks.where(at < F.when(F.col("y") > 0, limit[True]).otherwise(limit[False]))
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("text is not null").join(F.broadcast(some), "id").select("text", "y").collect()
+    seen: dict[str, int] = {}
+    for r in rows:
+        seen[r.text] = max(seen.get(r.text, 0), int(r.y > 0))
+    return fit([(plain_words(t), y, t) for t, y in seen.items()])
 
 
 def score(df: DataFrame, model: Model | None, text: str = "text", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
