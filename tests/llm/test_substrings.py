@@ -83,7 +83,7 @@ def test_ids_that_repeat_or_are_null(spark):
 def test_segments_do_not_matter(monkeypatch):
     rng = np.random.default_rng(3)
     text = rng.integers(97, 100, 5000).astype(np.uint8).tobytes()
-    block = blocks.Block({"block": 1, "ids": [1, 2], "ends": [3000, 5000], "text": text})
+    block = blocks.Block({"block": 1, "ids": [1, 2], "ends": [3000, 5000], "text": blocks.squeezed(text)})
     spread = lambda r: dict(zip(W.spread(r.first, r.count).tolist(), np.repeat(r.keys, r.count).tolist(), strict=True))
     whole = spread(lpf.block_runs(50, 20)(block))
     monkeypatch.setattr(lpf, "SEGMENT", 333)
@@ -94,13 +94,13 @@ def test_equal_windows_have_equal_anchors():
     rng = random.Random(5)
     words = [rng.choice("abcd") for _ in range(3000)]
     text = " ".join(words).encode()
-    block = blocks.Block({"block": 1, "ids": [1], "ends": [len(text)], "text": text})
+    block = blocks.Block({"block": 1, "ids": [1], "ends": [len(text)], "text": blocks.squeezed(text)})
     chosen, names, _ = recompress.anchors(recompress.Words(block), 20, 2)
     seen = {}
     for s in range(len(words) - 19):
         assert chosen[s] >= 0 and seen.setdefault(tuple(words[s : s + 20]), names[chosen[s]]) == names[chosen[s]]
     again = b"z y " + text[len(" ".join(words[:1000])) + 1 :] + b" q"
-    other = blocks.Block({"block": 2, "ids": [1], "ends": [len(again)], "text": again})
+    other = blocks.Block({"block": 2, "ids": [1], "ends": [len(again)], "text": blocks.squeezed(again)})
     chosen2, names2, _ = recompress.anchors(recompress.Words(other), 20, 2)
     for s in range(1000, 2900):
         assert names2[chosen2[s - 1000 + 2]] == names[chosen[s]]

@@ -12,6 +12,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ MOST = 127
 
 
 def pack(df: DataFrame, doc_id: str, text: str, steps: Steps, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Table of blocks: ids and byte ends of a block's texts, and the texts one after the other. A null text counts as empty."""
+    """Table of blocks: ids and byte ends of a block's texts, and the texts one after the other, compressed, as blocks are shuffled to what is found out about them. A null text counts as empty."""
     rows = df.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
 
     def run(batches):
@@ -36,7 +37,7 @@ def pack(df: DataFrame, doc_id: str, text: str, steps: Steps, block_bytes: int =
 
         def row():
             ends = np.cumsum([len(p) for p in parts], dtype=np.int64)
-            return pa.RecordBatch.from_arrays([pa.array([(task << 32) | n]), pa.array([len(ids)]), pa.array([int(ends[-1])]), pa.array([ids], pa.list_(pa.int64())), pa.array([ends], pa.list_(pa.int64())), pa.array([b"".join(parts)], pa.binary())], names)
+            return pa.RecordBatch.from_arrays([pa.array([(task << 32) | n]), pa.array([len(ids)]), pa.array([int(ends[-1])]), pa.array([ids], pa.list_(pa.int64())), pa.array([ends], pa.list_(pa.int64())), pa.array([squeezed(b"".join(parts))], pa.binary())], names)
 
         size = 0
         for b in slices(batches):
@@ -54,6 +55,10 @@ def pack(df: DataFrame, doc_id: str, text: str, steps: Steps, block_bytes: int =
     return steps.write(rows.mapInArrow(run, "block long, docs long, bytes long, ids array<long>, ends array<long>, text binary"))
 
 
+def squeezed(text: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(text)
+
+
 class Block:
     """One row of the table, with arrays."""
 
@@ -62,7 +67,7 @@ class Block:
         self.ids = np.asarray(row["ids"], np.int64)
         self.ends = np.asarray(row["ends"], np.int64)
         self.starts = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
-        self.text = row["text"]
+        self.text = zstandard.ZstdDecompressor().decompress(row["text"])
 
 
 def each_row(batches):

@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 from . import blocks as B
 from . import windows as W
 from .common import Steps, mix, range_hash, table_of_bytes
-from .jaccard import SPACE, word_spans
+from .jaccard import word_spans
 
 WINDOW = 20
 ROUNDS = 2
-LETTERS, OTHERS = table_of_bytes(53), table_of_bytes(59)
+LETTERS = table_of_bytes(53)
 NAMES = table_of_bytes(61)
 
 
@@ -84,8 +84,15 @@ class Words:
         self.low, self.high = np.searchsorted(self.doc, docs), np.searchsorted(self.doc, docs, "right")
 
 
-def anchors(words: Words, window: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each word that begins a window the number of its anchor among all symbols (-1: none), and these symbols' names."""
+def words_in(block: B.Block) -> Words:
+    """The block's words, found once."""
+    if not hasattr(block, "words"):
+        block.words = Words(block)
+    return block.words
+
+
+def anchors(words: Words, window: int, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each word that begins a window the number of its anchor among all symbols (-1: none), these symbols' names, and the first words that they depend on."""
     n = len(words.name)
     at = np.arange(n)
     s = Symbols(words.name, at, at + 1, words.doc)
@@ -93,23 +100,27 @@ def anchors(words: Words, window: int, rounds: int) -> tuple[np.ndarray, np.ndar
     for k in range(1, rounds + 1):
         s = compress_pairs(compress_runs(s, words.low, words.high, window, 2 * k), words.low, words.high, 2 * k + 1)
         levels.append(s)
-    chosen, names, base = np.full(n, -1, np.int64), [], 0
+    chosen, names, places, base = np.full(n, -1, np.int64), [], [], 0
     for k, s in reversed(list(enumerate(levels))):
         best = np.full(n, np.iinfo(np.uint64).max, np.uint64)
         first = np.maximum(s.high - window, words.low[s.doc])
         last = np.minimum(s.low, words.high[s.doc] - window)  # windows [first, last] hold all that the symbol depends on
         inside = np.flatnonzero(first <= last)
-        count = (last - first + 1)[inside]
         key = (s.name[inside] & ~np.uint64(0xFFFFFFFF)) | inside.astype(np.uint64)
-        np.minimum.at(best, W.spread(first[inside], count), np.repeat(key, count))
+        at, until = first[inside], last[inside]
+        while len(at):  # one window of each symbol at a time, which keeps memory at the number of symbols
+            np.minimum.at(best, at, key)
+            more = at < until
+            at, until, key = at[more] + 1, until[more], key[more]
         free = (chosen < 0) & (best != np.iinfo(np.uint64).max)
         chosen[free] = base + (best[free] & np.uint64(0xFFFFFFFF)).astype(np.int64)
         names.append(mix(s.name + NAMES[200 + k]))
+        places.append(s.low)
         base += len(s.name)
-    return chosen, np.concatenate(names) if names else np.zeros(0, np.uint64)
+    return chosen, np.concatenate(names), np.concatenate(places)
 
 
-def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, rounds: int = ROUNDS, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, rounds: int = ROUNDS, block_bytes: int = B.BLOCK_BYTES, hot: int = W.HOT) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept (its remaining words, one space between them).
 
     Every word covered by a window whose words also start in a document of smaller id, or further up in the same one, goes.
@@ -120,48 +131,44 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
     total = packed.agg(F.sum("bytes").alias("n")).first().n or 0
 
     def runs_of(block):
-        words = Words(block)
-        chosen, names = anchors(words, window, rounds)
-        return W.runs_in_order(chosen, chosen >= 0, words.doc, names)
+        words = words_in(block)
+        chosen, names, places = anchors(words, window, rounds)
+        return W.runs_in_order(chosen, chosen >= 0, words.doc, names, places)
+
+    def name_of(block):
+        names = words_in(block).name
+        return lambda a, b: range_hash(names, a, b)
 
     def names_of(block):
-        words = Words(block)
-        at = np.arange(len(words.name))
-        return range_hash(words.name, at, np.minimum(at + window, len(at)))
+        """The name of each window, at its first word: a hash of its words' names."""
+        if not hasattr(block, "windows"):
+            names = words_in(block).name
+            at = np.arange(len(names))
+            block.windows = range_hash(names, at, np.minimum(at + window, len(names)))
+        return block.windows
 
     def contexts_of(block, runs):
-        words = Words(block)
-        a, b = words.start[runs.first].tolist(), words.end[runs.first + runs.count + window - 2].tolist()
-        return [b" ".join(block.text[x:y].split()) for x, y in zip(a, b, strict=True)]
+        names = names_of(block).astype("<u8").tobytes()
+        return [names[8 * a : 8 * (a + n)] for a, n in zip(runs.first.tolist(), runs.count.tolist(), strict=True)]
 
     def windows_in(contexts):
-        return np.array([c.count(b" ") + 2 - window for c in contexts], np.int64)
+        return np.array([len(c) // 8 for c in contexts], np.int64)
 
     def earliest(contexts, ids, count):
-        """Windows of equal words, by two hashes of the words' bytes: the smallest id of each."""
-        text = np.frombuffer(b" ".join(contexts), np.uint8)
-        if not len(text):
-            return np.zeros(0, np.int64)
-        space = np.flatnonzero(SPACE[text])
-        start, end = np.concatenate([[0], space + 1]), np.append(space, len(text))
-        first = np.cumsum(count + window - 1) - (count + window - 1)
-        at = W.spread(first, count)
-        owner = np.repeat(ids, count)
-        a, b = start[at], end[at + window - 1]
-        h, g = range_hash(LETTERS[text], a, b), range_hash(OTHERS[text], a, b)
-        order = np.lexsort((owner, g, h))
-        h, g = h[order], g[order]
-        begin = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])]))
+        """The smallest id of each window's name."""
+        names, owner = np.frombuffer(b"".join(contexts), "<u8"), np.repeat(ids, count)
+        order = np.lexsort((owner, names))
+        begin = np.flatnonzero(np.concatenate([[True], names[order][1:] != names[order][:-1]])) if len(order) else order
         out = np.empty(len(order), np.int64)
         out[order] = np.repeat(owner[order][begin], np.diff(np.append(begin, len(order))))
         return out
 
-    removed = W.earlier(packed, steps, runs_of, contexts_of, windows_in, earliest, total // 24, names_of)
+    removed = W.earlier(packed, steps, runs_of, contexts_of, windows_in, earliest, total // 24, window // 2, name_of, names_of, hot)
 
     def finish(batches):
         for row in B.each_row(batches):
             block = B.Block(row)
-            words = Words(block)
+            words = words_in(block)
             starts = W.from_runs(row["removed"])
             edge = np.zeros(len(words.name) + 1, np.int32)
             np.add.at(edge, starts, 1)

@@ -137,14 +137,13 @@ def earlier(packed: DataFrame, steps: Steps, runs_of, contexts_of, windows_in, e
             runs, met = runs.take(met > 0), met[met > 0]
             if not len(met):
                 continue
-            out = []
+            out, again = [], b""
             if names_of:
                 starts = spread(runs.first, runs.count)
                 name, doc = names_of(block)[starts], np.repeat(runs.doc, runs.count)
                 order = np.lexsort((starts, name, doc))
                 s, n, d = starts[order], name[order], doc[order]
-                again = np.concatenate([[False], (n[1:] == n[:-1]) & (d[1:] == d[:-1])])
-                out.append((-1, row["block"], *[b""] * 6, as_runs(np.sort(s[again]))))
+                again = as_runs(np.sort(s[np.concatenate([[False], (n[1:] == n[:-1]) & (d[1:] == d[:-1])])]))
             runs = runs.split(met >= hot, half, name_of(block))
             bucket = (runs.keys % np.uint64(n_buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -152,32 +151,40 @@ def earlier(packed: DataFrame, steps: Steps, runs_of, contexts_of, windows_in, e
             cuts = np.flatnonzero(np.concatenate([[True], bucket[order][1:] != bucket[order][:-1]])).tolist()
             for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
                 own = order[a:b]
-                contexts, least, which = merged([([found[k] for k in own.tolist()], ids[own].tolist())])
-                out.append((int(bucket[own[0]]), row["block"], b"".join(contexts), np.array([len(c) for c in contexts], "<i4").tobytes(), least.astype("<i8").tobytes(), runs.first[own].astype("<i8").tobytes(), ids[own].astype("<i8").tobytes(), which[0].astype("<i4").tobytes(), b""))
+                contexts, _, which = merged([([found[k] for k in own.tolist()], ids[own].tolist())])
+                every = b"" if len(contexts) == len(own) else which[0].astype("<i4").tobytes()
+                out.append((int(bucket[own[0]]), row["block"], b"".join(contexts), np.array([len(c) for c in contexts], "<i4").tobytes(), runs.first[own].astype("<i8").tobytes(), ids[own].astype("<i8").tobytes(), every, again))
+                again = b""  # goes with the first of the block's rows
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    names = ["bucket", "block", "contexts", "lengths", "least", "first", "ids", "which", "removed"]
-    types = [pa.int64(), pa.int64(), *[pa.binary()] * 7]
-    offers = steps.write(packed.join(counts, "block").mapInArrow(offer, ", ".join(f"{n} {'binary' if k > 1 else 'long'}" for k, n in enumerate(names))))
-    steps.drop(counts)
+    names = ["bucket", "block", "contexts", "lengths", "first", "ids", "which", "again"]
+    types = [pa.int64(), pa.int64(), *[pa.binary()] * 6]
+    offers = packed.join(counts, "block").mapInArrow(offer, ", ".join(f"{n} {'binary' if k > 1 else 'long'}" for k, n in enumerate(names)))
 
     def answer(key, table):
         del key
-        rows = [{n: np.frombuffer(r[n], t) for n, t in (("lengths", "<i4"), ("least", "<i8"), ("first", "<i8"), ("ids", "<i8"), ("which", "<i4"))} for r in table.select(names[3:8]).to_pylist()]
-        contexts, least, which = merged([(cut(c, r["lengths"]), r["least"].tolist()) for c, r in zip(table["contexts"].to_pylist(), rows, strict=True)])
+        rows, lists = [], []
+        for r in table.to_pylist():
+            ids, contexts = np.frombuffer(r["ids"], "<i8"), cut(r["contexts"], np.frombuffer(r["lengths"], "<i4"))
+            which = np.frombuffer(r["which"], "<i4") if r["which"] else np.arange(len(ids))
+            least = np.full(len(contexts), np.iinfo(np.int64).max)
+            np.minimum.at(least, which, ids)
+            rows.append((which, np.frombuffer(r["first"], "<i8"), ids, r["again"]))
+            lists.append((contexts, least.tolist()))
+        contexts, least, kept = merged(lists)
+        del lists
         count = windows_in(contexts)
         start = np.cumsum(count) - count
         found = earliest(contexts, least, count)
         removed = []
-        for r, own in zip(rows, which, strict=True):
-            context = own[r["which"]]
+        for (which, first, ids, again), own in zip(rows, kept, strict=True):
+            context = own[which]
             n = count[context]
-            gone = found[spread(start[context], n)] < np.repeat(r["ids"], n)
-            removed.append(as_runs(np.sort(spread(r["first"], n)[gone])))
+            gone = found[spread(start[context], n)] < np.repeat(ids, n)
+            removed.append(as_runs(np.sort(spread(first, n)[gone])) + again)
         return pa.table({"block": table["block"], "removed": pa.array(removed, pa.binary())})
 
-    decided = offers.where("bucket >= 0").select(*names[:8]).groupBy("bucket").applyInArrow(answer, "block long, removed binary")
-    local = offers.where("bucket < 0").select("block", "removed")
-    removed = steps.write(decided.union(local).groupBy("block").agg(F.collect_list("removed").alias("removed")))
-    steps.drop(offers)
+    decided = offers.groupBy("bucket").applyInArrow(answer, "block long, removed binary")
+    removed = steps.write(decided.groupBy("block").agg(F.collect_list("removed").alias("removed")))
+    steps.drop(counts)
     return removed
