@@ -56,7 +56,7 @@ class Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > self.n:
-            self.n = max(n, 2 * self.n, 1 << 16)
+            self.n = max(1 << 16, 1 << (n - 1).bit_length())
             inverse = pow(MULTIPLIER, -1, 1 << 64)
             self.up, self.down = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(self.n - 1, m, np.uint64)]), dtype=np.uint64) for m in (MULTIPLIER, inverse))
         return self.up[:n], self.down[:n]

@@ -21,7 +21,7 @@ from .common import POWERS, Steps, mix, table_of_bytes
 
 WINDOW = 50
 GRAM = 20
-SEGMENT = 1 << 21
+SEGMENT = 1 << 18
 LETTERS = table_of_bytes(41)
 
 
