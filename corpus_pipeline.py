@@ -19,15 +19,15 @@ def _columns(df: DataFrame) -> list:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is determined; those without a letter, or a null text, go.
+    """Keeps documents of which a learned language makes up half at least; gibberish, unlearned languages, undecided mixtures, texts without a letter and null texts go.
 
-    A mixed text stays, its `lang` is left as it is. Without a labelled text there is no model, and all documents stay that have a letter.
+    A mixed text with a main language stays, its `lang` is left as it is. Without a labelled text there is no model, and all documents stay that have a letter.
     """
     model = langid.train(docs)
-    found = langid.identify(docs, model, names=(hidden(docs, "found_lang"), hidden(docs, "found_score"), hidden(docs, "found_shares")))
-    lang = found.columns[-3]
-    keep = F.col(lang) != langid.UNDETERMINED if model else F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return found.where(keep).select(*_columns(docs))
+    if not model:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    names = (hidden(docs, "found_lang"), hidden(docs, "found_score"), hidden(docs, "found_shares"))
+    return langid.accepted(langid.identify(docs, model, names=names), names=names).select(*_columns(docs))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,9 @@
 Each language has a distribution of hashed byte 4-grams of lower-cased words. A document's words are draws
 from a mixture of languages: expectation-maximisation estimates the proportions from the words' n-gram
 likelihoods, first over all languages, then over the nested sets of the most frequent ones; the set is the
-one of the highest likelihood after a penalty for each further language.
+one of the highest likelihood after a penalty for each further language. Words of no learned language are
+drawn from a background, in which all grams are equally likely; it joins if it pays as a language must, and its
+proportion lowers the score.
 """
 
 from __future__ import annotations
@@ -104,10 +106,21 @@ class Model:
             if not better.any():
                 break
         sure = 1 / np.exp(single - single.max(0)).sum(0)
+        # what the background takes from the chosen mixture, as the log-odds of each word
+        level = np.log((np.repeat(chosen.astype(np.float32), size, axis=1) * like).sum(0) + np.float32(1e-30)) + top
+        odds = np.clip(-np.diff(np.append(words, len(codes))) * GRAM_BITS * np.log(2.0) - level, -500, 500)
+        other, share = np.exp(odds - np.maximum(odds, 0)), np.exp(-np.maximum(odds, 0))  # background and mixture, the larger one 1
+        unknown = np.full(n_docs, 0.5)
+        for _ in range(ROUNDS):
+            u = np.repeat(unknown, size)
+            unknown = np.add.reduceat(u * other / (u * other + (1 - u) * share + 1e-300), docs) / size
+        u = np.repeat(unknown, size)
+        gain = np.add.reduceat(np.log(u * other + (1 - u) * share + 1e-300) + np.maximum(odds, 0), docs)
+        unknown[gain <= PENALTY + 0.5 * np.log(size)] = 0
         out = []
         for d in range(n_docs):
             rank = [int(i) for i in np.argsort(-chosen[:, d], kind="stable") if chosen[i, d] > 0]
-            out.append((rank, [float(chosen[i, d]) for i in rank], float(min(1.0, chosen[rank[0], d] * (sure[d] if len(rank) == 1 else 1.0)))))
+            out.append((rank, [float(chosen[i, d]) for i in rank], float(min(1.0, (1 - unknown[d]) * chosen[rank[0], d] * (sure[d] if len(rank) == 1 else 1.0)))))
         return out
 
 
@@ -143,6 +156,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: s
 def identify(df: DataFrame, model: Model | None, text: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "lang_shares")) -> DataFrame:
     """Adds the main language of each whole text, a score in 0 to 1, and the proportions of its languages.
 
+    The score is the main language's proportion of all words, those of no learned language included; of a single language, times its probability.
     Null texts, texts without a letter, and all texts without a model get 'und', 0.0 and no proportions. Columns of these names are replaced.
     """
     df = df.drop(*names)
@@ -175,7 +189,6 @@ def train_on_folds(df: DataFrame) -> Model | None:
     return train(df.where(~held_out()))
 
 
-def accepted(df: DataFrame, least: float = 0.5) -> DataFrame:
+def accepted(df: DataFrame, least: float = 0.5, names: tuple[str, str, str] = ("lang_pred", "score", "lang_shares")) -> DataFrame:
     """The rows of identify()'s result whose language is determined and makes up `least` of the text."""
-    return df.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
-
+    return df.where((F.col(names[0]) != UNDETERMINED) & (F.col(names[1]) >= least))
