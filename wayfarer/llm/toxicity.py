@@ -12,7 +12,9 @@ that were set aside.
 
 from __future__ import annotations
 
+import math
 import random
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -30,11 +32,15 @@ BITS = 5
 BEGIN = 31
 #: Labelled documents that the model sees at most, about, of either label; chosen by a hash of the id.
 TRAINING_DOCS = 2000
+#: Landmarks, and frequent harmless words among them, at least; telling fragments are landmarks whatever their number.
 LANDMARKS = 96
-#: Telling fragments by which each toxic document is covered, if it has as many.
-COVER = 4
-#: A telling fragment stands in this share of the toxic documents at least.
-LEAST_SHARE = 0.04
+HARMLESS = 32
+#: Telling fragments: least odds against other documents, least number of toxic documents, and the false ones that are accepted.
+ODDS = 4
+LEAST = 2
+FALSE = 0.05
+#: Fragments that are taken where none is told from chance.
+FALLBACK = 256
 NEGATIVES = 3000
 #: Where the further letters of a subsequence stand, from its first one.
 OFFSETS = list(combinations(range(1, SPAN), ORDER - 1))
@@ -112,17 +118,20 @@ def sparse(words: list[str]) -> list[dict[int, float]]:
     return out
 
 
-def kernel(a: list[dict[int, float]], b: list[dict[int, float]]) -> np.ndarray:
-    codes = {c: k for k, c in enumerate(sorted({c for v in b for c in v}))}
-    y = np.zeros((len(codes) + 1, len(b)))
-    for j, v in enumerate(b):
-        for c, x in v.items():
-            y[codes[c], j] = x
+def kernel(a: list[dict[int, float]], b: list[dict[int, float]], block: int = 128) -> np.ndarray:
+    """The kernel of each of a with each of b; `block` of b at a time, so that their features stay small."""
     out = np.zeros((len(a), len(b)))
-    for i, v in enumerate(a):
-        known = [(codes[c], x) for c, x in v.items() if c in codes]
-        if known:
-            out[i] = np.array([x for _, x in known]) @ y[[k for k, _ in known]]
+    for at in range(0, len(b), block):
+        some = b[at : at + block]
+        codes = {c: k for k, c in enumerate(sorted({c for v in some for c in v}))}
+        y = np.zeros((len(codes) + 1, len(some)))
+        for j, v in enumerate(some):
+            for c, x in v.items():
+                y[codes[c], j] = x
+        for i, v in enumerate(a):
+            known = [(codes[c], x) for c, x in v.items() if c in codes]
+            if known:
+                out[i, at : at + block] = np.array([x for _, x in known]) @ y[[k for k, _ in known]]
     return out
 
 
@@ -176,14 +185,17 @@ class Model:
 
 
 def logistic_fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Ridge logistic weights for targets a little off 0 and 1, by damped Newton steps."""
+    """Ridge logistic weights for targets a little off 0 and 1, by Newton steps that are halved until they gain."""
     target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+    loss = lambda w: (np.logaddexp(0, x @ w) - target * (x @ w)).sum() + 0.025 * w @ w
     w = np.zeros(x.shape[1])
     for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         h = (x.T * (p * (1 - p) + 1e-6)) @ x + 0.05 * np.eye(x.shape[1])
         step = np.linalg.solve(h, x.T @ (target - p) - 0.05 * w)
-        w += np.clip(step, -1, 1)
+        while loss(w + step) > loss(w) and np.abs(step).max() >= 1e-6:
+            step /= 2
+        w += step
         if np.abs(step).max() < 1e-6:
             break
     return w
@@ -198,39 +210,49 @@ def plain_words(text: str) -> set[str]:
     return {w for x in text.lower().split() if (w := "".join(c for c in x if c.isalpha()))}
 
 
-def telling(toxic: list[set[str]], other: list[set[str]]) -> list[str]:
-    """Fragments that, one after the other, each cover the most toxic documents not covered COVER times so far, and few others.
+def chance(k: int, n: int, q: float) -> float:
+    """The probability of k or more of n draws, each of which succeeds with probability q."""
+    base = math.lgamma(n + 1)
+    return sum(math.exp(base - math.lgamma(x + 1) - math.lgamma(n - x + 1) + x * math.log(q) + (n - x) * math.log1p(-q)) for x in range(k, n + 1))
 
-    None is the beginning of another.
+
+def telling(toxic: list[set[str]], other: list[set[str]]) -> tuple[list[str], set[str]]:
+    """Landmarks, and all fragments that tell toxic from other documents.
+
+    A telling fragment has odds of ODDS at least and stands in LEAST toxic documents at least, more than chance explains: of those that no
+    other document has, a share of FALSE at most is false, as expected; of the others, FALSE at most in number. Without any, the FALLBACK best ones by the odds alone count, else of what no other document has, else of all.
+    Landmarks are telling fragments by falling number of toxic documents; none is the beginning of another, and each telling fragment begins with one
+    or is the beginning of one.
     """
-    sets = [fragments(w) for w in toxic]
-    harmless: dict[str, int] = {}
-    for w in other:
-        for f in fragments(w):
-            harmless[f] = harmless.get(f, 0) + 1
-    count: dict[str, int] = {}
-    for s in sets:
-        for f in s:
-            count[f] = count.get(f, 0) + 1
-    least = max(2 if len(toxic) > 4 else 1, int(LEAST_SHARE * len(toxic)))
+    sets, others = ([fragments(w) | w for w in docs] for docs in (toxic, other))
+    count, harmless = (Counter(f for s in x for f in s) for x in (sets, others))
     ratio = len(toxic) / max(1, len(other))
-    good = {f for f, n in count.items() if n >= least and n >= 4 * ratio * (harmless.get(f, 0) + 0.5)}
-    left, need = [s & good for s in sets], [COVER] * len(sets)
+    q = len(toxic) / (len(toxic) + len(other))
+    odd = [f for f, n in count.items() if n >= ODDS * ratio * (harmless[f] + 0.5)]
+    known = {(n, n + m): chance(n, n + m, q) for n, m in {(count[f], harmless[f]) for f in odd}}
+    tested = sorted((known[count[f], count[f] + harmless[f]], f) for f in odd)
+    least = np.sort([q ** (count[f] + harmless[f]) for f in count.keys() | harmless.keys()])  # the lowest probability that each can have
+    last, found, good = 0.0, set(), set()  # fragments of the same beginning count as one
+    for p, f in tested:
+        found.add(f[:4])
+        expected = p * np.searchsorted(least, p * (1 + 1e-9), "right")
+        if expected <= FALSE:
+            good.add(f)
+        if expected <= FALSE * len(found):
+            last = p
+    good = {f for p, f in tested if count[f] >= LEAST and (f in good or p <= last and not harmless[f])}
+    value = lambda f: (0.5 * ratio * harmless[f] - count[f], -len(f), f)
+    if not good:
+        good = set(sorted([f for f in odd if count[f] >= LEAST] or [f for f in count if f not in harmless] or count, key=value)[:FALLBACK])
     chosen: list[str] = []
-    while len(chosen) < LANDMARKS * 2 // 3:
-        count = {}
-        for s in left:
-            for f in s:
-                count[f] = count.get(f, 0) + 1
-        gain = {f: n - 0.5 * ratio * harmless.get(f, 0) for f, n in count.items() if n >= least}
-        top = max(gain, key=lambda f: (gain[f], len(f), f), default="")
-        if not top:
-            return chosen
-        chosen.append(top)
-        for k, s in enumerate(left):
-            need[k] -= top in s
-            left[k] = {f for f in s if not f.startswith(top) and not top.startswith(f)} if need[k] else set()
-    return chosen
+    whole: set[str] = set()
+    taken: set[str] = set()  # all beginnings of the chosen ones
+    for f in sorted(good, key=value):
+        if f not in taken and not any(f[:k] in whole for k in range(1, len(f))):
+            chosen.append(f)
+            whole.add(f)
+            taken.update(f[:k] for k in range(1, len(f) + 1))
+    return chosen, good
 
 
 def inserted(word: str, rng: random.Random) -> str:
@@ -240,7 +262,7 @@ def inserted(word: str, rng: random.Random) -> str:
 
 def fit(docs: list[tuple[set[str], int, str]], seed: int = 5) -> Model | None:
     """The model of (words, label, text) of labelled documents; None unless both labels are there. Every third document is set aside for
-    calibration, the toxic ones also with letters inserted into their telling words."""
+    calibration, the toxic ones also with letters inserted into their telling words, all of them or the first alone."""
     rng = random.Random(seed)
     docs = sorted(docs, key=lambda d: d[2])
     own = [d for k, d in enumerate(docs) if k % 3] or docs
@@ -249,24 +271,24 @@ def fit(docs: list[tuple[set[str], int, str]], seed: int = 5) -> Model | None:
     toxic, other = [w for w, y, _ in own if y], [w for w, y, _ in own if not y]
     if not toxic or not other:
         return None
-    chosen = telling(toxic, other)
+    chosen, good_fragments = telling(toxic, other)
     harmless = sorted(set().union(*other))
     count: dict[str, int] = {}
     for w in other:
         for x in w:
             count[x] = count.get(x, 0) + 1
-    frequent = sorted((w for w in harmless if len(w) > 3), key=lambda w: (-count[w], w))[: LANDMARKS - len(chosen)]
-    good = sorted({w for d in toxic for w in d if any(w.startswith(f) for f in chosen)} | set(chosen))
-    good = rng.sample(good, min(len(good), NEGATIVES // 3))
+    frequent = sorted((w for w in harmless if len(w) > 3), key=lambda w: (-count[w], w))[: max(HARMLESS, LANDMARKS - len(chosen))]
+    tells = lambda w: any(w[:k] in good_fragments for k in range(1, len(w) + 1))
+    good = sorted({w for d in toxic for w in d if tells(w)} | set(chosen))
+    good = [w for w, v in zip(good, sparse(good), strict=True) if v]
     good += [inserted(w, rng) for w in good for _ in range(2) if len(w) > 4]
     bad = rng.sample(harmless, min(len(harmless), NEGATIVES))
     marks = [v for v in sparse([*chosen, *frequent]) if v]
-    if not marks or not good:
-        return None
-    values, vectors = np.linalg.eigh(kernel(marks, marks))
-    root = vectors * np.where(values > 1e-6, 1 / np.sqrt(np.maximum(values, 1e-6)), 0) @ vectors.T
     weights, bias = np.zeros(1 << (ORDER * BITS)), 0.0
-    for turn in range(3):
+    if marks and good:
+        values, vectors = np.linalg.eigh(kernel(marks, marks))
+        root = vectors * np.where(values > 1e-6, 1 / np.sqrt(np.maximum(values, 1e-6)), 0) @ vectors.T
+    for turn in range(3 if marks and good else 0):  # without a word of three letters, the documents' sizes and the labels' shares are left
         x = kernel(sparse([*good, *bad]), marks) @ root
         w, bias = separate(x, np.array([1] * len(good) + [-1] * len(bad)))
         weights[:] = 0
@@ -281,7 +303,11 @@ def fit(docs: list[tuple[set[str], int, str]], seed: int = 5) -> Model | None:
     aside = [d for k, d in enumerate(docs) if not k % 3]
     if len({y for _, y, _ in aside}) < 2:
         aside = docs
-    hidden = [" ".join(inserted(w, rng) if any(w.startswith(f) for f in chosen) else w for w in t.lower().split()) for _, y, t in aside if y]
+    hidden = []
+    for n, t in enumerate(t for _, y, t in aside if y):  # all telling words with a letter more; in every fourth text the first such word alone
+        at = [(w, tells(w)) for w in t.lower().split()]
+        one = next((k for k, (_, told) in enumerate(at) if told), -1)
+        hidden.append(" ".join(inserted(w, rng) if told else w for k, (w, told) in enumerate(at) if n % 4 or k == one or not told))
     model.logistic = logistic_fit(model.measures([*(t for _, _, t in aside), *hidden]), np.array([*(y for _, y, _ in aside), *[1] * len(hidden)]))
     return model
 
