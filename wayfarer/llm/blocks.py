@@ -87,40 +87,67 @@ def distinct(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return k[at], np.logical_or.reduceat(other, at) if len(at) else other
 
 
-def shared(blocks: DataFrame, keys_of, n_keys: int) -> DataFrame:
+def pairs(keys: np.ndarray, tags: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct (key, tag) as three arrays: keys, which of the keys have two owners or more, tags; and for each input its place among them."""
+    k, twice = distinct(keys, owner)
+    order = np.lexsort((tags, keys))
+    kk, tt = keys[order], tags[order]
+    new = np.concatenate([[True], (kk[1:] != kk[:-1]) | (tt[1:] != tt[:-1])]) if len(kk) else np.zeros(0, bool)
+    place = np.empty(len(kk), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return kk[new], twice[np.searchsorted(k, kk[new])], tt[new], place
+
+
+#: What shared() answers if keys have tags: nothing else has the key; few tags go with it; many do.
+ALONE, FEW, MANY = 0, 1, 2
+
+
+def shared(blocks: DataFrame, keys_of, n_keys: int, many: int | None = None) -> DataFrame:
     """For each block, how often each of its keys is met, in the order of its sorted distinct keys.
 
-    keys_of(block) gives these and whether each is repeated in the block. The answer is one byte a key: 0 for a key that
-    nothing else has, else the blocks that have it, those counted twice that repeat it, up to MOST.
-    Keys are compared by their first 40 bits beyond the bucket's; a false match only makes an answer too large.
+    keys_of(block) gives these, whether each is repeated in the block and, if `many` is given, a 16-bit tag for each (then the pairs of both
+    are sorted and distinct). The answer is one byte a key: 0 for a key that nothing else has, else the blocks that have it, those counted
+    twice that repeat it, up to MOST. With tags it is ALONE, FEW, or MANY where more than `many` tags go with the key, in all blocks.
+    Keys are compared by their first 40 bits beyond the bucket's; a false match only makes an answer too large, the same one in all blocks.
     """
     bits = max(0, math.ceil(math.log2(max(n_keys, 1) / BUCKET_KEYS)))
 
     def send(batches):
         for row in each_row(batches):
-            keys, twice = keys_of(Block(row))
+            keys, twice, *tags = keys_of(Block(row))
             buckets = (keys >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(keys), np.int32)
             rest = (keys << np.uint64(bits)) >> np.uint64(24)
             at = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]])) if len(keys) else np.zeros(0, np.int64)
             ends = np.append(at[1:], len(keys))
-            blobs = [(rest[a:b] >> np.uint64(8)).astype("<u4").tobytes() + (rest[a:b] & np.uint64(255)).astype(np.uint8).tobytes() for a, b in zip(at, ends, strict=False)]
+            blobs = [(rest[a:b] >> np.uint64(8)).astype("<u4").tobytes() + (rest[a:b] & np.uint64(255)).astype(np.uint8).tobytes() + b"".join(t[a:b].astype("<u2").tobytes() for t in tags) for a, b in zip(at, ends, strict=False)]
             flags = [np.packbits(twice[a:b]).tobytes() for a, b in zip(at, ends, strict=False)]
             yield pa.RecordBatch.from_arrays([pa.array(buckets[at], pa.int32()), pa.array(np.full(len(at), row["block"]), pa.int64()), pa.array(blobs, pa.binary()), pa.array(flags, pa.binary())], ["bucket", "block", "keys", "twice"])
 
     def answer(key, table):
         del key
         blobs, flags = table["keys"].to_pylist(), table["twice"].to_pylist()
-        sizes = [len(b) // 5 for b in blobs]
+        sizes = [len(b) // (7 if many else 5) for b in blobs]
         rest = np.concatenate([(np.frombuffer(b, "<u4", n).astype(np.uint64) << np.uint64(8)) | np.frombuffer(b, np.uint8, n, 4 * n) for b, n in zip(blobs, sizes, strict=True)])
-        met = 1 + np.concatenate([np.unpackbits(np.frombuffer(f, np.uint8), count=n) for f, n in zip(flags, sizes, strict=True)]).astype(np.int64)
-        order = np.argsort(rest, kind="stable")
+        twice = np.concatenate([np.unpackbits(np.frombuffer(f, np.uint8), count=n) for f, n in zip(flags, sizes, strict=True)])
+        tags = np.concatenate([np.frombuffer(b, "<u2", n, 5 * n) for b, n in zip(blobs, sizes, strict=True)]) if many else None
+        order = np.argsort(rest, kind="stable") if tags is None else np.lexsort((tags, rest))
         k = rest[order]
-        at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        total = np.add.reduceat(met[order], at)
-        total = np.where(total > 1, np.minimum(total, MOST), 0).astype(np.uint8)
+        at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+        if not len(k):
+            total = np.zeros(0, np.uint8)
+        elif tags is None:
+            total = np.add.reduceat(1 + twice[order].astype(np.int64), at)
+            total = np.where(total > 1, np.minimum(total, MOST), 0).astype(np.uint8)
+        else:
+            source = np.repeat(np.arange(len(sizes)), sizes)[order]
+            met = (np.maximum.reduceat(twice[order], at) > 0) | (np.minimum.reduceat(source, at) < np.maximum.reduceat(source, at))
+            t = tags[order]
+            new = np.concatenate([[True], t[1:] != t[:-1]])
+            new[at] = True
+            total = np.where(met, np.where(np.add.reduceat(new.astype(np.int64), at) > many, MANY, FEW), ALONE).astype(np.uint8)
         out = np.empty(len(k), np.uint8)
         out[order] = np.repeat(total, np.diff(np.append(at, len(k))))
-        cuts = np.concatenate([[0], np.cumsum(sizes)])
+        cuts = np.concatenate([[0], np.cumsum(sizes)]).astype(int)
         return pa.table({"block": table["block"], "bucket": table["bucket"], "counts": pa.array([out[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())})
 
     sent = blocks.mapInArrow(send, "bucket int, block long, keys binary, twice binary")
@@ -130,3 +157,8 @@ def shared(blocks: DataFrame, keys_of, n_keys: int) -> DataFrame:
 
 def counts_of(row: dict) -> np.ndarray:
     return np.frombuffer(b"".join(row["counts"] or []), np.uint8)
+
+
+def partitions(df: DataFrame, n_bytes: int, each: int = 1 << 24, most: int = 1 << 15) -> int:
+    """Partitions for an exchange of about n_bytes: the session's number, or more so that each has about `each` bytes."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(most, n_bytes // each))

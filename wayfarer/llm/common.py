@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from itertools import count
+
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +17,10 @@ MULTIPLIER = 0x9E3779B97F4A7C15
 MIX_1 = 0xBF58476D1CE4E5B9
 MIX_2 = 0x94D049BB133111EB
 
-__all__ = ["MULTIPLIER", "POWERS", "Powers", "Steps", "documents", "fold", "hidden", "mix", "range_hash", "shared_dir", "slices", "table_of_bytes"]
+SECOND = 0xD1342543DE82EF95
+
+__all__ = ["MULTIPLIER", "POWERS", "Powers", "Steps", "documents", "fold", "hidden", "lanes_of", "mix", "range_hash", "salted", "shared_dir", "slices", "table_of_bytes"]
+
 
 def hidden(df: DataFrame, name: str) -> str:
     """A column name that the table doesn't have, in any case."""
@@ -47,29 +54,49 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def lanes_of(words: list[bytes]) -> np.ndarray:
+    """Two columns of 64 bits that name each word: the 128 bits of xxh3 over its bytes, worked out once for each distinct word."""
+    number: defaultdict[bytes, int] = defaultdict(count().__next__)  # distinct words in order of appearance
+    own = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+    table = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, number)), ">u8").astype(np.uint64).reshape(-1, 2)
+    return table[own]
+
+
+def salted(big: DataFrame, small: DataFrame, on: list[str], by: str, salts: int = 8, how: str = "inner") -> DataFrame:
+    """big joined to small, which has one row a key at most: a hot key's rows of `big` are dealt by the column `by` to several tasks, each with a copy of the small row."""
+    salt = hidden(big, "salt")
+    dealt = big.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    copies = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copies, [*on, salt], how).drop(salt)
+
+
 class Powers:
-    """MULTIPLIER**i and its inverse modulo 2**64, grown on demand."""
+    """multiplier**i and its inverse modulo 2**64, grown on demand."""
 
-    def __init__(self):
-        self.n = 0
+    def __init__(self, multiplier: int = MULTIPLIER):
+        self.n, self.multiplier = 0, multiplier
         self.up = self.down = np.empty(0, np.uint64)
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > self.n:
             self.n = max(1 << 16, 1 << (n - 1).bit_length())
-            inverse = pow(MULTIPLIER, -1, 1 << 64)
-            self.up, self.down = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(self.n - 1, m, np.uint64)]), dtype=np.uint64) for m in (MULTIPLIER, inverse))
+            inverse = pow(self.multiplier, -1, 1 << 64)
+            self.up, self.down = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(self.n - 1, m, np.uint64)]), dtype=np.uint64) for m in (self.multiplier, inverse))
         return self.up[:n], self.down[:n]
 
 
-POWERS = Powers()
+POWERS, SECOND_POWERS = Powers(), Powers(SECOND)
+
 
+def range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: Powers = POWERS) -> np.ndarray:
+    """64-bit polynomial hashes of values[start:end]; equal runs have equal hashes wherever they stand. Starts must lie below len(values).
 
-def range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of values[start:end]; equal runs have equal hashes wherever they stand. Starts must lie below len(values)."""
+    Some long runs over two values are known to collide for every odd base: so this names only short runs of values that are names themselves,
+    or chooses where things meet that are compared there.
+    """
     if not len(starts):
         return np.empty(0, np.uint64)
-    up, down = POWERS.get(len(values))
+    up, down = powers.get(len(values))
     total = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * up, out=total[1:])
     return mix((total[ends] - total[starts]) * down[starts])

@@ -1,11 +1,11 @@
 """Removal of byte strings that an earlier document has, by longest previous factors.
 
-The longest previous factor of a suffix is its longest beginning that also starts earlier. In suffix order it is
-found next to the suffix, at the nearest neighbours of smaller position on either side. Only factors of WINDOW
-bytes matter here and only documents count as earlier or later, so suffixes that agree in WINDOW bytes are
-neighbours, ties in order of their document, and a suffix has such a factor if and only if its run of neighbours
-begins with a smaller one. To spread the suffix array over tasks, each window is sent to the bucket of its anchor:
-the gram of the smallest hash in it, leftmost of equals, which windows of the same bytes have in common.
+The longest previous factor of a suffix is its longest beginning that also starts earlier. In suffix order it is shared with one of two
+neighbours: the nearest of smaller position before it or after it. Only documents count as earlier or later here, so a position is its
+document's id, and only factors up to the window need telling apart: a suffix is known by the bytes of its window, filled up to whole words
+of 8. Each window is sent to the bucket of its anchor, the gram of the smallest hash in it, leftmost of equals, which windows of the same
+bytes have in common; there the suffixes of all contexts are sorted, the common beginnings of neighbours measured, and the previous and
+next smaller positions found by jumps over what is larger. A window goes whose factor is as long as itself.
 """
 
 from __future__ import annotations
@@ -40,8 +40,8 @@ def prefix_sums(text: np.ndarray) -> np.ndarray:
     return total
 
 
-def segment_anchors(text: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of the text the position of its anchor, and the hash of the gram at each position."""
+def segment_anchors(text: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each window of the text the position of its anchor, the hash of the gram at each position, and the text's prefix sums."""
     total = prefix_sums(text)
     h = total[gram:] - total[:-gram]
     h *= POWERS.get(len(text))[1][: len(h)]
@@ -49,7 +49,7 @@ def segment_anchors(text: np.ndarray, window: int, gram: int) -> tuple[np.ndarra
     low = np.uint64(0xFFFFFFFF)
     keys = h & ~low
     keys |= np.arange(len(h), dtype=np.uint64)
-    return smallest(keys, window - gram + 1).astype(np.uint32), h
+    return smallest(keys, window - gram + 1).astype(np.uint32), h, total
 
 
 def segments(block: B.Block, overlap: int):
@@ -64,7 +64,7 @@ def block_runs(window: int, gram: int):
         """Runs of the block's windows."""
         found = []
         for a, part in segments(block, window - 1):
-            anchor, h = segment_anchors(part, window, gram)
+            anchor, h, total = segment_anchors(part, window, gram)
             stop = np.clip(block.ends - a, 0, len(anchor))
             doc = np.repeat(np.arange(len(stop), dtype=np.int32), np.diff(stop, prepend=0))
             valid = np.zeros(len(anchor) + 1, np.int8)  # windows that end within their document
@@ -73,49 +73,97 @@ def block_runs(window: int, gram: int):
             np.add.at(valid, begin[some], 1)
             np.add.at(valid, end[some], -1)
             runs = W.runs_in_order(anchor, np.cumsum(valid[:-1], dtype=np.int8) > 0, doc, h)
-            runs.first, runs.place = runs.first + a, runs.place + a
+            tag = total[runs.first + runs.count + window - 1] - total[runs.first]
+            runs.tags = (mix(tag * POWERS.get(len(part))[1][runs.first]) >> np.uint64(48)).astype(np.int64)
+            runs.first = runs.first + a
             found.append(runs)
         return W.Runs.joined(found)
 
     return runs_of
 
 
-def name_of(block: B.Block):
-    """Hashes of bytes [a, b) of the block, which lie within one text."""
-    text = np.frombuffer(block.text, np.uint8)
+def words_at(buffer: bytes, at: np.ndarray, window: int, cap: np.ndarray | None = None) -> list[np.ndarray]:
+    """The bytes from each position on as words of 8, as many as the window needs; bytes beyond `cap` count as 0. The buffer has 8 bytes to spare."""
+    every = np.ndarray((len(buffer) - 7,), ">u8", buffer, strides=(1,))
+    out = []
+    for o in range(0, window, 8):
+        w = every[np.minimum(at + o, len(every) - 1)].astype(np.uint64)
+        if o + 8 > window:
+            left = np.clip((window if cap is None else cap) - o, 0, 8).astype(np.uint64)
+            w &= ~(np.uint64(0xFFFFFFFFFFFFFFFF) >> np.uint64(1) >> (left * np.uint64(8) - np.uint64(1)))
+        out.append(w)
+    return out
 
-    def name(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(a), np.uint64)
-        at = np.arange(int((b - a).max(initial=0)))
-        for k in range(0, len(a), 1 << 16):
-            part = LETTERS[text[a[k : k + (1 << 16), None] + at]]
-            out[k : k + (1 << 16)] = mix((part * POWERS.get(len(at))[0]).sum(1, dtype=np.uint64))
-        return out
+
+def names_of(window: int):
+    keys = np.random.Generator(np.random.PCG64(59)).integers(0, 2**63, (2, 2, -(-window // 8)), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def name(block: B.Block, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two columns of 64 bits that name the windows at these positions: sums of finalised words, each under keys of its own."""
+        words = words_at(block.text + b"\0" * 8, at, window)
+        return tuple(mix(sum(mix(w ^ k) * m for w, k, m in zip(words, *lane, strict=True))) for lane in keys)
 
     return name
 
 
-def suffix_runs(contexts: list[bytes], ids: np.ndarray, count: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """For each window of the contexts the id at the start of its run of neighbours in suffix order."""
-    if not len(count) or not count.sum():
-        return np.zeros(0, np.int64)
+def factors(contexts: list[bytes], ids: np.ndarray, count: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """The longest previous factors of longest_previous(), where windows that no other has, by a hash, are left out and get 0: their factors are shorter than the window."""
+    out = np.zeros(int(count.sum()), np.int64)
+    if not len(out):
+        return out
     lengths = np.array([len(c) for c in contexts])
     start = np.cumsum(lengths) - lengths
     at = W.spread(start, count)
-    owner = np.repeat(ids, count)
-    buffer = b"".join(contexts) + b"\0" * 8
-    words = np.ndarray((len(buffer) - 7,), ">u8", buffer, strides=(1,))
-    offsets = [*range(0, window - 7, 8), *([window - 8] if window % 8 else [])]
-    keys = [words[at + o].astype(np.uint64) for o in offsets]
-    order = np.lexsort((owner, *keys[::-1]))
-    new = np.zeros(len(order), bool)
-    new[0] = True
-    for k in keys:
-        k = k[order]
-        new[1:] |= k[1:] != k[:-1]
-    begin = np.flatnonzero(new)
-    out = np.empty(len(order), np.int64)
-    out[order] = np.repeat(owner[order][begin], np.diff(np.append(begin, len(order))))
+    text = np.frombuffer(b"".join(contexts), np.uint8)
+    total, down = prefix_sums(text), POWERS.get(len(text))[1]
+    key = (total[at + window] - total[at]) * down[at]
+    order = np.argsort(key)
+    same = key[order][1:] == key[order][:-1]
+    some = np.zeros(len(out), bool)
+    some[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+    at = at[some]
+    out[some] = longest_previous(text.tobytes(), at, np.repeat(ids, count)[some], np.repeat(start + lengths, count)[some] - at, window)
+    return out
+
+
+def longest_previous(text: bytes, at: np.ndarray, position: np.ndarray, cap: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """For the suffixes at these places of the text the length of the longest previous factor, in suffixes of smaller position, as far as whole words of the
+    window tell. cap: the length of each suffix; factors shorter than the window count as 0."""
+    if not len(at):
+        return np.zeros(0, np.int64)
+    words = words_at(text + b"\0" * 8, at, window, cap)
+    order = np.lexsort(words[::-1])
+    n = len(order)
+    # common beginnings of neighbours in suffix order
+    same = np.zeros(n, np.int64)
+    open_ = np.ones(n - 1, bool)
+    for w in words:
+        w = w[order]
+        x = w[1:] ^ w[:-1]
+        whole = x == 0
+        zeros = 7 - (np.frexp((x >> np.uint64(11)).astype(np.float64))[1] + 10) // 8  # leading bytes that agree, for x >= 2**11
+        zeros = np.where(x < np.uint64(1 << 11), np.where(x < np.uint64(256), 7, 6), zeros)
+        same[1:] += np.where(open_, np.where(whole, 8, zeros), 0)
+        open_ &= whole
+    cap = cap[order]
+    same[1:] = np.minimum(same[1:], np.minimum(cap[1:], cap[:-1]))
+    position = position[order]
+    best = np.zeros(n, np.int64)
+    for turn in (1, -1):  # the previous smaller positions, then the next ones, as the previous ones of the reverse
+        p = position[::turn]
+        common = same if turn > 0 else np.concatenate([[0], same[1:][::-1]])
+        jump = np.arange(n) - 1  # the place before, until it holds a smaller position; whatever is jumped over is as large
+        least = common.copy()  # the shortest common beginning on the way
+        live = np.flatnonzero((jump >= 0) & (least >= window))
+        while len(live := live[p[jump[live]] >= p[live]]):
+            via = jump[live]
+            least[live] = np.minimum(least[live], least[via])
+            jump[live] = jump[via]
+            live = live[(jump[live] >= 0) & (least[live] >= window)]
+        length = np.where((jump >= 0) & (p[jump] < p), least, 0)
+        best = np.maximum(best, length[::turn])
+    out = np.empty(n, np.int64)
+    out[order] = np.where(best >= window, best, 0)
     return out
 
 
@@ -132,12 +180,12 @@ def remove_earlier(df: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
     total = packed.agg(F.sum("bytes").alias("n")).first().n or 0
     contexts_of = lambda block, runs: [block.text[a : a + n + window - 1] for a, n in zip(runs.first.tolist(), runs.count.tolist(), strict=True)]
     windows_in = lambda contexts: np.array([len(c) - window + 1 for c in contexts], np.int64)
-    removed = W.earlier(packed, steps, block_runs(window, gram), contexts_of, windows_in, lambda c, i, n: suffix_runs(c, i, n, window), int(total * 2 / (window - gram + 2)), window // 2, name_of, hot=hot)
+    has_earlier = lambda contexts, ids, count: factors(contexts, ids, count, window) >= window
+    exchange = W.Exchange(total, int(total * 2 / (window - gram + 2)), block_runs(window, gram), names_of(window), contexts_of, windows_in, has_earlier, hot)
 
     def finish(batches):
         for row in B.each_row(batches):
-            block = B.Block(row)
-            starts = W.from_runs(row["removed"])
+            block, starts = exchange.removed(row)
             edge = np.zeros(len(block.text) + 1, np.int32)
             np.add.at(edge, starts, 1)
             np.add.at(edge, starts + window, -1)
@@ -156,7 +204,7 @@ def remove_earlier(df: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
 
     names = ["id", "n_bytes", "n_removed", "kept", "spans"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-    out = packed.join(removed, "block", "left").mapInArrow(finish, "id long, n_bytes long, n_removed long, kept binary, spans array<struct<start:long,end:long>>")
+    out = exchange.run(packed, steps).mapInArrow(finish, "id long, n_bytes long, n_removed long, kept binary, spans array<struct<start:long,end:long>>")
     return out.select(F.when(F.col("id") != B.NULL_ID, F.col("id")).alias("doc_id"), "n_bytes", "n_removed", "kept", "spans")
 
 

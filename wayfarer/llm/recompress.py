@@ -2,11 +2,12 @@
 
 Each round renames a document's symbols, words at first, the same way everywhere: runs of equal symbols become
 one, then pairs of neighbours of which the first falls left and the second right of a split of all names. Names
-are 64-bit hashes of what they stand for, so that every task gives equal sequences equal names without a table
-of them. A symbol whose neighbourhood lies within a window is there wherever that window occurs. Of these
-interior symbols of the highest round each window picks the one of the smallest name, of a lower round where it
-has none; windows of equal words pick the same, so that names that are met twice reveal the repeats, and the
-words around them, compared in the name's bucket, verify them.
+come from what they stand for, so that every task gives equal sequences equal names without a table of them. A
+symbol whose neighbourhood lies within a window is there wherever that window occurs. Of these interior symbols
+of the highest round each window picks the one of the smallest name, of a lower round where it has none; windows
+of equal words pick the same, so that symbols that two documents have reveal where repeats can be. These windows
+are verified by what all their words say: 128 bits from the 128-bit digests of the 20 words, in two columns that
+are worked out apart from each other. Symbols themselves only choose what is compared, so 64 bits do for them.
 """
 
 from __future__ import annotations
@@ -18,12 +19,10 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 from . import windows as W
-from .common import Steps, mix, range_hash, table_of_bytes
-from .jaccard import word_spans
+from .common import SECOND_POWERS, Steps, lanes_of, mix, range_hash, table_of_bytes
 
 WINDOW = 20
 ROUNDS = 2
-LETTERS = table_of_bytes(53)
 NAMES = table_of_bytes(61)
 
 
@@ -74,14 +73,20 @@ def compress_pairs(s: Symbols, edge_low: np.ndarray, edge_high: np.ndarray, leve
 
 
 class Words:
-    """Words of a block: byte spans, documents, names, and each document's range of words."""
+    """Words of a block: their names in two columns, documents, and each document's range of words."""
 
     def __init__(self, block: B.Block):
-        text = np.frombuffer(block.text, np.uint8)
-        self.start, self.end, self.doc = word_spans(text, block) if len(text) else (np.zeros(0, np.int64),) * 3
-        self.name = range_hash(LETTERS[text], self.start, self.end)
-        docs = np.arange(len(block.ids))
-        self.low, self.high = np.searchsorted(self.doc, docs), np.searchsorted(self.doc, docs, "right")
+        words: list[bytes] = []
+        size = []
+        for a, b in zip(block.starts.tolist(), block.ends.tolist(), strict=True):
+            own = block.text[a:b].split()  # bytes are split at ASCII white space
+            size.append(len(own))
+            words += own
+        lanes = lanes_of(words)
+        self.name, self.other = lanes[:, 0].copy(), lanes[:, 1].copy()
+        self.high = np.cumsum(size, dtype=np.int64)
+        self.low = self.high - np.array(size, np.int64)
+        self.doc = np.repeat(np.arange(len(size)), size)
 
 
 def words_in(block: B.Block) -> Words:
@@ -91,8 +96,14 @@ def words_in(block: B.Block) -> Words:
     return block.words
 
 
-def anchors(words: Words, window: int, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each word that begins a window the number of its anchor among all symbols (-1: none), these symbols' names, and the first words that they depend on."""
+def window_names(words: Words, window: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two columns that name the windows that begin at these words."""
+    end = np.minimum(at + window, len(words.name))
+    return range_hash(words.name, at, end), range_hash(words.other, at, end, SECOND_POWERS)
+
+
+def anchors(words: Words, window: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each word that begins a window the number of its anchor among all symbols (-1: none), and these symbols' names."""
     n = len(words.name)
     at = np.arange(n)
     s = Symbols(words.name, at, at + 1, words.doc)
@@ -100,12 +111,14 @@ def anchors(words: Words, window: int, rounds: int) -> tuple[np.ndarray, np.ndar
     for k in range(1, rounds + 1):
         s = compress_pairs(compress_runs(s, words.low, words.high, window, 2 * k), words.low, words.high, 2 * k + 1)
         levels.append(s)
-    chosen, names, places, base = np.full(n, -1, np.int64), [], [], 0
+    chosen, names, base = np.full(n, -1, np.int64), [], 0
+    begins = at <= words.high[words.doc] - window  # words at which a window begins
     for k, s in reversed(list(enumerate(levels))):
         best = np.full(n, np.iinfo(np.uint64).max, np.uint64)
         first = np.maximum(s.high - window, words.low[s.doc])
         last = np.minimum(s.low, words.high[s.doc] - window)  # windows [first, last] hold all that the symbol depends on
-        inside = np.flatnonzero(first <= last)
+        without = np.concatenate([[0], np.cumsum(begins & (chosen < 0))])  # windows that no higher round has a symbol for
+        inside = np.flatnonzero((first <= last) & (without[np.maximum(last, -1) + 1] > without[np.minimum(first, n)]))
         key = (s.name[inside] & ~np.uint64(0xFFFFFFFF)) | inside.astype(np.uint64)
         at, until = first[inside], last[inside]
         while len(at):  # one window of each symbol at a time, which keeps memory at the number of symbols
@@ -115,12 +128,11 @@ def anchors(words: Words, window: int, rounds: int) -> tuple[np.ndarray, np.ndar
         free = (chosen < 0) & (best != np.iinfo(np.uint64).max)
         chosen[free] = base + (best[free] & np.uint64(0xFFFFFFFF)).astype(np.int64)
         names.append(mix(s.name + NAMES[200 + k]))
-        places.append(s.low)
         base += len(s.name)
-    return chosen, np.concatenate(names), np.concatenate(places)
+    return chosen, np.concatenate(names)
 
 
-def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, rounds: int = ROUNDS, block_bytes: int = B.BLOCK_BYTES, hot: int = W.HOT) -> DataFrame:
+def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, rounds: int = ROUNDS, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept (its remaining words, one space between them).
 
     Every word covered by a window whose words also start in a document of smaller id, or further up in the same one, goes.
@@ -132,47 +144,33 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
 
     def runs_of(block):
         words = words_in(block)
-        chosen, names, places = anchors(words, window, rounds)
-        return W.runs_in_order(chosen, chosen >= 0, words.doc, names, places)
-
-    def name_of(block):
-        names = words_in(block).name
-        return lambda a, b: range_hash(names, a, b)
-
-    def names_of(block):
-        """The name of each window, at its first word: a hash of its words' names."""
-        if not hasattr(block, "windows"):
-            names = words_in(block).name
-            at = np.arange(len(names))
-            block.windows = range_hash(names, at, np.minimum(at + window, len(names)))
-        return block.windows
-
-    def contexts_of(block, runs):
-        names = names_of(block).astype("<u8").tobytes()
-        return [names[8 * a : 8 * (a + n)] for a, n in zip(runs.first.tolist(), runs.count.tolist(), strict=True)]
-
-    def windows_in(contexts):
-        return np.array([len(c) // 8 for c in contexts], np.int64)
-
-    def earliest(contexts, ids, count):
-        """The smallest id of each window's name."""
-        names, owner = np.frombuffer(b"".join(contexts), "<u8"), np.repeat(ids, count)
-        order = np.lexsort((owner, names))
-        begin = np.flatnonzero(np.concatenate([[True], names[order][1:] != names[order][:-1]])) if len(order) else order
-        out = np.empty(len(order), np.int64)
-        out[order] = np.repeat(owner[order][begin], np.diff(np.append(begin, len(order))))
-        return out
-
-    removed = W.earlier(packed, steps, runs_of, contexts_of, windows_in, earliest, total // 24, window // 2, name_of, names_of, hot)
+        chosen, names = anchors(words, window, rounds)
+        return W.runs_in_order(chosen, chosen >= 0, words.doc, names)
+
+    names_of = lambda block, at: window_names(words_in(block), window, at)
+    exchange = W.Exchange(total, total // 24, runs_of, names_of, hot=None)
+
+    def repeated(words: Words) -> np.ndarray:
+        """The windows that start further up in the same document too."""
+        size = words.high - words.low
+        some = size >= window
+        at = W.spread(words.low[some], size[some] - window + 1)
+        if not len(at):
+            return at
+        a, b = window_names(words, window, at)
+        doc = words.doc[at]
+        order = np.lexsort((at, b, a, doc))
+        a, b, doc = a[order], b[order], doc[order]
+        return at[order[1:][(a[1:] == a[:-1]) & (b[1:] == b[:-1]) & (doc[1:] == doc[:-1])]]
 
     def finish(batches):
         for row in B.each_row(batches):
-            block = B.Block(row)
+            block, found = exchange.removed(row)
             words = words_in(block)
-            starts = W.from_runs(row["removed"])
             edge = np.zeros(len(words.name) + 1, np.int32)
-            np.add.at(edge, starts, 1)
-            np.add.at(edge, np.minimum(starts + window, len(words.name)), -1)
+            for starts in (found, repeated(words)):
+                np.add.at(edge, starts, 1)
+                np.add.at(edge, np.minimum(starts + window, len(words.name)), -1)
             gone = np.cumsum(edge[:-1]) > 0
             rows = []
             for i, a, b, low, high in zip(block.ids.tolist(), block.starts.tolist(), block.ends.tolist(), words.low.tolist(), words.high.tolist(), strict=True):
@@ -184,7 +182,7 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 512], strict=True), types, strict=True)], names)
 
     names, types = ["id", "n_words", "n_removed", "kept"], [pa.int64(), pa.int64(), pa.int64(), pa.string()]
-    out = packed.join(removed, "block", "left").mapInArrow(finish, "id long, n_words long, n_removed long, kept string")
+    out = exchange.run(packed, steps).mapInArrow(finish, "id long, n_words long, n_removed long, kept string")
     return out.select(F.when(F.col("id") != B.NULL_ID, F.col("id")).alias("doc_id"), "n_words", "n_removed", "kept")
 
 

@@ -1,69 +1,60 @@
-"""Which windows of a document occur earlier: the exchange that both kinds of substring removal share.
+"""Which windows of a document occur in a document of smaller id: the exchange that both kinds of substring removal share.
 
-An operator names, for every window, one anchor inside it that depends on the window's content alone. Windows in
-a row with the same anchor make a run; its context is what tells them apart, the bytes that they cover or their
-names. Contexts whose anchor is shared meet in the anchor's bucket, each distinct one once a block, with the smallest
-id that has it there, and the places that ask. The bucket finds, for each window of each context, the smallest id of
-all that contain it, and names the windows of larger ids.
+An operator names, for every window, one anchor inside it that depends on the window's content alone. Windows in a row with the
+same anchor make a run. Anchors that no other document has drop out. What is left meets in buckets, in one of two forms:
+
+* a run's context, the bytes that its windows cover, in the bucket of its anchor, where the windows are compared byte by byte;
+* windows by name, 128 bits each, in the bucket of the name: for anchors that many contexts go with, such as the edges of a
+  common passage, so that no bucket grows with the number of surroundings.
+
+A block sends each distinct context or name once, with the smallest id that has it there, so that a group of copies costs one entry a
+block. The bucket answers with one bit a window: does a still smaller id have it elsewhere? Who has what within the block, the block
+knows itself: a document of a larger id than the smallest one loses all windows of a context, the smallest one those with the bit.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import Steps, mix
+from .common import Steps
 
 BUCKET_BYTES = 1 << 21
-#: An anchor that so many blocks have is hot: its windows are told apart further before they meet.
-HOT = 24
+#: An anchor with more contexts than these has its windows named one by one.
+HOT = 64
+CONTEXTS, NAMES = 0, 1
 
 
 class Runs:
-    """Runs of windows of a block: the anchor's key, the first window, how many, the document's place in the block, and where the anchor stands."""
+    """Runs of windows of a block: the anchor's key, a 16-bit tag of the context, the first window, how many, and the document's place in the block."""
 
-    NAMES = ("keys", "first", "count", "doc", "place")
+    FIELDS = ("keys", "tags", "first", "count", "doc")
 
-    def __init__(self, keys: np.ndarray, first: np.ndarray, count: np.ndarray, doc: np.ndarray, place: np.ndarray):
-        self.keys, self.first, self.count, self.doc, self.place = keys, first, count, doc, place
+    def __init__(self, keys: np.ndarray, tags: np.ndarray, first: np.ndarray, count: np.ndarray, doc: np.ndarray):
+        self.keys, self.tags, self.first, self.count, self.doc = keys, tags, first, count, doc
 
     @classmethod
     def joined(cls, parts: list[Runs]) -> Runs:
         none = np.zeros(0, np.int64)
-        return cls(*(np.concatenate([getattr(p, n) for p in parts]) if parts else none.astype(np.uint64 if n == "keys" else np.int64) for n in cls.NAMES))
+        return cls(*(np.concatenate([getattr(p, n) for p in parts]) if parts else none.astype(np.uint64 if n == "keys" else np.int64) for n in cls.FIELDS))
 
     def take(self, which: np.ndarray) -> Runs:
-        return Runs(*(getattr(self, n)[which] for n in self.NAMES))
-
-    def split(self, hot: np.ndarray, half: int, name) -> Runs:
-        """Hot anchors' runs in two, each under a key of its own: of the `half` units before the anchor where windows hold these, else of those from the anchor on.
-
-        Either lies within the window, so that equal windows still meet, but the many surroundings of a common passage don't.
-        """
-        if not hot.any():
-            return self
-        rest, own = self.take(~hot), self.take(hot)
-        n = np.clip(own.place - half - own.first + 1, 0, own.count)  # windows that begin `half` units before the anchor, or more
-        before = Runs(own.keys, own.first, n, own.doc, own.place).take(n > 0)
-        after = Runs(own.keys, own.first + n, own.count - n, own.doc, own.place).take(n < own.count)
-        before.keys = mix(before.keys ^ name(before.place - half, before.place))
-        after.keys = mix(after.keys + name(after.place, after.place + half))
-        return Runs.joined([rest, before, after])
-
-
-def runs_in_order(anchor: np.ndarray, valid: np.ndarray, doc: np.ndarray, keys: np.ndarray, places: np.ndarray | None = None) -> Runs:
-    """Runs from each window's anchor, whether it is a window at all, its document, and the anchors' keys and places (by default, what the anchors are)."""
+        return Runs(*(getattr(self, n)[which] for n in self.FIELDS))
+
+
+def runs_in_order(anchor: np.ndarray, valid: np.ndarray, doc: np.ndarray, keys: np.ndarray) -> Runs:
+    """Runs from each window's anchor, whether it is a window at all, its document, and the anchors' keys. Tags are left at 0."""
     if not len(valid):
         return Runs.joined([])
     same = (anchor[1:] == anchor[:-1]) & (doc[1:] == doc[:-1]) & valid[:-1]
     first = np.flatnonzero(valid & ~np.concatenate([[False], same]))
     goes_on = np.concatenate([same & valid[1:], [False]])
     last = np.flatnonzero(valid & ~goes_on)
-    a = anchor[first]
-    return Runs(keys[a], first, last - first + 1, doc[first].astype(np.int64), a.astype(np.int64) if places is None else places[a])
+    return Runs(keys[anchor[first]], np.zeros(len(first), np.int64), first, last - first + 1, doc[first].astype(np.int64))
 
 
 def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -71,120 +62,185 @@ def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
 
 
-def as_runs(starts: np.ndarray) -> bytes:
-    """Sorted distinct numbers as pairs of start and length."""
-    if not len(starts):
-        return b""
-    new = np.flatnonzero(np.concatenate([[True], starts[1:] != starts[:-1] + 1]))
-    return np.stack([starts[new], np.diff(np.append(new, len(starts)))], 1).astype("<i8").tobytes()
-
-
-def from_runs(blobs: list[bytes] | None) -> np.ndarray:
-    if not blobs:
-        return np.zeros(0, np.int64)
-    pairs = np.frombuffer(b"".join(blobs), "<i8").reshape(-1, 2)
-    return spread(pairs[:, 0], pairs[:, 1])
-
-
 def cut(blob: bytes, lengths: np.ndarray) -> list[bytes]:
     ends = np.cumsum(lengths).tolist()
     return [blob[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
-def merged(rows: list[tuple[list[bytes], list[int]]]) -> tuple[list[bytes], np.ndarray, list[np.ndarray]]:
-    """Distinct contexts of several lists, the smallest id of each, and for each list which of them its contexts are."""
-    seen: dict[bytes, int] = {}
-    least: list[int] = []
-    which = []
-    for contexts, ids in rows:
-        own = []
-        for c, i in zip(contexts, ids, strict=True):
-            k = seen.setdefault(c, len(least))
-            if k == len(least):
-                least.append(i)
-            elif i < least[k]:
-                least[k] = i
-            own.append(k)
-        which.append(np.array(own, np.int64))
-    return list(seen), np.array(least, np.int64), which
-
-
-def earlier(packed: DataFrame, steps: Steps, runs_of, contexts_of, windows_in, earliest, anchors: int, half: int, name_of, names_of=None, hot: int = HOT) -> DataFrame:
-    """(block, removed): for each block the runs of its windows that occur in a document of smaller id or, with names_of, further up in the same one.
+def squeezed(data: bytes) -> bytes:
+    """The data after a byte that says whether it is compressed; short data isn't."""
+    return b"\1" + zstandard.ZstdCompressor(level=1).compress(data) if len(data) > 400 else b"\0" + data
+
+
+def expanded(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data[1:]) if data[:1] == b"\1" else data[1:]
+
+
+def least_of(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of names in two columns: one place for each distinct name, where its smallest id stands, and for each input which of these is its own."""
+    order = np.lexsort((ids, b, a))
+    x, y = a[order], b[order]
+    new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]) if len(order) else np.zeros(0, bool)
+    own = np.empty(len(order), np.int64)
+    own[order] = np.cumsum(new) - 1
+    return order[new], own
+
+
+def merged(contexts: list[bytes], ids: list[int]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct contexts, the smallest id of each, and for each input which of these is its own."""
+    number: dict[bytes, int] = {}
+    own = np.fromiter((number.setdefault(c, len(number)) for c in contexts), np.int64, len(contexts))
+    least = np.full(len(number), np.iinfo(np.int64).max)
+    np.minimum.at(least, own, np.asarray(ids, np.int64))
+    return list(number), least, own
+
+
+class Offer:
+    """What a block sends, and what it makes of the answers; both need the same order, so both start here."""
+
+    def __init__(self, block: B.Block, runs: Runs, states: np.ndarray, contexts_of, names_of, n_buckets: int):
+        self.plain = runs.take(states == B.FEW)
+        self.ids = block.ids
+        found = contexts_of(block, self.plain) if len(self.plain.keys) else []
+        self.contexts, self.least, own = merged(found, block.ids[self.plain.doc].tolist())
+        key = np.zeros(len(self.contexts), np.uint64)
+        key[own] = self.plain.keys
+        self.order, self.cuts = self.dealt((key % np.uint64(n_buckets)).astype(np.int64), self.least)
+        self.place = np.empty(len(self.order), np.int64)
+        self.place[self.order] = np.arange(len(self.order))
+        self.own = self.place[own]  # contexts by their place in what is sent
+        hot = runs.take(states == B.MANY)
+        self.windows, self.owners = spread(hot.first, hot.count), block.ids[np.repeat(hot.doc, hot.count)]
+        self.a, self.b = names_of(block, self.windows) if len(self.windows) else (np.zeros(0, np.uint64),) * 2
+        at, name = least_of(self.a, self.b, self.owners)
+        self.first_at = at
+        self.name_order, self.name_cuts = self.dealt((self.a[at] % np.uint64(n_buckets)).astype(np.int64), self.owners[at])
+        place = np.empty(len(at), np.int64)
+        place[self.name_order] = np.arange(len(at))
+        self.name = place[name]
+
+    @staticmethod
+    def dealt(bucket: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """An order by bucket, then id, and (bucket, start, end) of each bucket in it."""
+        order = np.lexsort((ids, bucket))
+        b = bucket[order]
+        at = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else np.zeros(0, np.int64)
+        return order, list(zip(b[at].tolist(), at.tolist(), np.append(at[1:], len(b)).tolist(), strict=False))
+
+    def rows(self):
+        """(bucket, kind, data, lengths, ids) for each bucket that the block has something for."""
+        steps = lambda x: squeezed(np.diff(x, prepend=0).astype("<i8").tobytes())
+        for bucket, a, b in self.cuts:
+            some = self.order[a:b]
+            parts = [self.contexts[k] for k in some.tolist()]
+            yield bucket, CONTEXTS, squeezed(b"".join(parts)), squeezed(np.array([len(c) for c in parts], "<i4").tobytes()), steps(self.least[some])
+        for bucket, a, b in self.name_cuts:
+            some = self.first_at[self.name_order[a:b]]
+            yield bucket, NAMES, self.a[some].astype("<u8").tobytes() + self.b[some].astype("<u8").tobytes(), b"", steps(self.owners[some])
+
+    def removed(self, answers: dict[tuple[int, int], bytes], windows_in) -> np.ndarray:
+        """The windows that go, sorted. answers: bits by kind and bucket, where any is set."""
+        count = windows_in([self.contexts[k] for k in self.order.tolist()])
+        start = np.cumsum(count) - count
+        bits = np.zeros(int(count.sum()), np.uint8)
+        for bucket, a, b in self.cuts:
+            if said := answers.get((CONTEXTS, bucket)):
+                n = int(count[a:b].sum())
+                bits[start[a] : start[a] + n] = np.unpackbits(np.frombuffer(said, np.uint8), count=n)
+        later = self.ids[self.plain.doc] > self.least[self.order][self.own]
+        n = self.plain.count
+        gone = np.repeat(later, n) | (bits[spread(start[self.own], n)] > 0)
+        found = [spread(self.plain.first, n)[gone]]
+        bits = np.zeros(len(self.name_order), np.uint8)
+        for bucket, a, b in self.name_cuts:
+            if said := answers.get((NAMES, bucket)):
+                bits[a:b] = np.unpackbits(np.frombuffer(said, np.uint8), count=b - a)
+        least = self.owners[self.first_at[self.name_order]]
+        found.append(self.windows[(self.owners > least[self.name]) | (bits[self.name] > 0)] if len(self.windows) else self.windows)
+        return np.sort(np.concatenate(found))
+
+
+def decide(rows: list[dict], windows_in, has_earlier) -> list[bytes]:
+    """A bucket's answers, one for each row: a bit for each window of its contexts, or for each of its names; empty where no bit is set."""
+    ids = [np.cumsum(np.frombuffer(expanded(r["ids"]), "<i8")) for r in rows]
+    said = [b""] * len(rows)
+    some = [k for k, r in enumerate(rows) if r["kind"] == CONTEXTS]
+    if some:
+        parts = [cut(expanded(rows[k]["data"]), np.frombuffer(expanded(rows[k]["lengths"]), "<i4")) for k in some]
+        contexts, least, own = merged([c for p in parts for c in p], np.concatenate([ids[k] for k in some]).tolist())
+        count = windows_in(contexts)
+        start = np.cumsum(count) - count
+        earlier = has_earlier(contexts, least, count)
+        at = 0
+        for k, p in zip(some, parts, strict=True):
+            mine, at = own[at : at + len(p)], at + len(p)
+            n = count[mine]
+            bits = earlier[spread(start[mine], n)] | np.repeat(ids[k] > least[mine], n)
+            said[k] = np.packbits(bits).tobytes() if bits.any() else b""
+    some = [k for k, r in enumerate(rows) if r["kind"] == NAMES]
+    if some:
+        lanes = [np.frombuffer(rows[k]["data"], "<u8").reshape(2, -1) for k in some]
+        a, b = (np.concatenate([x[j] for x in lanes]) for j in (0, 1))
+        every = np.concatenate([ids[k] for k in some])
+        first, own = least_of(a, b, every)
+        bits = every > every[first][own]
+        at = 0
+        for k, x in zip(some, lanes, strict=True):
+            mine, at = bits[at : at + x.shape[1]], at + x.shape[1]
+            said[k] = np.packbits(mine).tobytes() if mine.any() else b""
+    return said
+
+
+class Exchange:
+    """The steps between packed blocks and the windows that go.
 
     runs_of(block) -> Runs; contexts_of(block, runs) -> the bytes of each; windows_in(contexts) -> how many windows each has;
-    earliest(contexts, ids, counts) -> for all their windows the smallest id; anchors: about how many runs there are, for the number
-    of buckets; half, name_of(block): half a window, and what hashes units [a, b) of the block, for anchors that `hot` blocks have;
-    names_of(block) -> a name for each window's content.
+    has_earlier(contexts, ids, counts) -> for all their windows whether a smaller id has them; names_of(block, windows) -> two columns of
+    64 bits that name each window's content; anchors: about how many runs there are; hot: how many contexts make an anchor hot (None: all are).
     """
 
-    def keys_of(block):
-        runs = runs_of(block)
-        return B.distinct(runs.keys, np.arange(len(runs.keys)) if names_of else runs.doc)
-
-    counts = steps.write(B.shared(packed, keys_of, anchors))
-    total = packed.agg(F.sum("bytes").alias("n")).first().n or 0
-    n_buckets = max(1, total // BUCKET_BYTES)
-
-    def offer(batches):
-        for row in B.each_row(batches):
-            block = B.Block(row)
-            runs = runs_of(block)
-            met = B.counts_of(row)
-            if not len(runs.keys):
-                continue
-            met = met[np.searchsorted(np.unique(runs.keys), runs.keys)]
-            runs, met = runs.take(met > 0), met[met > 0]
-            if not len(met):
-                continue
-            out, again = [], b""
-            if names_of:
-                starts = spread(runs.first, runs.count)
-                name, doc = names_of(block)[starts], np.repeat(runs.doc, runs.count)
-                order = np.lexsort((starts, name, doc))
-                s, n, d = starts[order], name[order], doc[order]
-                again = as_runs(np.sort(s[np.concatenate([[False], (n[1:] == n[:-1]) & (d[1:] == d[:-1])])]))
-            runs = runs.split(met >= hot, half, name_of(block))
-            bucket = (runs.keys % np.uint64(n_buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            found, ids = contexts_of(block, runs), block.ids[runs.doc]
-            cuts = np.flatnonzero(np.concatenate([[True], bucket[order][1:] != bucket[order][:-1]])).tolist()
-            for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
-                own = order[a:b]
-                contexts, _, which = merged([([found[k] for k in own.tolist()], ids[own].tolist())])
-                every = b"" if len(contexts) == len(own) else which[0].astype("<i4").tobytes()
-                out.append((int(bucket[own[0]]), row["block"], b"".join(contexts), np.array([len(c) for c in contexts], "<i4").tobytes(), runs.first[own].astype("<i8").tobytes(), ids[own].astype("<i8").tobytes(), every, again))
-                again = b""  # goes with the first of the block's rows
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
-
-    names = ["bucket", "block", "contexts", "lengths", "first", "ids", "which", "again"]
-    types = [pa.int64(), pa.int64(), *[pa.binary()] * 6]
-    offers = packed.join(counts, "block").mapInArrow(offer, ", ".join(f"{n} {'binary' if k > 1 else 'long'}" for k, n in enumerate(names)))
-
-    def answer(key, table):
-        del key
-        rows, lists = [], []
-        for r in table.to_pylist():
-            ids, contexts = np.frombuffer(r["ids"], "<i8"), cut(r["contexts"], np.frombuffer(r["lengths"], "<i4"))
-            which = np.frombuffer(r["which"], "<i4") if r["which"] else np.arange(len(ids))
-            least = np.full(len(contexts), np.iinfo(np.int64).max)
-            np.minimum.at(least, which, ids)
-            rows.append((which, np.frombuffer(r["first"], "<i8"), ids, r["again"]))
-            lists.append((contexts, least.tolist()))
-        contexts, least, kept = merged(lists)
-        del lists
-        count = windows_in(contexts)
-        start = np.cumsum(count) - count
-        found = earliest(contexts, least, count)
-        removed = []
-        for (which, first, ids, again), own in zip(rows, kept, strict=True):
-            context = own[which]
-            n = count[context]
-            gone = found[spread(start[context], n)] < np.repeat(ids, n)
-            removed.append(as_runs(np.sort(spread(first, n)[gone])) + again)
-        return pa.table({"block": table["block"], "removed": pa.array(removed, pa.binary())})
-
-    decided = offers.groupBy("bucket").applyInArrow(answer, "block long, removed binary")
-    removed = steps.write(decided.groupBy("block").agg(F.collect_list("removed").alias("removed")))
-    steps.drop(counts)
-    return removed
+    def __init__(self, n_bytes: int, anchors: int, runs_of, names_of, contexts_of=lambda block, runs: [], windows_in=lambda contexts: np.zeros(len(contexts), np.int64), has_earlier=None, hot: int | None = HOT):
+        self.runs_of, self.names_of, self.contexts_of, self.windows_in, self.has_earlier, self.hot = runs_of, names_of, contexts_of, windows_in, has_earlier, hot
+        self.n_buckets, self.anchors, self.n_bytes = max(1, n_bytes // BUCKET_BYTES), anchors, n_bytes
+
+    def keys_of(self, block: B.Block):
+        runs = self.runs_of(block)
+        return B.distinct(runs.keys, runs.doc) if self.hot is None else B.pairs(runs.keys, runs.tags, runs.doc)[:3]
+
+    def offer(self, row: dict) -> tuple[B.Block, Offer]:
+        block = B.Block(row)
+        runs, said = self.runs_of(block), B.counts_of(row)
+        if self.hot is None:
+            states = np.where(said[np.searchsorted(np.unique(runs.keys), runs.keys)] > 0, B.MANY, B.ALONE) if len(runs.keys) else said
+        else:
+            states = said[B.pairs(runs.keys, runs.tags, runs.doc)[3]] if len(runs.keys) else said
+        return block, Offer(block, runs, states, self.contexts_of, self.names_of, self.n_buckets)
+
+    def run(self, packed: DataFrame, steps: Steps) -> DataFrame:
+        """The blocks with `counts` and `said`, which removed() needs."""
+        parts = B.partitions(packed, self.n_bytes)
+        counts = steps.write(B.shared(packed, self.keys_of, self.anchors, self.hot))
+
+        def send(batches):
+            for row in B.each_row(batches):
+                out = list(self.offer(row)[1].rows())
+                for at in range(0, len(out), 4096):
+                    bucket, kind, *rest = zip(*out[at : at + 4096], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array([row["block"]] * len(bucket), pa.int64()), pa.array(kind, pa.int32()), *[pa.array(c, pa.binary()) for c in rest]], ["bucket", "block", "kind", "data", "lengths", "ids"])
+
+        def answer(key, table):
+            del key
+            said = decide(table.select(["kind", "data", "lengths", "ids"]).to_pylist(), self.windows_in, self.has_earlier)
+            whole = pa.table({"block": table["block"], "kind": table["kind"], "bucket": table["bucket"], "said": pa.array(said, pa.binary())})
+            return whole.filter(pa.array([len(s) > 0 for s in said]))
+
+        blocks = packed.repartition(parts, "block")
+        sent = blocks.join(counts, "block").mapInArrow(send, "bucket long, block long, kind int, data binary, lengths binary, ids binary")
+        decided = sent.repartition(parts, "bucket").groupBy("bucket").applyInArrow(answer, "block long, kind int, bucket long, said binary")
+        said = steps.write(decided.groupBy("block").agg(F.collect_list(F.struct("kind", "bucket", "said")).alias("said")))
+        return blocks.join(counts, "block", "left").join(said, "block", "left")
+
+    def removed(self, row: dict) -> tuple[B.Block, np.ndarray]:
+        """A block of run()'s result and its windows that go."""
+        block, offer = self.offer(row)
+        return block, offer.removed({(s["kind"], s["bucket"]): s["said"] for s in row["said"] or []}, self.windows_in)
