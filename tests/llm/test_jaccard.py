@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from wayfarer.llm import jaccard
@@ -50,7 +51,7 @@ def near_copies(seed, n):
     return out
 
 
-@pytest.mark.parametrize(("seed", "group"), [(1, 256), (2, 7)])
+@pytest.mark.parametrize(("seed", "group"), [(1, 256), (2, 7), (3, 2)])
 def test_components(spark, seed, group):
     texts = near_copies(seed, 160)
     ids = random.Random(seed).sample(range(-50, 1000), len(texts))
@@ -88,7 +89,9 @@ def test_rows_of_one_id_nulls_and_no_rows(spark):
     df = spark.createDataFrame([(3, text), (3, text), (7, text), (None, text), (None, None), (9, None)], "doc_id long, text string")
     got = sorted(((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in jaccard.jaccard_components(df.where("doc_id is not null")).collect()))
     assert got == [(3, 7, 3), (3, 7, 3), (7, 7, 3), (9, 0, 9)]
-    assert {r.component_id for r in jaccard.jaccard_components(df).where("n_shingles > 0").collect()} == {None}
+    assert sorted(map(str, jaccard.jaccard_components(df).collect())) == sorted(map(str, [*(Row(doc_id=i, n_shingles=7, component_id=3) for i in (3, 3, 7, None)), Row(doc_id=None, n_shingles=0, component_id=None), Row(doc_id=9, n_shingles=0, component_id=9)]))
+    alone = spark.createDataFrame([(None, text), (None, text + " and more of them"), (None, "quite another text of many words, which has nothing at all in common with these"), (4, "quite another text of many words, which has nothing at all in common with this")], "doc_id long, text string")
+    assert sorted(str(r.component_id) for r in jaccard.jaccard_components(alone).collect()) == ["4", "4", "None", "None"]
     assert jaccard.jaccard_components(df.limit(0)).count() == 0
     few = spark.createDataFrame([(1, "two words"), (2, "TWO\nwords"), (3, "three")], "doc_id long, text string")
     assert sorted((r.doc_id, r.component_id) for r in jaccard.jaccard_components(few, block_bytes=1).collect()) == [(1, 1), (2, 1), (3, 3)]
@@ -98,3 +101,39 @@ def test_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 500), (7, 7), (None, 3)], "a long, b long")
     got = {r.node: r.label for r in components(edges, Steps(spark, "test")).collect()}
     assert got == {i: 0 for i in range(201)} | {500: 500, 501: 500}
+
+
+def test_a_hub_a_grid_and_no_edges(spark):
+    rng = random.Random(3)
+    pairs = [(0, i) for i in range(1, 300)] + [(900 + i, 900 + i + 1) for i in range(9)] + [(rng.randrange(1000, 1100), rng.randrange(1000, 1100)) for _ in range(90)] + [(2000, i) for i in range(1500, 1520)]
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        p, q = sorted((find(a), find(b)))
+        up[q] = p
+    loops = {a for a, b in pairs if a == b} - {x for a, b in pairs if a != b for x in (a, b)}
+    got = {r.node: r.label for r in components(spark.createDataFrame(pairs, "a long, b long"), Steps(spark, "test")).collect()}
+    assert got == {x: find(x) for x in up if x not in loops}
+    assert components(spark.createDataFrame([], "a long, b long"), Steps(spark, "test")).count() == 0
+
+
+def test_words_that_collide_in_polynomials(spark):
+    one, two = (["".join(t) for t in (["ab"[bin(k).count("1") % 2 ^ flip] for k in range(1024)] for flip in (0, 1))])
+    rows = [(1, f"{one} p q r s"), (2, f"{two} p q r s"), (3, f"p {one} q r s {one}"), (4, f"p {two} q r s {one}")]
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4}
+
+
+def test_one_long_text(spark):
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(10**9)}" for _ in range(300_000)]  # more than a block
+    near = words[:]
+    near[::80] = ["x"] * len(near[::80])
+    rows = [(9, " ".join(words)), (5, " ".join(near)), (7, " ".join(words[:100_000]))]
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {9: 5, 5: 5, 7: 7}

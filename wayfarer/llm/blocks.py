@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from .common import Steps, slices
 
 BLOCK_BYTES = 1 << 21
+BLOCK_DOCS = 1 << 20
 BUCKET_KEYS = 1 << 20
 #: A null id stands before all others.
 NULL_ID = -(2**63)
@@ -42,7 +43,7 @@ def pack(df: DataFrame, doc_id: str, text: str, steps: Steps, block_bytes: int =
         size = 0
         for b in slices(batches):
             for i, t in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                if parts and size + len(t) > block_bytes:
+                if parts and (size + len(t) > block_bytes or len(parts) == BLOCK_DOCS):
                     yield row()
                     n, size, ids, parts = n + 1, 0, [], []
                 ids.append(NULL_ID if i is None else i)

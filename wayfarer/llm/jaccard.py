@@ -6,64 +6,59 @@
    others, equal sets are represented by one, and the shingles in those prefixes tie candidates into groups.
 3. In each group the ordered sets form a trie. A set walks it once, so that overlaps with a common beginning are
    counted once, and leaves a subtree as soon as the shingles left on either side can't reach the overlap needed.
-   Groups beyond GROUP sets are dealt into parts, each pair of parts a task of its own. Links that join what is
-   joined already are skipped, so that a group yields at most one link a set, and never all its pairs.
+   A group beyond GROUP sets is dealt by size into bands, of which only neighbours can match, and each band into
+   parts; a pair of parts is a task of its own. Links that join what is joined already are skipped, so that a
+   task yields at most one link a set, and never all its pairs.
+
+Shingles are known by 64 bits from the 128-bit digests of their words. Equal sets are told by two sums of 64 bits.
 """
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import blocks as B
-from .common import Steps, mix, range_hash, table_of_bytes
+from .common import Steps, lanes_of, mix, salted, table_of_bytes
 from .components import components
 
 WORDS = 5
 PERCENT = 75
 GROUP = 256
-#: ASCII white space, and A to Z in lower case (fixed values).
-SPACE = np.zeros(256, bool)
-SPACE[[9, 10, 11, 12, 13, 32]] = True
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
-LETTERS = table_of_bytes(31)
 PLACES = table_of_bytes(37)
 
 
-def word_spans(text: np.ndarray, block: B.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word, and its document."""
-    inside = ~SPACE[text]
-    begins, stops = inside.copy(), inside.copy()
-    begins[1:] &= ~inside[:-1]
-    stops[:-1] &= ~inside[1:]
-    edges = block.ends[:-1]
-    edges = np.unique(edges[(edges > 0) & (edges < len(text))])
-    begins[edges] = inside[edges]  # a word ends with its document
-    stops[edges - 1] = inside[edges - 1]
-    starts = np.flatnonzero(begins)
-    return starts, np.flatnonzero(stops) + 1, np.searchsorted(block.ends, starts, "right")
-
-
 def shingles(block: B.Block, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Each document's distinct shingles as (document, hash), sorted. Fewer words make one shingle; no word none."""
-    text = LOWER[np.frombuffer(block.text, np.uint8)]
-    starts, ends, doc = word_spans(text, block)
-    if not len(starts):
+    """Each document's distinct shingles as (document, hash), sorted. Fewer words make one shingle; no word none.
+
+    A to Z count as lower case, and ASCII white space separates words, as for Python's bytes.
+    """
+    text = block.text.lower()
+    every: list[bytes] = []
+    size = np.zeros(len(block.ids), np.int64)
+    for k, (a, b) in enumerate(zip(block.starts.tolist(), block.ends.tolist(), strict=True)):
+        own = text[a:b].split()
+        size[k] = len(own)
+        every += own
+    if not every:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    word = range_hash(LETTERS[text], starts, ends)
-    first = np.searchsorted(doc, np.arange(len(block.ids)))
-    size = np.searchsorted(doc, np.arange(len(block.ids)), "right") - first
-    n = len(word)
+    name = lanes_of(every)
+    n = len(every)
+    first = np.cumsum(size) - size
+    doc = np.repeat(np.arange(len(size)), size)
     value, own = np.zeros(n, np.uint64), np.zeros(n, np.int64)
     for j in range(min(words, n)):
         m = n - j
         same = doc[:m] == doc[j:]
-        value[:m][same] += mix(word[j:] + PLACES[j])[same] * PLACES[64 + j]
+        part = mix(name[j:, 0] + PLACES[j]) * PLACES[64 + j]
+        part ^= name[j:, 1] * PLACES[192 + j]
+        value[:m][same] += mix(part)[same]
         own[:m] += same
     at = np.flatnonzero((own == words) | (np.arange(n) == first[doc]) & (size[doc] < words))
     keys = mix(value[at] + PLACES[128 + own[at]])
@@ -141,11 +136,23 @@ def forest(rows: list[tuple[int, int, int, tuple[int, ...]]], across: bool, perc
     return out
 
 
+def ranked(keys: list[bytes], met: list[bytes]) -> list[tuple[int, ...]]:
+    """The sets' shingles as numbers in their global order: by how many blocks have them, then by hash. The same shingle has the same number in all sets."""
+    k, m = np.frombuffer(b"".join(keys), "<u8"), np.frombuffer(b"".join(met), np.uint8)
+    order = np.lexsort((k, m))
+    new = np.concatenate([[False], (k[order][1:] != k[order][:-1]) | (m[order][1:] != m[order][:-1])])
+    number = np.empty(len(k), np.int64)
+    number[order] = np.cumsum(new)
+    ends = np.cumsum([len(x) for x in met]).tolist()
+    flat = number.tolist()
+    return [tuple(flat[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+
+
 def jaccard_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, percent: int = PERCENT, group: int = GROUP, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
     """One row per input row: doc_id, n_shingles (size of its set) and component_id, the smallest id that links reach.
 
-    A null text counts as empty: no set, no link. Rows of equal id are one node of the graph; a null id is the smallest and
-    comes out as null. Documents without a link are components of their own.
+    A null text counts as empty: no set, no link. Each row is a node of its own, whatever its id: rows of null id are linked like others, and
+    component_id is the smallest id that isn't null, null only where no row of the component has one.
     """
     steps = Steps(df.sparkSession, "jaccard")
     packed = B.pack(df, doc_id, text, steps, block_bytes)
@@ -167,14 +174,20 @@ def jaccard_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
             at = np.searchsorted(d, np.arange(len(block.ids)))
             with np.errstate(over="ignore"):
                 sums = [np.add.reduceat(np.append(mix(k ^ PLACES[200 + j]), np.uint64(0)), at) * (size > 0) for j in (0, 1)]
-            token = (met.astype(np.int64) << 56) | (k >> np.uint64(8)).astype(np.int64)
-            rows = [np.sort(token[a : a + n][met[a : a + n] > 0]).astype("<i8").tobytes() if n and 100 * s >= percent * n else None for a, n, s in zip(at.tolist(), size.tolist(), shared.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(block.ids), pa.array(size, pa.int64()), *[pa.array(s.view(np.int64)) for s in sums], pa.array(rows, pa.binary())], ["id", "n", "h1", "h2", "tokens"])
-
-    sets = steps.write(packed.join(counts, "block", "left").mapInArrow(read, "id long, n long, h1 long, h2 long, tokens binary"))
+            order = np.lexsort((k, met, d))
+            order = order[met[order] > 0]
+            keys, marks = k[order].astype("<u8").tobytes(), met[order].tobytes()
+            ends = np.cumsum(shared).tolist()
+            some = (100 * shared >= percent * size) & (size > 0)
+            cuts = list(zip([0, *ends], ends, some.tolist(), strict=False))
+            number = ((row["block"] >> 32) << 42) + ((row["block"] & 0xFFFFFFFF) << 21) + np.arange(len(size))
+            yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(block.ids, mask=block.ids == B.NULL_ID), pa.array(size, pa.int64()), *[pa.array(s.view(np.int64)) for s in sums], pa.array([keys[8 * a : 8 * b] if x else None for a, b, x in cuts], pa.binary()), pa.array([marks[a:b] if x else None for a, b, x in cuts], pa.binary())], ["row", "id", "n", "h1", "h2", "tokens", "met"])
+
+    blocks = packed.repartition(B.partitions(packed, total), "block")
+    sets = steps.write(blocks.join(counts, "block", "left").mapInArrow(read, "row long, id long, n long, h1 long, h2 long, tokens binary, met binary"))
     steps.drop(packed, counts)
     some = sets.where("tokens is not null")
-    reps = steps.write(some.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.first("tokens").alias("tokens")))
+    reps = steps.write(some.groupBy("h1", "h2", "n").agg(F.min("row").alias("rep"), F.min("id").alias("least_id"), F.first("tokens").alias("tokens"), F.first("met").alias("met")))
 
     def prefixes(batches):
         for b in batches:
@@ -185,25 +198,41 @@ def jaccard_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
 
     posts = reps.select("rep", "n", "tokens").mapInArrow(prefixes, "token long, rep long")
     least = posts.groupBy("token").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").drop("most")
-    tied = posts.join(least, "token").select(F.col("rep").alias("a"), F.col("least").alias("b")).distinct()
+    tied = salted(posts, least, ["token"], "rep").where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
     groups = steps.write(components(tied, steps))
     sizes = groups.groupBy("label").agg(F.count("*").alias("size"))
-    cut = F.ceil(F.col("size") / group)
-    dealt = reps.join(groups, reps["rep"] == groups["node"]).join(sizes, "label").select("label", "rep", "n", "tokens", cut.alias("parts"), F.pmod(F.xxhash64("rep"), cut).alias("part"))
-    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
-    dealt = dealt.select("label", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", "n", "tokens")
+    # sets of one size class match sets of the classes beside it at most
+    grouped = salted(reps.join(groups, reps["rep"] == groups["node"]), sizes, ["label"], "rep")
+    band = F.when(F.col("size") <= group, 0).otherwise(F.floor(F.log(F.col("n")) / F.lit(math.log(100 / percent) if percent < 100 else 1.0) + 1)).cast("int")
+    grouped = steps.write(grouped.select("label", band.alias("band"), "rep", "n", "tokens", "met"))
+    cells = grouped.groupBy("label", "band").agg(F.ceil(F.count("*") / group).cast("int").alias("parts"))
+    beside = Window.partitionBy("label").orderBy("band")
+    near = lambda f, d: F.when(f("band").over(beside) == F.col("band") + d, f("parts").over(beside)).otherwise(0)
+    cells = cells.select("label", "band", "parts", near(F.lag, -1).alias("below"), near(F.lead, 1).alias("above"))
+    dealt = salted(grouped, cells, ["label", "band"], "rep").withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
+    task = lambda low, i, high, j, side: F.struct(low.alias("low"), i.alias("i"), high.alias("high"), j.alias("j"), side.alias("side"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    b, p, none = F.col("band"), F.col("part"), F.expr("cast(array() as array<int>)")
+    tasks = F.concat(
+        F.transform(upto("parts"), lambda o: task(b, F.least(p, o), b, F.greatest(p, o), (p > o).cast("int"))),
+        F.transform(F.when(F.col("below") > 0, upto("below")).otherwise(none), lambda o: task(b - 1, o, b, p, F.lit(1))),
+        F.transform(F.when(F.col("above") > 0, upto("above")).otherwise(none), lambda o: task(b, p, b + 1, o, F.lit(0))),
+    )
+    dealt = dealt.select("label", F.explode(tasks).alias("task"), "rep", "n", "tokens", "met").select("label", "task.*", "rep", "n", "tokens", "met")
 
     def join_group(key, table):
-        rows = [(p, r, n, tuple(np.frombuffer(t, "<i8").tolist())) for p, r, n, t in zip(*(table[c].to_pylist() for c in ("part", "rep", "n", "tokens")), strict=True)]
-        found = forest(sorted(rows), key[1].as_py() != key[2].as_py(), percent)
+        across = [k.as_py() for k in key[1:3]] != [k.as_py() for k in key[3:5]]
+        sets = ranked(table["tokens"].to_pylist(), table["met"].to_pylist())
+        found = forest(sorted(zip(*(table[c].to_pylist() for c in ("side", "rep", "n")), sets, strict=True)), across, percent)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    links = dealt.groupBy("label", "i", "j").applyInArrow(join_group, "a long, b long")
+    links = dealt.groupBy("label", "low", "i", "high", "j").applyInArrow(join_group, "a long, b long")
     labels = components(links, steps)
-    classes = reps.join(labels, reps["rep"] == labels["node"], "left").select("h1", "h2", "n", F.coalesce("label", "rep").alias("component"))
-    whole = some.join(classes, ["h1", "h2", "n"]).select("id", "n", "component").union(sets.where("tokens is null").select("id", "n", "id"))
-    real = lambda c: F.when(F.col(c) != B.NULL_ID, F.col(c))
-    return whole.select(real("id").alias("doc_id"), F.col("n").alias("n_shingles"), real("component").alias("component_id"))
+    classes = reps.join(labels, reps["rep"] == labels["node"], "left").select("h1", "h2", "n", F.coalesce("label", "rep").alias("top"), "least_id")
+    names = classes.groupBy("top").agg(F.min("least_id").alias("component"))
+    named = salted(classes.select("h1", "h2", "n", "top"), names, ["top"], "h1").drop("top")
+    whole = salted(some.select("row", "id", "n", "h1", "h2"), named, ["h1", "h2", "n"], "row").select("id", "n", "component").union(sets.where("tokens is null").select("id", "n", "id"))
+    return whole.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 #: The same in SQL, for small tables: links by shingles in common, components by a recursive walk.
