@@ -67,14 +67,15 @@ def test_densities(spark):
     table = D.sigma_table(occ, p, every_byte=True).collect()
     assert len(table) == 8 * 256 and all(r.sigma == bin(r.byte).count("1") for r in table)
     sigma, v = D.learn(twins)
-    assert v.first().v == 16 and {r.sigma_final for r in D.with_sigma(twins, sigma, v).collect()} == {16}
+    assert v.first().v == 16 and {r.sigma_final for r in D.with_sigma(twins, D.sigma_arrays(sigma), v).collect()} == {16}
     apart = postings(spark, [0, 2**64 - 1])
     occ = D.occurrences(apart)
     p = D.average_neighbours(occ)
     table = {(r.s, r.byte): r.sigma for r in D.sigma_table(occ, p, every_byte=True).collect()}
     assert {r.p for r in p.collect()} == {0} and (table[0, 0], table[0, 255], table[0, 15]) == (0, 0, 4) and D.learn(apart)[1].first().v == 16
     alone = postings(spark, [5])
-    assert {r.sigma_final for r in D.with_sigma(alone, *D.learn(alone)).collect()} == {0}
+    sigma, v = D.learn(alone)
+    assert {r.sigma_final for r in D.with_sigma(alone, D.sigma_arrays(sigma), v).collect()} == {0}
 
 
 def sequential_sigma(codes, s, byte):
@@ -107,7 +108,7 @@ def test_idf_norms_and_scores(spark):
     votes = spark.createDataFrame([(0, 1, 1, 7, 1.0)] * 4 + [(0, 1, 2, 7, 1.0)], "query_id int, feature_id int, word_id long, image_id int, weight double")
     assert {r.word_id: (r.vote, r.n) for r in retrieve.burst_normalized(votes).collect()} == {1: (2.0, 4), 2: (1.0, 1)}
     query = spark.createDataFrame([(0, 1, [1, 2])], "query_id int, feature_id int, words array<long>")
-    own = I.Index(table, None, I.idf(table), I.image_norms(table, I.idf(table)))
+    own = I.Index(table, None, None, I.idf(table), I.image_norms(table, I.idf(table)))
     zero = votes.where("word_id = 1")
     assert [(r.image_id, r.score) for r in retrieve.image_scores(retrieve.burst_normalized(zero), query, own).collect()] == [(7, 0.0)]
 
@@ -195,3 +196,29 @@ def test_consecutive_repeats(spark, tmp_path):
 def test_bit_balance(spark):
     rows = {(r.bit): (r.ones, r.skewed) for r in O.bit_balance(postings(spark, [1, 3, 1, 0])).collect()}
     assert rows[0] == (0.75, True) and rows[1] == (0.25, True) and rows[5] == (0, True)
+
+
+def test_raw_matches(spark):
+    k = [(40.0 * i, 70.0 * i % 310, 1.0, 0.0, 1.0) for i in range(4)]
+    names = "query_id int, image_id int, feature_id int, word_id long, posting_id long, weight double, " + ", ".join(f"{c} double" for c in [*(f"q_{c}" for c in "xyabc"), *"xyabc"])
+    rows = [(0, 0, i, w, i, 1.0, *k[i], *k[i]) for i in range(4) for w in ((0, 1) if i < 2 else (0,))]
+    assert [(r.num_matches, r.num_inliers) for r in verify.verify(spark.createDataFrame(rows, names)).collect()] == [(6, 4)]
+    support = verify.hypothesis_support(spark.createDataFrame(rows, names)).collect()
+    assert {(r.feature_id, r.support) for r in support} == {(i, 4) for i in range(4)}
+    assert verify.hypothesis_support(spark.createDataFrame(rows[:1] * 3, names)).count() == 0
+
+
+def test_support_is_that_of_the_verifier(spark):
+    rng = np.random.default_rng(6)
+    names = "query_id int, image_id int, feature_id int, word_id long, posting_id long, weight double, " + ", ".join(f"{c} double" for c in [*(f"q_{c}" for c in "xyabc"), *"xyabc"])
+    rows = []
+    for f in range(9):
+        one = [*rng.uniform(0, 400, 2), *rng.uniform([1, -1, 1], [3, 1, 3])]
+        for t in range(1 + f % 3):
+            two = [one[0] * 1.5 + 20 + rng.uniform(-15, 15), one[1] * 1.5 - 9 + rng.uniform(-15, 15), *(np.array(one[2:]) / 2.25)] if t == 0 else [*rng.uniform(0, 600, 2), *rng.uniform([1, -1, 1], [3, 1, 3])]
+            rows.append((0, 0, f, 0, 10 * f + t, 1.0, *map(float, one), *map(float, two)))
+    table = np.array([r[6:] for r in rows])
+    c = verify.Candidates.of([r[2] for r in rows], [r[4] for r in rows], table[:, :5], table[:, 5:])
+    passing, _ = verify.Verifier(c, [0]).passing(verify.affine_maps(c.one, c.two), verify.affine_maps(c.two, c.one))
+    want = {int(t): len(set(c.feature[ok].tolist())) for t, ok in zip(c.target, passing, strict=True)}
+    assert {r.posting_id: r.support for r in verify.hypothesis_support(spark.createDataFrame(rows, names)).collect()} == want and max(want.values()) >= 5

@@ -30,12 +30,6 @@ def canonical_ellipse(a, b, c, invert: bool) -> list[Column]:
     return [F.try_divide(c, det), F.try_divide(-2 * b, det), F.try_divide(a, det)]
 
 
-def project(vector, matrix: list[list[float]]) -> Column:
-    """matrix x vector, as an expression; for wide vectors features.project() is faster."""
-    row = lambda r: F.aggregate(F.zip_with(vector, F.array(*map(F.lit, r)), lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    return F.array(*[row(r).cast("float") for r in matrix])
-
-
 def binarize(projected, thresholds) -> Column:
     """The code, a long: bit i is set where entry i lies above its threshold."""
     bits = F.transform(F.zip_with(projected, thresholds, lambda p, t: p > t), lambda b, i: F.when(b, F.pow(F.lit(2.0), i % 32).cast("long")).otherwise(F.lit(0).cast("long")))

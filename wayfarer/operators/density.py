@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -54,9 +58,24 @@ def learn(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sigma, normalizers(occ, sigma)
 
 
-def with_sigma(postings: DataFrame, sigma: DataFrame, v: DataFrame, max_hamming: int = C.MAX_HAMMING) -> DataFrame:
-    """Postings with their final sigma, worked out once here and not at each vote; postings of words without densities get 0."""
-    keyed = postings.select("posting_id", "word_id", F.posexplode(C.sub_bytes("code")).alias("s", "byte"))
-    raw = keyed.join(sigma, ["word_id", "s", "byte"]).groupBy("posting_id").agg(F.sum("sigma").alias("raw"))
-    final = C.final_sigma(F.coalesce("raw", F.lit(0)), F.coalesce("v", F.lit(0.0)), max_hamming)
-    return postings.join(raw, "posting_id", "left").join(v, "word_id", "left").withColumn("sigma_final", final).drop("raw", "v")
+def sigma_arrays(sigma: DataFrame) -> DataFrame:
+    """(word_id, sigmas): each word's densities as one array, that of place s and byte b at 256 s + b + 1; 0 where none is known. A word has 2,048 at most."""
+
+    def each(key, table):
+        out = np.zeros(256 * C.BITS // 8, np.int8)
+        out[table["s"].to_numpy() * 256 + table["byte"].to_numpy()] = table["sigma"].to_numpy()
+        return pa.table({"word_id": key[:1], "sigmas": pa.array([out], pa.list_(pa.int8()))})
+
+    return sigma.select("word_id", "s", "byte", "sigma").groupBy("word_id").applyInArrow(each, "word_id long, sigmas array<tinyint>")
+
+
+def with_sigma(postings: DataFrame, arrays: DataFrame, v: DataFrame, max_hamming: int = C.MAX_HAMMING) -> DataFrame:
+    """Postings with their final sigma, worked out once here and not at each vote; postings of words without densities get 0.
+
+    A posting looks up its eight bytes in its word's array: one join by word, which adaptive execution splits where a word is hot, and no row is taken apart.
+    """
+    known = arrays.join(v, "word_id", "left")
+    at = lambda s: F.element_at("sigmas", C.sub_byte("code", s) + F.lit(256 * s + 1)).cast("int")
+    raw = reduce(lambda x, y: x + y, [at(s) for s in range(C.BITS // 8)])
+    final = C.final_sigma(F.coalesce(raw, F.lit(0)), F.coalesce("v", F.lit(0.0)), max_hamming)
+    return postings.join(known, "word_id", "left").withColumn("sigma_final", final).drop("sigmas", "v")

@@ -46,10 +46,13 @@ def hamming_thresholds(df: DataFrame, n_bits: int = C.BITS, cap: int = DESCRIPTO
     return lists.select("word_id", F.transform(F.sequence(F.lit(1), F.lit(n_bits)), middle).alias("thresholds"))
 
 
-def word_model(thresholds: DataFrame, words: DataFrame, n_bits: int = C.BITS) -> DataFrame:
-    """One row for each word: its thresholds, zeros if it had no descriptor, and whether it is in use. All are: an empty word counts as initialised."""
+def word_model(thresholds: DataFrame, words: DataFrame, n_bits: int = C.BITS, unused: DataFrame | None = None) -> DataFrame:
+    """One row for each word: its thresholds, zeros if it had no descriptor, and whether it is in use. All are, an empty word too, but those of `unused` (word_id)."""
     zeros = F.array_repeat(F.lit(0.0).cast("float"), n_bits)
-    return words.join(thresholds, "word_id", "left").select("word_id", F.coalesce("thresholds", zeros).alias("thresholds"), F.lit(True).alias("initialized"))
+    out = words.join(thresholds, "word_id", "left").select("word_id", F.coalesce("thresholds", zeros).alias("thresholds"))
+    if unused is None:
+        return out.withColumn("initialized", F.lit(True))
+    return out.join(unused.select("word_id", F.lit(False).alias("initialized")).distinct(), "word_id", "left").withColumn("initialized", F.coalesce("initialized", F.lit(True)))
 
 
 def binarize(df: DataFrame, model: DataFrame) -> DataFrame:

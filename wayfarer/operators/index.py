@@ -14,14 +14,19 @@ from .features import binarize, word_model
 
 @dataclass
 class Index:
-    """postings, word_model, idf and image_norm, as in wayfarer.schema."""
+    """postings: word_id, posting_id, image_id, x, y, a, b, c, code, sigma_final; word_model: word_id, thresholds, initialized, v; sigma: word_id, sigmas
+    (2,048 densities, place by place); idf: word_id, idf; image_norm: image_id, norm."""
 
     postings: DataFrame
     word_model: DataFrame
+    sigma: DataFrame
     idf: DataFrame
     image_norm: DataFrame
 
 
+TABLES = ("postings", "word_model", "sigma", "idf", "image_norm")
+
+
 def idf(postings: DataFrame, words: DataFrame | None = None) -> DataFrame:
     """(word_id, idf): ln(images in the index / images with the word); words without a posting, if named, have 0."""
     images = postings.agg(F.count_distinct("image_id").alias("n")).first().n
@@ -54,17 +59,32 @@ def finalize(postings: DataFrame, model: DataFrame) -> Index:
     steps = Steps(postings.sparkSession, "index")
     coded = steps.write(postings.drop("sigma_final"))
     sigma, v = density.learn(coded)
-    v = steps.write(v)
-    whole = steps.write(density.with_sigma(coded, sigma, v))
+    sigma = steps.write(sigma)
+    v = steps.write(density.normalizers(density.occurrences(coded), sigma))
+    arrays = steps.write(density.sigma_arrays(sigma))
+    whole = steps.write(density.with_sigma(coded, arrays, v))
     words = steps.write(model.drop("v").join(v, "word_id", "left").fillna(0.0, ["v"]))
     weights = steps.write(idf(whole, words.select("word_id")))
-    steps.drop(coded)
-    return Index(whole, words, weights, steps.write(image_norms(whole, weights)))
+    norms = steps.write(image_norms(whole, weights))
+    steps.drop(coded, sigma, v)
+    return Index(whole, words, arrays, weights, norms)
+
+
+def fitting(thresholds: DataFrame, words: int, whole: bool) -> DataFrame:
+    """The thresholds, if they are those of a vocabulary of so many words: each word once, none beyond, and, with `whole`, none missing."""
+    n, distinct, least, most = thresholds.agg(F.count("*"), F.count_distinct("word_id"), F.min("word_id"), F.max("word_id")).first()
+    if distinct < n or n and (least < 0 or most >= words) or whole and n != words:
+        raise ValueError(f"thresholds of {n} words, {least} to {most}, for a vocabulary of {words}")
+    return thresholds
+
 
+def build(features: DataFrame, thresholds: DataFrame, words: int, whole: bool = False, unused: DataFrame | None = None) -> Index:
+    """The index of database features under the thresholds of a vocabulary of so many words.
 
-def build(features: DataFrame, thresholds: DataFrame, words: int) -> Index:
-    """The index of database features under the thresholds of a vocabulary of so many words."""
-    model = word_model(thresholds, features.sparkSession.range(words).withColumnRenamed("id", "word_id"))
+    Words without thresholds get zeros, unless `whole` asks for all, as in a file. Words of `unused` (word_id) aren't initialised: their features
+    are left out, and no query feature votes by them.
+    """
+    model = word_model(fitting(thresholds, words, whole), features.sparkSession.range(words).withColumnRenamed("id", "word_id"), unused=unused)
     return finalize(posting_rows(checked(features, words), model), model)
 
 
@@ -76,7 +96,7 @@ def add(index: Index, features: DataFrame, words: int) -> Index:
 
 def save(index: Index, path: str, buckets: int = 0, table: str = "wayfarer_postings") -> None:
     """The index as Parquet; with buckets also as a table whose postings lie by word, so that a join by word needs no shuffle of them."""
-    for name in ("word_model", "idf", "image_norm"):
+    for name in TABLES[1:]:
         getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
     n = int(index.postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     index.postings.repartition(n, "word_id").sortWithinPartitions("word_id", "image_id", "posting_id").write.mode("overwrite").parquet(f"{path}/postings")
@@ -85,7 +105,7 @@ def save(index: Index, path: str, buckets: int = 0, table: str = "wayfarer_posti
 
 
 def load(spark: SparkSession, path: str) -> Index:
-    tables = {n: spark.read.parquet(f"{path}/{n}") for n in ("postings", "word_model", "idf", "image_norm")}
+    tables = {n: spark.read.parquet(f"{path}/{n}") for n in TABLES}
     words = tables["word_model"].count()
     if words == 0 or tables["idf"].count() != words:
         raise ValueError("the weights don't fit the index")

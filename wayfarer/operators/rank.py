@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..schema import SCHEMES
+from .retrieve import DIGITS
 from .verify import PATCH
 
+#: The six rankings, in the order of their tables and files.
+SCHEMES = ("retrieval", "inlier_count", "effective_inlier_count", "inter_image", "inter_place", "inter_place_popularity")
 #: Images beyond the square root of this many square metres from each other's place are different places.
 PLACE_RADIUS_SQUARED = 625.0
 
@@ -78,7 +80,7 @@ def inter_place(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def ranked(scores: DataFrame, scheme: str, *ties: str) -> DataFrame:
     """One scheme's ranking: by score, equal ones as the stage before had them."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), *ties, "image_id")
+    order = Window.partitionBy("query_id").orderBy(F.round("score", DIGITS).desc(), *ties, "image_id")
     return scores.select("query_id", F.lit(scheme).alias("scheme"), F.row_number().over(order).alias("rank"), "image_id", F.col("score").cast("double").alias("score"))
 
 

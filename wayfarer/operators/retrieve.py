@@ -11,6 +11,7 @@ from .features import soft_assignments
 from .index import Index
 
 TOP = 200
+DIGITS = 12
 #: Query sides of up to so many rows go to every executor, so that the postings needn't move.
 BROADCAST_ROWS = 200_000
 
@@ -53,8 +54,8 @@ def image_scores(bursts: DataFrame, query: DataFrame, index: Index) -> DataFrame
 
 
 def top_images(scores: DataFrame, k: int = TOP) -> DataFrame:
-    """The k best images of each query, ranked from 1; ties go to the smaller id."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "image_id")
+    """The k best images of each query, ranked from 1; ties go to the smaller id. Scores that agree in DIGITS digits tie: sums differ beyond by their order."""
+    order = Window.partitionBy("query_id").orderBy(F.round("score", DIGITS).desc(), "image_id")
     return scores.withColumn("retrieval_rank", F.row_number().over(order)).where(F.col("retrieval_rank") <= k)
 
 

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
+
 MIN_MATCHES = 4
 MIN_INLIERS = 4
 TRANSFER_ERROR = 1600.0
@@ -76,8 +78,8 @@ def similarity_maps(one: np.ndarray, two: np.ndarray, rotate: bool) -> np.ndarra
     turn = two[:, 3] - one[:, 3] if rotate else np.zeros(len(one))
     out = np.zeros((len(one), 2, 3))
     out[:, 0, 0] = out[:, 1, 1] = s * np.cos(turn)
-    out[:, 1, 0] = s * np.sin(turn)
-    out[:, 0, 1] = -out[:, 1, 0]
+    out[:, 0, 1] = s * np.sin(turn)  # orientations turn against the axes' sense: y points down
+    out[:, 1, 0] = -out[:, 0, 1]
     out[:, :, 2] = two[:, :2] - np.einsum("nij,nj->ni", out[:, :, :2], one[:, :2])
     return out
 
@@ -223,6 +225,27 @@ def matches_of(top: DataFrame, voted: DataFrame, idf: DataFrame) -> DataFrame:
     return rows.withColumn("weight", F.col("weight") * F.col("idf") * F.col("idf")).drop("idf")
 
 
+def hypothesis_support(matches: DataFrame, transfer_error: float = TRANSFER_ERROR, scale_change: float = SCALE_CHANGE, min_matches: int = MIN_MATCHES) -> DataFrame:
+    """(query_id, image_id, feature_id, posting_id, support): for each match's own map the query features with a match that it explains, by its error both ways and the
+    change of scale. The relational form of a verifier's first step: an inner join within a pair of images, whose size two images' features bound."""
+    sides = [f"q_{c}" for c in "xyabc"] + list("xyabc")
+    several = matches.groupBy("query_id", "image_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_matches).drop("n")
+    pairs = matches.join(several, ["query_id", "image_id"]).select("query_id", "image_id", "feature_id", "posting_id", *[F.col(c).cast("double").alias(c) for c in sides]).dropDuplicates(["query_id", "image_id", "feature_id", "posting_id"])
+    one, two = tuple(F.col(f"q_{c}") for c in "xyabc"), tuple(F.col(c) for c in "xyabc")
+    names = [f"{d}_{n}" for d in ("to", "back") for n in ("a11", "a21", "a22", "t1", "t2")]
+    maps = pairs.select("query_id", "image_id", "feature_id", "posting_id", *[m.alias(n) for m, n in zip([*C.upright_affine(one, two), *C.upright_affine(two, one)], names, strict=True)]).dropna()
+    other = pairs.select("query_id", "image_id", F.col("feature_id").alias("f"), *[F.col(c).alias(f"o_{c}") for c in sides])
+    at = lambda d, x, y: (F.col(f"{d}_a11") * x + F.col(f"{d}_t1"), F.col(f"{d}_a21") * x + F.col(f"{d}_a22") * y + F.col(f"{d}_t2"))
+    p, q = (F.col("o_q_x"), F.col("o_q_y")), (F.col("o_x"), F.col("o_y"))
+    square = lambda u, v: (u[0] - v[0]) * (u[0] - v[0]) + (u[1] - v[1]) * (u[1] - v[1])
+    error = square(at("to", *p), q) + square(at("back", *q), p)
+    det = F.abs(F.col("back_a11") * F.col("back_a22"))
+    ratio = C.ellipse_area(F.col("o_q_a"), F.col("o_q_b"), F.col("o_q_c")) / det / C.ellipse_area(F.col("o_a"), F.col("o_b"), F.col("o_c"))
+    passes = (error < transfer_error) & (F.greatest(ratio, 1 / ratio) < scale_change)
+    keys = ["query_id", "image_id", "feature_id", "posting_id"]
+    return maps.join(other, ["query_id", "image_id"]).groupBy(*keys).agg(F.count_distinct(F.when(passes, F.col("f"))).alias("support"))
+
+
 def verify(matches: DataFrame, model: str = "affine", matching: str = "all") -> DataFrame:
     """(query_id, image_id, num_matches, num_inliers, eff, inlier_feature_ids) of the pairs with MIN_INLIERS inliers or more.
 
@@ -233,8 +256,8 @@ def verify(matches: DataFrame, model: str = "affine", matching: str = "all") ->
 
     def each(key, pdf: pd.DataFrame) -> pd.DataFrame:
         names = [f.split()[0] for f in VERIFIED.split(", ")]
+        n = len(pdf)  # votes, those of one pair of features under several words included
         pdf = pdf.sort_values(["feature_id", "posting_id", "word_id"]).drop_duplicates(["feature_id", "posting_id"])
-        n = len(pdf)
         if matching == "one_to_one":
             pdf = pdf.iloc[one_to_one(pdf["feature_id"], pdf["posting_id"], pdf["weight"])]
         if n < MIN_MATCHES:

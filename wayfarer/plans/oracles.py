@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from .testbed import GEOMETRY
+from .testbed import GEOMETRY, PLACE_X, SCALE, SHIFT_X, SHIFT_Y, SOURCE
 
-_geometry = ", ".join(f"({e})::float as {n}" for n, e in GEOMETRY.items())
+_duck = lambda e: e.replace(" div ", " // ")
+_geometry = ", ".join(f"({_duck(e)})::float as {n}" for n, e in GEOMETRY.items())
 
 #: Parts in the order in which they build on each other.
 PARTS = {
-    "v": f"select vec_id, label::bigint as label, embedding as proj, {_geometry} from embeddings",
+    "v": f"select e.vec_id, s.label::bigint as label, s.embedding as proj, {_geometry.replace('vec_id', 'e.vec_id')} from (select vec_id, {_duck(SOURCE)} as src from embeddings) e join embeddings s on s.vec_id = e.src",
     "db": "select *, (vec_id // 10)::int as image_id, (vec_id % 10)::int as feature_id, label as word_id, (vec_id // 10) * 2147483648 + vec_id % 10 as posting_id from v where vec_id % 10 <> 0",
     "q": "select *, (vec_id // 100)::int as query_id, vec_id::int as feature_id from v where vec_id % 10 = 0",
     "qw": "select * from (select *, unnest([label, (label + 3) % 10]) as word_id, unnest([0, 1]) as nn_rank from q) x",
@@ -32,10 +33,17 @@ PARTS = {
     "votes": "select pairs.*, sigma_final, exp(-(h * h) / (sigma_final * sigma_final)::double) as weight from pairs join fin using (posting_id, image_id, word_id) where h <= 32 and sigma_final > 0 and h <= 1.5 * sigma_final",
     "bursts": "select query_id, feature_id, word_id, image_id, sum(weight) / sqrt(count(*)) as vote, count(*) as n from votes group by all",
     "scores": "select query_id, image_id, sum(idf * idf * vote) * case when max(s) > 0 then 1 / sqrt(max(s)) else 1 end * coalesce(max(norm), 0) as score, sum(n)::bigint as n_matches from bursts join idf using (word_id) left join selfs using (query_id) left join nrms using (image_id) group by query_id, image_id",
-    "tops": "select * from (select *, row_number() over (partition by query_id order by score desc, image_id) as retrieval_rank from scores) t where retrieval_rank <= 200",
-    "inl": "select distinct query_id, image_id, feature_id from votes semi join tops using (query_id, image_id)",
+    "tops": "select * from (select *, row_number() over (partition by query_id order by round(score, 12) desc, image_id) as retrieval_rank from scores) t where retrieval_rank <= 200",
+    "matches": "select v.query_id, v.image_id, v.feature_id, v.posting_id, q.x::double as x1, q.y::double as y1, q.a::double as a1, q.b::double as b1, q.c::double as c1, db.x::double as x2, db.y::double as y2, db.a::double as a2, db.b::double as b2, db.c::double as c2 from votes v semi join tops using (query_id, image_id) join q on q.feature_id = v.feature_id join db on db.posting_id = v.posting_id",
+    "enough": "select query_id, image_id, count(*) as num_matches from matches group by all having count(*) >= 4",
+    # the planted map of an image explains a match if it takes one place to the other, both ways
+    "planted": f"select *, {_duck(SCALE)} as s, {_duck(SHIFT_X)} as tx, {_duck(SHIFT_Y)} as ty from (select distinct * from matches semi join enough using (query_id, image_id)) m",
+    "near_match": "select *, (s * x1 + tx - x2) ** 2 + (s * y1 + ty - y2) ** 2 + ((x2 - tx) / s::double - x1) ** 2 + ((y2 - ty) / s::double - y1) ** 2 as error from planted",
+    "taken": "select * from (select *, row_number() over (partition by query_id, image_id, feature_id order by error, posting_id) as r from near_match where error < 1600) t where r = 1",
+    "inl": "select query_id, image_id, feature_id, x1, y1 from (select *, count(*) over (partition by query_id, image_id) as n from taken) t where n >= 4",
     "ver": "select query_id, image_id, retrieval_rank, count(*) as num_inliers from tops join inl using (query_id, image_id) group by all",
-    "pl": "select query_id, image_id, feature_id, image_id % 10 as site from inl",
+    "eff": "select query_id, image_id, count(distinct (x + i) * 100000 + y + j) / 576.0::double as eff from (select distinct query_id, image_id, floor(x1 + 0.5)::bigint as x, floor(y1 + 0.5)::bigint as y from inl) c join (select unnest(range(0, 24)) as i) a on true join (select unnest(range(0, 24)) as j) b on true group by query_id, image_id",
+    "pl": f"select query_id, image_id, feature_id, ({_duck(PLACE_X)} // 100)::bigint as site from inl",
     "nplaces": "select query_id, feature_id, count(distinct site) as places from pl group by all",
     "psize": "select query_id, site, count(distinct feature_id) as size from pl group by all",
     "pop": "select query_id, site, size / max(size) over (partition by query_id) as popularity from psize",
@@ -52,7 +60,10 @@ def sql(select: str, *more: str) -> str:
     return "with " + ",\n".join([*(f"{n} as ({s})" for n, s in PARTS.items()), *more]) + "\n" + select
 
 
-_ranked = lambda score, ties="retrieval_rank": f"row_number() over (partition by query_id order by {score} desc, {ties}, image_id)::int as rank"
+_ranked = lambda score, ties="retrieval_rank": f"row_number() over (partition by query_id order by round(({score})::double, 12) desc, {ties}, image_id)::int as rank"
+
+_six_ranks = lambda scheme, score, table, ties: f"select query_id, '{scheme}' as scheme, {_ranked(score, ties)}, image_id, round(({score})::double, 6) as score from {table}"
+_inliers_first = "num_inliers desc, retrieval_rank"
 
 ORACLES = {
     "root_sift_quantize": "with d as (select vec_id, list_transform(embedding, lambda x: floor(abs(x::double) * 100)) as d from embeddings), s as (select *, list_sum(d) as s from d) select vec_id, array_to_string(list_transform(d, lambda x: case when s > 0 then least(255, floor(512 * sqrt(x / s) + 0.5))::int else 0 end), ',') as descriptor from s",
@@ -79,11 +90,21 @@ ORACLES = {
     "ellipse_area_scale_test": sql("select vec_id, round(r, 6) as ratio, greatest(r, 1 / r) < sqrt(1000.0::double) as passes from (select vec_id, (1 / sqrt(4 * a1 * c1 - b1 * b1::double)) / (1 / sqrt(4 * a2 * c2 - b2 * b2::double)) as r from near_pairs) t"),
     "affine_hypotheses": sql("select vec_id, round(a11, 6) + 0.0 as a11, round(a21, 6) + 0.0 as a21, round(a22, 6) + 0.0 as a22, round(t1, 6) + 0.0 as t1, round(t2, 6) + 0.0 as t2 from maps"),
     "hypothesis_inliers_sql": sql("select h.vec_id, count(*) filter (where (h.a11 * m.x1 + h.t1 - m.x2) ** 2 + (h.a21 * m.x1 + h.a22 * m.y1 + h.t2 - m.y2) ** 2 < 40000) as n_inliers from maps h join maps m on h.g = m.g group by h.vec_id"),
-    "effective_inlier_area": sql("select query_id, image_id, round(count(distinct (x + i) * 100000 + y + j) / 576.0::double, 6) as eff from (select distinct inl.query_id, inl.image_id, floor(x + 0.5)::bigint as x, floor(y + 0.5)::bigint as y from inl join q on inl.feature_id = q.feature_id) c join (select unnest(range(0, 24)) as i) a on true join (select unnest(range(0, 24)) as j) b on true group by query_id, image_id"),
+    "effective_inlier_area": sql("select query_id, image_id, round(eff, 6) as eff from eff"),
     "rank_inlier_count": sql(f"select query_id, image_id, {_ranked('num_inliers')}, num_inliers::double as score from ver"),
-    "rank_effective": sql(f"select query_id, image_id, {_ranked('eff')}, round(eff, 6) as score from eff join ver using (query_id, image_id)", "eff as (select query_id, image_id, count(distinct (x + i) * 100000 + y + j) / 576.0::double as eff from (select distinct inl.query_id, inl.image_id, floor(x + 0.5)::bigint as x, floor(y + 0.5)::bigint as y from inl join q on inl.feature_id = q.feature_id) c join (select unnest(range(0, 24)) as i) a on true join (select unnest(range(0, 24)) as j) b on true group by query_id, image_id)"),
+    "rank_effective": sql(f"select query_id, image_id, {_ranked('eff')}, round(eff, 6) as score from eff join ver using (query_id, image_id)"),
+    "verify_lo": sql("select query_id, image_id, num_matches::int as num_matches, num_inliers::int as num_inliers, round(eff, 6) as eff, ids as inlier_feature_ids from enough join ver using (query_id, image_id) join eff using (query_id, image_id) join (select query_id, image_id, string_agg(feature_id::varchar, ',' order by feature_id) as ids from inl group by all) i using (query_id, image_id)"),
+    # thinning the candidates to one for each feature leaves the planted ones, which have the highest weight
+    "one_to_one_matches": None,
+    "best_hypothesis": sql(
+        "select query_id, image_id, count(*)::int as num_hypotheses, max(support)::int as best_support from (select m.query_id, m.image_id, m.feature_id, m.posting_id, count(distinct case when (m.p11 * o.x1 + m.u1 - o.x2) ** 2 + (m.p21 * o.x1 + m.p22 * o.y1 + m.u2 - o.y2) ** 2 + (m.q11 * o.x2 + m.w1 - o.x1) ** 2 + (m.q21 * o.x2 + m.q22 * o.y2 + m.w2 - o.y1) ** 2 < 1600 and greatest(sqrt((4 * o.a2 * o.c2 - o.b2 ** 2) / (4 * o.a1 * o.c1 - o.b1 ** 2)) / abs(m.q11 * m.q22), sqrt((4 * o.a1 * o.c1 - o.b1 ** 2) / (4 * o.a2 * o.c2 - o.b2 ** 2)) * abs(m.q11 * m.q22)) < sqrt(1000.0::double) then o.feature_id end) as support from both_ways m join pairs_of o using (query_id, image_id) group by all) t group by all",
+        "pairs_of as (select distinct * from matches semi join enough using (query_id, image_id))",
+        "frames as (select *, sqrt(a1 - b1 * b1 / (4 * c1)) as d1, b1 / (2 * sqrt(c1)) as e1, sqrt(c1) as f1, sqrt(a2 - b2 * b2 / (4 * c2)) as d2, b2 / (2 * sqrt(c2)) as e2, sqrt(c2) as f2 from pairs_of)",
+        "linear as (select *, d1 / d2 as p11, f1 / f2 as p22, (e1 - e2 * (d1 / d2)) / f2 as p21, d2 / d1 as q11, f2 / f1 as q22, (e2 - e1 * (d2 / d1)) / f1 as q21 from frames)",
+        "both_ways as (select *, x2 - p11 * x1 as u1, y2 - p21 * x1 - p22 * y1 as u2, x1 - q11 * x2 as w1, y1 - q21 * x2 - q22 * y2 as w2 from linear)",
+    ),
     "rank_inter_image": sql("select query_id, image_id, round(sum(1 / sqrt(n)), 6) as score from (select *, count(*) over (partition by query_id, feature_id) as n from inl) t group by query_id, image_id"),
-    "place_assignment": sql("select query_id, image_id, min(image_id) over (partition by query_id, image_id % 10) as first_of_place from ver"),
+    "place_assignment": sql("select query_id, image_id, min(image_id) over (partition by query_id, site) as first_of_place from (select distinct query_id, image_id, site from pl) p"),
     "rank_inter_place": sql("select query_id, image_id, round(score, 6) as score from bytimes"),
     "rank_inter_place_popularity": sql("select query_id, image_id, round(score * popularity, 6) as score from bytimes join pop using (query_id, site)"),
     "bit_balance": sql("select word_id, (s * 8 + k)::int as bit, round(avg((byte >> k) & 1), 6) as ones from dc join (select unnest(range(0, 8))::int as k) t on true group by all"),
@@ -91,4 +112,17 @@ ORACLES = {
     "list_lengths": sql("select word_id, count(*) as n from db group by word_id"),
     "text_idf": r"with t as (select distinct doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) as word from documents) select word, round(ln((select count(distinct doc_id) from t)::double / count(*)), 6) as idf from t group by word",
     "order_norms": "with p as (select l_orderkey, l_partkey from lineitem), i as (select l_partkey, ln((select count(distinct l_orderkey) from p)::double / count(distinct l_orderkey)) as idf from p group by l_partkey) select l_orderkey, round(case when sum(idf * idf) > 0 then 1 / sqrt(sum(idf * idf)) else 0 end, 6) as norm from p join i using (l_partkey) group by l_orderkey",
+    "all_rankings": sql(
+        " union all ".join(
+            [
+                "select query_id, 'retrieval' as scheme, retrieval_rank::int as rank, image_id, round(score, 6) as score from tops",
+                _six_ranks("inlier_count", "num_inliers", "ver", "retrieval_rank"),
+                _six_ranks("effective_inlier_count", "eff", "(select * from eff join ver using (query_id, image_id)) e", "retrieval_rank"),
+                _six_ranks("inter_image", "score", "(select query_id, image_id, retrieval_rank, sum(1 / sqrt(n)) as score from (select *, count(*) over (partition by query_id, feature_id) as n from inl) t join ver using (query_id, image_id) group by all) e", "retrieval_rank"),
+                _six_ranks("inter_place", "score", "(select * from bytimes join ver using (query_id, image_id)) e", _inliers_first),
+                _six_ranks("inter_place_popularity", "score", "(select query_id, image_id, score * popularity as score, num_inliers, retrieval_rank from bytimes join pop using (query_id, site) join ver using (query_id, image_id)) e", _inliers_first),
+            ]
+        )
+    ),
 }
+ORACLES["one_to_one_matches"] = ORACLES["verify_lo"]

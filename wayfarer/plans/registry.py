@@ -179,7 +179,7 @@ def rank_inlier_count(spark, sf):
 
 
 def rank_effective(spark, sf):
-    rows = T.verified(spark, sf).drop("score").join(_effective(spark, sf), ["query_id", "image_id"]).withColumn("score", F.col("eff"))
+    rows = T.verified(spark, sf).drop("score", "eff").join(_effective(spark, sf), ["query_id", "image_id"]).withColumn("score", F.col("eff"))
     return rank.ranked(rows, "effective", "retrieval_rank").drop("scheme").withColumn("score", F.round("score", 6))
 
 
@@ -229,22 +229,26 @@ def order_norms(spark, sf):
     return I.image_norms(rows, I.idf(rows)).select(F.col("image_id").alias("l_orderkey"), _six("norm"))
 
 
-def _matches(spark, sf):
-    own, asked, voted = T.votes(spark, sf)
-    top = retrieve.best(voted, asked, own)
-    return verify.matches_of(top, voted, own.idf)
+def best_hypothesis(spark, sf):
+    """The support of each pair's best map before any refinement: both ways and with the change of scale."""
+    return verify.hypothesis_support(T.matches(spark, sf)).groupBy("query_id", "image_id").agg(F.count("*").cast("int").alias("num_hypotheses"), F.max("support").cast("int").alias("best_support"))
+
+
+def _with_inliers_as_text(verified):
+    return verified.select("query_id", "image_id", "num_matches", "num_inliers", _six("eff"), F.array_join(F.col("inlier_feature_ids").cast("array<string>"), ",").alias("inlier_feature_ids"))
 
 
 def verify_lo(spark, sf):
-    return verify.verify(_matches(spark, sf))
+    return _with_inliers_as_text(T.verified(spark, sf))
 
 
 def one_to_one_matches(spark, sf):
-    return verify.verify(_matches(spark, sf), matching="one_to_one")
+    return _with_inliers_as_text(verify.verify(T.matches(spark, sf), matching="one_to_one"))
 
 
 def all_rankings(spark, sf):
-    return query(T.index(spark, sf), T.queries(spark, sf), T.positions(spark, sf))
+    """The whole query: top images, verification, six rankings."""
+    return query(T.index(spark, sf), T.queries(spark, sf), T.positions(spark, sf)).withColumn("score", F.round("score", 6))
 
 
 QUERIES = {
@@ -254,6 +258,6 @@ QUERIES = {
         sigma_final, idf_weights, image_norms, query_self_similarity, vote_pairs, burst_normalized_votes, image_scores, retrieval_topk, knn_words_exact, knn_words_lsh,
         soft_assignment, dedup_consecutive_lines, descriptor_cap_per_word, ellipse_area_scale_test, affine_hypotheses, hypothesis_inliers_sql, effective_inlier_area,
         rank_inlier_count, rank_effective, rank_inter_image, place_assignment, rank_inter_place, rank_inter_place_popularity, bit_balance, image_postings_lookup, list_lengths,
-        text_idf, order_norms, verify_lo, one_to_one_matches, all_rankings,
+        text_idf, order_norms, best_hypothesis, verify_lo, one_to_one_matches, all_rankings,
     )
 }

@@ -1,4 +1,9 @@
-"""The test tables as images and words: every vector is a feature, of a query image if its number ends in 0, else of a database image."""
+"""The test tables as images and words.
+
+A vector is a feature, of a query image if its number ends in 0, else of a database image of nine. So that there is something to find, some
+features show what another one shows, its descriptor and its word: query image q has nine features of database image 10 q, and so have the
+images 10 q + 1 and 10 q + 2 with seven each. A feature's place comes from what it shows, under a map of its image: a scale and a shift.
+"""
 
 from __future__ import annotations
 
@@ -7,16 +12,39 @@ from pyspark.sql import functions as F
 
 from ..operators import features as O
 from ..operators import index as I
-from ..operators import retrieve
+from ..operators import retrieve, verify
 from ..sources.store import Steps
 
-#: Geometry of a feature from its number; all values are exact in single precision.
-GEOMETRY = {"x": "vec_id * 37 % 640", "y": "vec_id * 53 % 480", "a": "1 + vec_id % 7 * 0.25", "b": "vec_id % 5 * 0.125", "c": "1 + vec_id % 3 * 0.5"}
+#: What a feature shows, as the number of a vector.
+SOURCE = "case when vec_id % 10 = 0 then case when vec_id % 100 < 90 then vec_id - vec_id % 100 + (vec_id % 100) div 10 + 1 else vec_id end when (vec_id div 10) % 10 in (1, 2) and vec_id % 10 <= 7 then vec_id - 10 * ((vec_id div 10) % 10) else vec_id end"
+#: A database image's map, by image_id; query images have none.
+SCALE, SHIFT_X, SHIFT_Y = "case image_id % 3 when 0 then 1 when 1 then 2 else 4 end", "image_id * 7 % 50", "image_id * 11 % 40"
+_image = lambda e, other: f"(case when vec_id % 10 = 0 then {other} else {e.replace('image_id', '(vec_id div 10)')} end)"
+_s, _size = _image(SCALE, 1), _image("case image_id % 3 when 0 then 16 when 1 then 4 else 1 end", 16)
+#: Geometry of a feature; all values are whole numbers. One feature of the images 10 q + 2 is out of place.
+GEOMETRY = {
+    "x": f"{_s} * (40 + src * 37 % 560) + {_image(SHIFT_X, 0)} + case when vec_id % 100 = 25 then 300 else 0 end",
+    "y": f"{_s} * (30 + src * 53 % 420) + {_image(SHIFT_Y, 0)}",
+    "a": f"{_size} * (4 + src % 7)", "b": f"{_size} * (src % 4)", "c": f"{_size} * (4 + src % 3)",
+}
+#: Images that belong to one place: 10 q and 10 q + 1, ten metres apart; others are 400 metres from the next.
+PLACE_X = "(image_id div 10) * 10000.0 + case when image_id % 10 = 1 then 10.0 else (image_id % 10) * 400.0 end"
+#: Tables that several queries read, by application and folder: each is written once.
+_MADE: dict[tuple, object] = {}
+
+
+def _once(spark: SparkSession, sf: str, name: str, make):
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _MADE:
+        _MADE[key] = make()
+    return _MADE[key]
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
-    v = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "label", F.col("embedding").alias("proj"))
-    return v.withColumns({n: F.expr(f"cast({e} as float)") for n, e in GEOMETRY.items()})
+    v = spark.read.parquet(f"{sf}/embeddings.parquet")
+    shown = v.select(F.col("vec_id").alias("src"), "label", F.col("embedding").alias("proj"))
+    own = v.select("vec_id", F.expr(SOURCE).alias("src")).join(shown, "src")
+    return own.withColumns({n: F.expr(f"cast({e} as float)") for n, e in GEOMETRY.items()}).select("vec_id", "label", "proj", *GEOMETRY)
 
 
 def database(spark: SparkSession, sf: str) -> DataFrame:
@@ -44,29 +72,31 @@ def postings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def index(spark: SparkSession, sf: str) -> I.Index:
-    return I.build(database(spark, sf), thresholds(spark, sf), 10)
+    return _once(spark, sf, "index", lambda: I.build(database(spark, sf), thresholds(spark, sf), 10))
 
 
 def votes(spark: SparkSession, sf: str) -> tuple[I.Index, DataFrame, DataFrame]:
     """The index, the query features and their votes."""
     own, asked = index(spark, sf), queries(spark, sf)
-    return own, asked, Steps(spark, "votes").write(retrieve.votes(asked, own))
+    return own, asked, _once(spark, sf, "votes", lambda: Steps(spark, "votes").write(retrieve.votes(asked, own)))
 
 
 def top(spark: SparkSession, sf: str) -> DataFrame:
     own, asked, voted = votes(spark, sf)
-    return retrieve.best(voted, asked, own)
+    return _once(spark, sf, "top", lambda: Steps(spark, "top").write(retrieve.best(voted, asked, own)))
+
+
+def matches(spark: SparkSession, sf: str) -> DataFrame:
+    own, _, voted = votes(spark, sf)
+    return verify.matches_of(top(spark, sf), voted, own.idf)
 
 
 def verified(spark: SparkSession, sf: str) -> DataFrame:
-    """Stands in for verified images: each retrieved image with the query features that vote for it as its inliers."""
-    own, asked, voted = votes(spark, sf)
-    ranked = retrieve.best(voted, asked, own)
-    inliers = voted.groupBy("query_id", "image_id").agg(F.sort_array(F.collect_set("feature_id")).alias("inlier_feature_ids"))
-    return ranked.join(inliers, ["query_id", "image_id"]).withColumn("num_inliers", F.size("inlier_feature_ids"))
+    """The verified images of each query, with score and retrieval_rank."""
+    found = _once(spark, sf, "verified", lambda: Steps(spark, "verified").write(verify.verify(matches(spark, sf))))
+    return found.join(top(spark, sf).select("query_id", "image_id", "score", "retrieval_rank"), ["query_id", "image_id"])
 
 
 def positions(spark: SparkSession, sf: str) -> DataFrame:
-    """Ten sites, a kilometre apart; an image's site is the last digit of its number."""
     images = database(spark, sf).select("image_id").distinct()
-    return images.select("image_id", F.expr("(image_id % 10) * 1000.0D + (image_id div 10) * 0.5D").alias("px"), F.lit(0.0).alias("py"))
+    return images.select("image_id", F.expr(f"cast({PLACE_X} as double)").alias("px"), F.lit(0.0).alias("py"))

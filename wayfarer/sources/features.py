@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,4 +125,26 @@ def to_files(df: DataFrame, words: int, dtype: str = "u1", by: str = "image_id")
             out["descriptor"][n] = r["descriptor"]
         return pa.table({by: key[:1], "content": pa.array([np.uint32(len(rows)).tobytes() + out.tobytes()], pa.binary())})
 
-    return df.select(by, "feature_id", "x", "y", "a", "b", "c", "words", "descriptor").groupBy(by).applyInArrow(each, f"{by} {df.schema[by].dataType.simpleString()}, content binary")
+    return df.select(by, "feature_id", "x", "y", "a", "b", "c", F.coalesce("words", F.array().cast("array<long>")).alias("words"), "descriptor").groupBy(by).applyInArrow(each, f"{by} {df.schema[by].dataType.simpleString()}, content binary")
+
+
+def write_files(df: DataFrame, folder: str, words: int, dtype: str = "u1", by: str = "image_id", suffix: str = ".bin") -> DataFrame:
+    """Writes each image's features as a file `<image><suffix>` of the folder, from the tasks that hold them, and returns (file, bytes). Nothing is written before an action.
+
+    A file is written under a name of its attempt and then renamed, so that a task that runs again, or twice, leaves whole files. The folder must be one that all executors share.
+    """
+
+    def run(batches):
+        files, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        files.create_dir(base)
+        for b in batches:
+            done = []
+            for image, content in zip(b.column(by).to_pylist(), b.column("content").to_pylist(), strict=True):
+                name, attempt = f"{base}/{image}{suffix}", f"{base}/_{uuid.uuid4().hex}"
+                with files.open_output_stream(attempt) as f:
+                    f.write(content)
+                files.move(attempt, name)
+                done.append((name, len(content)))
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], ["file", "bytes"])
+
+    return to_files(df, words, dtype, by).mapInArrow(run, "file string, bytes long")
