@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Folders made here, by application.
 _OWN: dict[str, str] = {}
+#: Folders of steps that the current temporary() blocks will delete, innermost last.
+_OPEN: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,13 +31,34 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def _files(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Deletes the steps that are made inside at its end: for results that have been written by then."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for name in _OPEN.pop():
+            path, files = _files(spark, name)
+            files.delete(path, True)
+
+
 class Steps:
-    """Intermediate tables in the shared folder; each cuts the lineage and outlives lost executors."""
+    """Intermediate tables in the shared folder; each cuts the lineage and outlives lost executors. What is left of them is deleted when the application ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/wayfarer-{name}-{uuid.uuid4().hex}"
         self.count = 0
+        if _OPEN:
+            _OPEN[-1].append(self.base)
+        path, files = _files(spark, self.base)
+        files.deleteOnExit(path)  # what a result still reads goes with the application at the latest
 
     def write(self, df: DataFrame) -> DataFrame:
         path = f"{self.base}/{self.count}"
@@ -50,8 +75,6 @@ class Steps:
 
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that no later step reads."""
-        jvm = self.spark._jvm
-        conf = self.spark._jsc.hadoopConfiguration()
         for df in tables:
-            path = jvm.org.apache.hadoop.fs.Path(df._step)
-            path.getFileSystem(conf).delete(path, True)
+            path, files = _files(self.spark, df._step)
+            files.delete(path, True)
