@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-from itertools import count
-
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +15,12 @@ MIX_1 = 0xBF58476D1CE4E5B9
 MIX_2 = 0x94D049BB133111EB
 
 SECOND = 0xD1342543DE82EF95
+LONG_WORD = 256
+#: ASCII white space (fixed values).
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
 
-__all__ = ["MULTIPLIER", "POWERS", "Powers", "Steps", "documents", "fold", "hidden", "lanes_of", "mix", "range_hash", "salted", "shared_dir", "slices", "table_of_bytes"]
+__all__ = ["MULTIPLIER", "POWERS", "Powers", "Steps", "documents", "fold", "hidden", "lanes_of", "mix", "range_hash", "salted", "shared_dir", "slices", "table_of_bytes", "word_spans"]
 
 
 def hidden(df: DataFrame, name: str) -> str:
@@ -54,12 +55,41 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def lanes_of(words: list[bytes]) -> np.ndarray:
-    """Two columns of 64 bits that name each word: the 128 bits of xxh3 over its bytes, worked out once for each distinct word."""
-    number: defaultdict[bytes, int] = defaultdict(count().__next__)  # distinct words in order of appearance
-    own = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-    table = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, number)), ">u8").astype(np.uint64).reshape(-1, 2)
-    return table[own]
+def word_spans(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each run of anything but ASCII white space, and its document; `ends` are the documents' ends, over which no word goes."""
+    inside = ~SPACE[text]
+    begins, stops = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    stops[:-1] &= ~inside[1:]
+    edges = ends[:-1]
+    edges = np.unique(edges[(edges > 0) & (edges < len(text))])
+    begins[edges] = inside[edges]
+    stops[edges - 1] = inside[edges - 1]
+    starts = np.flatnonzero(begins)
+    return starts, np.flatnonzero(stops) + 1, np.searchsorted(ends, starts, "right")
+
+
+def lanes_of(text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two columns of 64 bits that name the words text[start:end]: 8 bytes at a time are stirred into either, each time by a bijection, and the length at first.
+
+    The columns have keys of their own. Words of more than LONG_WORD bytes are few and get xxh3's 128 bits.
+    """
+    size = ends - starts
+    words = np.ndarray((len(text) + 1,), "<u8", text + b"\0" * 8, strides=(1,))
+    lanes = [mix(size.astype(np.uint64) * k) for k in (np.uint64(MULTIPLIER), np.uint64(SECOND))]
+    some = np.flatnonzero(size <= LONG_WORD)
+    at, left = starts[some], size[some]
+    while len(some):
+        w = words[at].astype(np.uint64)
+        w &= np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * np.minimum(left, 8).astype(np.uint64))
+        for lane, k in zip(lanes, (np.uint64(MIX_1), np.uint64(MIX_2)), strict=True):
+            lane[some] = mix((lane[some] ^ w) * k + np.uint64(MULTIPLIER))
+        more = left > 8
+        some, at, left = some[more], at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(size > LONG_WORD).tolist():
+        digest = np.frombuffer(xxhash.xxh3_128_digest(text[starts[k] : ends[k]]), ">u8")
+        lanes[0][k], lanes[1][k] = digest
+    return lanes[0], lanes[1]
 
 
 def salted(big: DataFrame, small: DataFrame, on: list[str], by: str, salts: int = 8, how: str = "inner") -> DataFrame:

@@ -10,7 +10,7 @@
    parts; a pair of parts is a task of its own. Links that join what is joined already are skipped, so that a
    task yields at most one link a set, and never all its pairs.
 
-Shingles are known by 64 bits from the 128-bit digests of their words. Equal sets are told by two sums of 64 bits.
+Shingles are known by 64 bits, made of their words' 128. Equal sets are told by two sums of 64 bits.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import blocks as B
-from .common import Steps, lanes_of, mix, salted, table_of_bytes
+from .common import Steps, lanes_of, mix, salted, table_of_bytes, word_spans
 from .components import components
 
 WORDS = 5
@@ -40,24 +40,19 @@ def shingles(block: B.Block, words: int = WORDS) -> tuple[np.ndarray, np.ndarray
     A to Z count as lower case, and ASCII white space separates words, as for Python's bytes.
     """
     text = block.text.lower()
-    every: list[bytes] = []
-    size = np.zeros(len(block.ids), np.int64)
-    for k, (a, b) in enumerate(zip(block.starts.tolist(), block.ends.tolist(), strict=True)):
-        own = text[a:b].split()
-        size[k] = len(own)
-        every += own
-    if not every:
+    starts, ends, doc = word_spans(np.frombuffer(text, np.uint8), block.ends) if text else (np.zeros(0, np.int64),) * 3
+    n = len(starts)
+    if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    name = lanes_of(every)
-    n = len(every)
-    first = np.cumsum(size) - size
-    doc = np.repeat(np.arange(len(size)), size)
+    name = lanes_of(text, starts, ends)
+    first = np.searchsorted(doc, np.arange(len(block.ids)))
+    size = np.searchsorted(doc, np.arange(len(block.ids)), "right") - first
     value, own = np.zeros(n, np.uint64), np.zeros(n, np.int64)
     for j in range(min(words, n)):
         m = n - j
         same = doc[:m] == doc[j:]
-        part = mix(name[j:, 0] + PLACES[j]) * PLACES[64 + j]
-        part ^= name[j:, 1] * PLACES[192 + j]
+        part = mix(name[0][j:] + PLACES[j]) * PLACES[64 + j]
+        part ^= name[1][j:] * PLACES[192 + j]
         value[:m][same] += mix(part)[same]
         own[:m] += same
     at = np.flatnonzero((own == words) | (np.arange(n) == first[doc]) & (size[doc] < words))

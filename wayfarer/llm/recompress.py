@@ -6,8 +6,8 @@ come from what they stand for, so that every task gives equal sequences equal na
 symbol whose neighbourhood lies within a window is there wherever that window occurs. Of these interior symbols
 of the highest round each window picks the one of the smallest name, of a lower round where it has none; windows
 of equal words pick the same, so that symbols that two documents have reveal where repeats can be. These windows
-are verified by what all their words say: 128 bits from the 128-bit digests of the 20 words, in two columns that
-are worked out apart from each other. Symbols themselves only choose what is compared, so 64 bits do for them.
+are verified by what all their words say: more than 96 bits, from two columns of names that are worked out apart
+from each other. Symbols themselves only choose what is compared, so the 64 bits of one column do for them.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 from . import windows as W
-from .common import SECOND_POWERS, Steps, lanes_of, mix, range_hash, table_of_bytes
+from .common import SECOND_POWERS, Steps, lanes_of, mix, range_hash, table_of_bytes, word_spans
 
 WINDOW = 20
 ROUNDS = 2
@@ -76,17 +76,11 @@ class Words:
     """Words of a block: their names in two columns, documents, and each document's range of words."""
 
     def __init__(self, block: B.Block):
-        words: list[bytes] = []
-        size = []
-        for a, b in zip(block.starts.tolist(), block.ends.tolist(), strict=True):
-            own = block.text[a:b].split()  # bytes are split at ASCII white space
-            size.append(len(own))
-            words += own
-        lanes = lanes_of(words)
-        self.name, self.other = lanes[:, 0].copy(), lanes[:, 1].copy()
-        self.high = np.cumsum(size, dtype=np.int64)
-        self.low = self.high - np.array(size, np.int64)
-        self.doc = np.repeat(np.arange(len(size)), size)
+        none = np.zeros(0, np.int64)
+        start, end, self.doc = word_spans(np.frombuffer(block.text, np.uint8), block.ends) if block.text else (none, none, none)
+        self.name, self.other = lanes_of(block.text, start, end)
+        docs = np.arange(len(block.ids))
+        self.low, self.high = np.searchsorted(self.doc, docs), np.searchsorted(self.doc, docs, "right")
 
 
 def words_in(block: B.Block) -> Words:
@@ -148,7 +142,7 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
         return W.runs_in_order(chosen, chosen >= 0, words.doc, names)
 
     names_of = lambda block, at: window_names(words_in(block), window, at)
-    exchange = W.Exchange(total, total // 24, runs_of, names_of, hot=None)
+    exchange = W.Exchange(total, total // 24, runs_of, names_of, hot=None, size_of=lambda block: len(words_in(block).name), docs_of=lambda block, at: words_in(block).doc[at])
 
     def repeated(words: Words) -> np.ndarray:
         """The windows that start further up in the same document too."""
@@ -158,9 +152,11 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
         if not len(at):
             return at
         a, b = window_names(words, window, at)
-        doc = words.doc[at]
-        order = np.lexsort((at, b, a, doc))
-        a, b, doc = a[order], b[order], doc[order]
+        order = np.argsort(a)
+        same = a[order][1:] == a[order][:-1]
+        order = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]  # few as a rule
+        order = order[np.lexsort((at[order], b[order], a[order], words.doc[at[order]]))]
+        a, b, doc = a[order], b[order], words.doc[at[order]]
         return at[order[1:][(a[1:] == a[:-1]) & (b[1:] == b[:-1]) & (doc[1:] == doc[:-1])]]
 
     def finish(batches):

@@ -4,7 +4,7 @@ An operator names, for every window, one anchor inside it that depends on the wi
 same anchor make a run. Anchors that no other document has drop out. What is left meets in buckets, in one of two forms:
 
 * a run's context, the bytes that its windows cover, in the bucket of its anchor, where the windows are compared byte by byte;
-* windows by name, 128 bits each, in the bucket of the name: for anchors that many contexts go with, such as the edges of a
+* windows by name, 96 bits besides those that choose the bucket, in the bucket of the name: for anchors that many contexts go with, such as the edges of a
   common passage, so that no bucket grows with the number of surroundings.
 
 A block sends each distinct context or name once, with the smallest id that has it there, so that a group of copies costs one entry a
@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 from . import blocks as B
 from .common import Steps
 
-BUCKET_BYTES = 1 << 21
+BUCKET_BYTES = 1 << 20
 #: An anchor with more contexts than these has its windows named one by one.
 HOT = 64
-CONTEXTS, NAMES = 0, 1
+CONTEXTS, NAMES, OWN = 0, 1, 2
 
 
 class Runs:
@@ -76,14 +76,17 @@ def expanded(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data[1:]) if data[:1] == b"\1" else data[1:]
 
 
-def least_of(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of names in two columns: one place for each distinct name, where its smallest id stands, and for each input which of these is its own."""
-    order = np.lexsort((ids, b, a))
+def least_of(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of names in two columns: where each distinct name stands, its smallest id, and for each input which of these names is its own."""
+    order = np.argsort(b)
     x, y = a[order], b[order]
+    if ((y[1:] == y[:-1]) & (x[1:] != x[:-1])).any():  # names that agree in one column alone
+        order = np.lexsort((a, b))
+        x, y = a[order], b[order]
     new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]) if len(order) else np.zeros(0, bool)
     own = np.empty(len(order), np.int64)
     own[order] = np.cumsum(new) - 1
-    return order[new], own
+    return order[new], np.minimum.reduceat(ids[order], np.flatnonzero(new)) if len(order) else ids, own
 
 
 def merged(contexts: list[bytes], ids: list[int]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -98,9 +101,8 @@ def merged(contexts: list[bytes], ids: list[int]) -> tuple[list[bytes], np.ndarr
 class Offer:
     """What a block sends, and what it makes of the answers; both need the same order, so both start here."""
 
-    def __init__(self, block: B.Block, runs: Runs, states: np.ndarray, contexts_of, names_of, n_buckets: int):
-        self.plain = runs.take(states == B.FEW)
-        self.ids = block.ids
+    def __init__(self, block: B.Block, plain: Runs, windows: np.ndarray, owners: np.ndarray, contexts_of, names_of, n_buckets: int):
+        self.plain, self.windows, self.owners, self.ids = plain, windows, owners, block.ids
         found = contexts_of(block, self.plain) if len(self.plain.keys) else []
         self.contexts, self.least, own = merged(found, block.ids[self.plain.doc].tolist())
         key = np.zeros(len(self.contexts), np.uint64)
@@ -109,12 +111,10 @@ class Offer:
         self.place = np.empty(len(self.order), np.int64)
         self.place[self.order] = np.arange(len(self.order))
         self.own = self.place[own]  # contexts by their place in what is sent
-        hot = runs.take(states == B.MANY)
-        self.windows, self.owners = spread(hot.first, hot.count), block.ids[np.repeat(hot.doc, hot.count)]
         self.a, self.b = names_of(block, self.windows) if len(self.windows) else (np.zeros(0, np.uint64),) * 2
-        at, name = least_of(self.a, self.b, self.owners)
-        self.first_at = at
-        self.name_order, self.name_cuts = self.dealt((self.a[at] % np.uint64(n_buckets)).astype(np.int64), self.owners[at])
+        at, least, name = least_of(self.a, self.b, self.owners)
+        self.name_order, self.name_cuts = self.dealt(((self.a[at] >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64), least)
+        self.sent, self.first_ids = at[self.name_order], least[self.name_order]
         place = np.empty(len(at), np.int64)
         place[self.name_order] = np.arange(len(at))
         self.name = place[name]
@@ -135,8 +135,8 @@ class Offer:
             parts = [self.contexts[k] for k in some.tolist()]
             yield bucket, CONTEXTS, squeezed(b"".join(parts)), squeezed(np.array([len(c) for c in parts], "<i4").tobytes()), steps(self.least[some])
         for bucket, a, b in self.name_cuts:
-            some = self.first_at[self.name_order[a:b]]
-            yield bucket, NAMES, self.a[some].astype("<u8").tobytes() + self.b[some].astype("<u8").tobytes(), b"", steps(self.owners[some])
+            some = self.sent[a:b]
+            yield bucket, NAMES, self.b[some].astype("<u8").tobytes() + self.a[some].astype("<u4").tobytes(), b"", steps(self.first_ids[a:b])
 
     def removed(self, answers: dict[tuple[int, int], bytes], windows_in) -> np.ndarray:
         """The windows that go, sorted. answers: bits by kind and bucket, where any is set."""
@@ -155,15 +155,14 @@ class Offer:
         for bucket, a, b in self.name_cuts:
             if said := answers.get((NAMES, bucket)):
                 bits[a:b] = np.unpackbits(np.frombuffer(said, np.uint8), count=b - a)
-        least = self.owners[self.first_at[self.name_order]]
-        found.append(self.windows[(self.owners > least[self.name]) | (bits[self.name] > 0)] if len(self.windows) else self.windows)
+        found.append(self.windows[(self.owners > self.first_ids[self.name]) | (bits[self.name] > 0)] if len(self.windows) else self.windows)
         return np.sort(np.concatenate(found))
 
 
 def decide(rows: list[dict], windows_in, has_earlier) -> list[bytes]:
-    """A bucket's answers, one for each row: a bit for each window of its contexts, or for each of its names; empty where no bit is set."""
-    ids = [np.cumsum(np.frombuffer(expanded(r["ids"]), "<i8")) for r in rows]
-    said = [b""] * len(rows)
+    """A bucket's answers, one for each row: a bit for each window of its contexts, or for each of its names; empty where no bit is set. What a block keeps for itself comes back as it is."""
+    ids = [np.cumsum(np.frombuffer(expanded(r["ids"]), "<i8")) if r["ids"] else None for r in rows]
+    said = [r["data"] if r["kind"] == OWN else b"" for r in rows]
     some = [k for k, r in enumerate(rows) if r["kind"] == CONTEXTS]
     if some:
         parts = [cut(expanded(rows[k]["data"]), np.frombuffer(expanded(rows[k]["lengths"]), "<i4")) for k in some]
@@ -179,14 +178,15 @@ def decide(rows: list[dict], windows_in, has_earlier) -> list[bytes]:
             said[k] = np.packbits(bits).tobytes() if bits.any() else b""
     some = [k for k, r in enumerate(rows) if r["kind"] == NAMES]
     if some:
-        lanes = [np.frombuffer(rows[k]["data"], "<u8").reshape(2, -1) for k in some]
-        a, b = (np.concatenate([x[j] for x in lanes]) for j in (0, 1))
+        sizes = [len(rows[k]["data"]) // 12 for k in some]
+        b = np.concatenate([np.frombuffer(rows[k]["data"], "<u8", n) for k, n in zip(some, sizes, strict=True)])
+        a = np.concatenate([np.frombuffer(rows[k]["data"], "<u4", n, 8 * n) for k, n in zip(some, sizes, strict=True)])
         every = np.concatenate([ids[k] for k in some])
-        first, own = least_of(a, b, every)
-        bits = every > every[first][own]
+        _, first, own = least_of(a, b, every)
+        bits = every > first[own]
         at = 0
-        for k, x in zip(some, lanes, strict=True):
-            mine, at = bits[at : at + x.shape[1]], at + x.shape[1]
+        for k, n in zip(some, sizes, strict=True):
+            mine, at = bits[at : at + n], at + n
             said[k] = np.packbits(mine).tobytes() if mine.any() else b""
     return said
 
@@ -196,11 +196,12 @@ class Exchange:
 
     runs_of(block) -> Runs; contexts_of(block, runs) -> the bytes of each; windows_in(contexts) -> how many windows each has;
     has_earlier(contexts, ids, counts) -> for all their windows whether a smaller id has them; names_of(block, windows) -> two columns of
-    64 bits that name each window's content; anchors: about how many runs there are; hot: how many contexts make an anchor hot (None: all are).
+    64 bits that name each window's content; anchors: about how many runs there are; hot: how many contexts make an anchor hot. If it is
+    None, all windows are named; then size_of(block) -> the numbers that windows have, at most, and docs_of(block, windows) -> their documents.
     """
 
-    def __init__(self, n_bytes: int, anchors: int, runs_of, names_of, contexts_of=lambda block, runs: [], windows_in=lambda contexts: np.zeros(len(contexts), np.int64), has_earlier=None, hot: int | None = HOT):
-        self.runs_of, self.names_of, self.contexts_of, self.windows_in, self.has_earlier, self.hot = runs_of, names_of, contexts_of, windows_in, has_earlier, hot
+    def __init__(self, n_bytes: int, anchors: int, runs_of, names_of, contexts_of=lambda block, runs: [], windows_in=lambda contexts: np.zeros(len(contexts), np.int64), has_earlier=None, hot: int | None = HOT, size_of=None, docs_of=None):
+        self.runs_of, self.names_of, self.contexts_of, self.windows_in, self.has_earlier, self.hot, self.size_of, self.docs_of = runs_of, names_of, contexts_of, windows_in, has_earlier, hot, size_of, docs_of
         self.n_buckets, self.anchors, self.n_bytes = max(1, n_bytes // BUCKET_BYTES), anchors, n_bytes
 
     def keys_of(self, block: B.Block):
@@ -208,22 +209,41 @@ class Exchange:
         return B.distinct(runs.keys, runs.doc) if self.hot is None else B.pairs(runs.keys, runs.tags, runs.doc)[:3]
 
     def offer(self, row: dict) -> tuple[B.Block, Offer]:
+        """A block with its `counts` and what it sends."""
         block = B.Block(row)
         runs, said = self.runs_of(block), B.counts_of(row)
-        if self.hot is None:
-            states = np.where(said[np.searchsorted(np.unique(runs.keys), runs.keys)] > 0, B.MANY, B.ALONE) if len(runs.keys) else said
+        if not len(runs.keys):
+            states = np.zeros(0, np.uint8)
+        elif self.hot is None:
+            states = np.where(said[np.searchsorted(np.unique(runs.keys), runs.keys)] > 0, B.MANY, B.ALONE)
         else:
-            states = said[B.pairs(runs.keys, runs.tags, runs.doc)[3]] if len(runs.keys) else said
-        return block, Offer(block, runs, states, self.contexts_of, self.names_of, self.n_buckets)
+            states = said[B.pairs(runs.keys, runs.tags, runs.doc)[3]]
+        hot = runs.take(states == B.MANY)
+        windows, docs = spread(hot.first, hot.count), np.repeat(hot.doc, hot.count)
+        return block, Offer(block, runs.take(states == B.FEW), windows, block.ids[docs], self.contexts_of, self.names_of, self.n_buckets)
+
+    def own(self, block: B.Block, offer: Offer):
+        """What a block keeps for itself, so that its runs need no second search: a bit for each window that it has named."""
+        mask = np.zeros(self.size_of(block), bool)
+        mask[offer.windows] = True
+        yield block.number % self.n_buckets, OWN, squeezed(np.packbits(mask).tobytes()), b"", b""
+
+    def again(self, row: dict) -> tuple[B.Block, Offer]:
+        """The same offer as before, from what the block kept for itself."""
+        block = B.Block(row)
+        kept = next(s["said"] for s in row["said"] if s["kind"] == OWN)
+        windows = np.flatnonzero(np.unpackbits(np.frombuffer(expanded(kept), np.uint8), count=self.size_of(block)))
+        return block, Offer(block, Runs.joined([]), windows, block.ids[self.docs_of(block, windows)], self.contexts_of, self.names_of, self.n_buckets)
 
     def run(self, packed: DataFrame, steps: Steps) -> DataFrame:
-        """The blocks with `counts` and `said`, which removed() needs."""
+        """The blocks with what removed() needs."""
         parts = B.partitions(packed, self.n_bytes)
         counts = steps.write(B.shared(packed, self.keys_of, self.anchors, self.hot))
 
         def send(batches):
             for row in B.each_row(batches):
-                out = list(self.offer(row)[1].rows())
+                block, offer = self.offer(row)
+                out = [*offer.rows(), *(self.own(block, offer) if self.hot is None else ())]
                 for at in range(0, len(out), 4096):
                     bucket, kind, *rest = zip(*out[at : at + 4096], strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array([row["block"]] * len(bucket), pa.int64()), pa.array(kind, pa.int32()), *[pa.array(c, pa.binary()) for c in rest]], ["bucket", "block", "kind", "data", "lengths", "ids"])
@@ -235,12 +255,12 @@ class Exchange:
             return whole.filter(pa.array([len(s) > 0 for s in said]))
 
         blocks = packed.repartition(parts, "block")
-        sent = blocks.join(counts, "block").mapInArrow(send, "bucket long, block long, kind int, data binary, lengths binary, ids binary")
+        sent = blocks.join(counts, "block", "left").mapInArrow(send, "bucket long, block long, kind int, data binary, lengths binary, ids binary")
         decided = sent.repartition(parts, "bucket").groupBy("bucket").applyInArrow(answer, "block long, kind int, bucket long, said binary")
         said = steps.write(decided.groupBy("block").agg(F.collect_list(F.struct("kind", "bucket", "said")).alias("said")))
-        return blocks.join(counts, "block", "left").join(said, "block", "left")
+        return (blocks if self.hot is None else blocks.join(counts, "block", "left")).join(said, "block", "left")
 
     def removed(self, row: dict) -> tuple[B.Block, np.ndarray]:
         """A block of run()'s result and its windows that go."""
-        block, offer = self.offer(row)
+        block, offer = self.again(row) if self.hot is None else self.offer(row)
         return block, offer.removed({(s["kind"], s["bucket"]): s["said"] for s in row["said"] or []}, self.windows_in)
