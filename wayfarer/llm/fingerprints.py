@@ -13,15 +13,19 @@ import hashlib
 from bisect import bisect_left
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hidden, slices
+from .blocks import NULL_ID, partitions
+from .common import Steps, hidden, slices
 
 MIN_BYTES, NORMAL_BYTES, MAX_BYTES = 48, 112, 512
 STRICT_BITS, LAX_BITS = 9, 5
+#: Rows that the cuts between ranges are taken from, for each range.
+SAMPLE = 20
 #: 32-bit gear values of the bytes, from a seed.
 GEAR = np.random.Generator(np.random.PCG64(2024)).integers(0, 2**32, 256, dtype=np.uint32)
 RECORD = np.dtype([("digest", ">u8"), ("length", ">u2")])
@@ -102,45 +106,62 @@ def fingerprint(df: DataFrame, text: str = "text", name: str = "fingerprint") ->
     return df.mapInArrow(run, df.withColumn(name, F.lit("")).schema)
 
 
-def in_order(df: DataFrame, doc_id: str, buckets: int) -> tuple[DataFrame, str, str]:
-    """The rows dealt by ranges of ids, each range sorted and followed by an echo of the row that comes next.
+def cuts_of(keys: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Up to buckets - 1 places (id, hash) that cut the rows' order into ranges of about equal numbers, from about SAMPLE rows a range, chosen by a hash."""
+    n = keys.count()
+    share = min(1.0, SAMPLE * buckets / max(n, 1))
+    some = keys if share == 1 else keys.where(F.pmod(F.xxhash64("id", "h", F.lit("cut")), F.lit(1 << 30)) < int(share * (1 << 30)))
+    found = sorted((r.id, r.h) for r in some.collect())  # some numbers a range, whatever the table
+    at = sorted({found[len(found) * k // buckets] for k in range(1, buckets)}) if found else []
+    return np.array([i for i, _ in at], np.int64), np.array([h for _, h in at], np.int64)
 
-    The bounds are quantiles of the ids; the driver holds them and each range's first id, `buckets` numbers each.
-    """
-    part, echo, first = (hidden(df, n) for n in ("order_bucket", "order_echo", "order_first"))
-    ids = df.select(F.col(doc_id).cast("long").alias("id"))
-    cuts = sorted(set(ids.approxQuantile("id", [i / buckets for i in range(1, buckets)], 0.25 / buckets))) if buckets > 1 else []
 
-    @F.pandas_udf("int")
-    def bucket_of(s):
-        return s.__class__(np.where(s.isna(), -1, np.searchsorted(cuts, s.fillna(0).to_numpy(np.float64), "right")))
+def ranges_of(ids: np.ndarray, hashes: np.ndarray, cut_ids: np.ndarray, cut_hashes: np.ndarray) -> np.ndarray:
+    """How many cuts lie at or below each (id, hash)."""
+    low, high = np.searchsorted(cut_ids, ids, "left"), np.searchsorted(cut_ids, ids, "right")
+    for a in np.unique(low[high > low]).tolist():  # ids that hold cuts of their own: by hash among these
+        some = (low == a) & (high > low)
+        b = int(high[some][0])
+        low[some] = a + np.searchsorted(cut_hashes[a:b], hashes[some], "right")
+    return low
+
 
-    firsts = sorted((r.b, r.id) for r in ids.select("id", bucket_of("id").alias("b")).groupBy("b").agg(F.min("id").alias("id")).collect())
-    before = {i: firsts[k - 1][0] for k, (_, i) in enumerate(firsts)}
+def in_order(df: DataFrame, doc_id: str, text: str, buckets: int) -> tuple[DataFrame, str, str, list[str]]:
+    """The rows dealt by ranges of their order, (id, hash of the text, text), and with each range an echo of the row that comes after it.
 
-    @F.pandas_udf("array<int>")
-    def buckets_of(s):
-        own = np.where(s.isna(), -1, np.searchsorted(cuts, s.fillna(0).to_numpy(np.float64), "right"))
-        nulls = s.isna().to_numpy()
-        keys = [None if n else int(x) for x, n in zip(s.fillna(0), nulls, strict=True)]
-        return s.__class__([[int(b), before[k]] if k in before else [int(b)] for b, k in zip(own, keys, strict=True)])
+    A null id comes before all others. The hash deals rows that share an id, or have none, to several ranges. Keys are whole numbers all the
+    way. The driver holds the cuts and the numbers of the ranges; the ranges' first rows, one each, stay tables.
+    """
+    part, echo, null, i, h = (hidden(df, n) for n in ("order_bucket", "order_echo", "order_null", "order_id", "order_hash"))
+    keyed = df.withColumns({null: F.col(doc_id).isNotNull(), i: F.coalesce(F.col(doc_id), F.lit(NULL_ID)), h: F.xxhash64(text)})
+    cut_ids, cut_hashes = cuts_of(keyed.select(F.col(i).alias("id"), F.col(h).alias("h")), buckets)
+
+    @F.pandas_udf("int")
+    def bucket_of(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series(ranges_of(ids.to_numpy(np.int64), hashes.to_numpy(np.int64), cut_ids, cut_hashes))
 
-    dealt = df.select("*", F.posexplode(buckets_of(F.col(doc_id).cast("long"))).alias(echo, part))
-    return dealt, part, echo
+    order = [null, i, h, text]
+    dealt = keyed.withColumn(part, bucket_of(i, h)).withColumn(echo, F.lit(0))
+    firsts = Steps(df.sparkSession, "order").write(dealt.groupBy(part).agg(F.min(F.struct(*order, doc_id)).alias("first")))
+    numbers = sorted(r[0] for r in firsts.select(part).collect())
+    if not numbers:
+        return dealt, part, echo, order
+    before = df.sparkSession.createDataFrame(list(zip(numbers, [numbers[-1], *numbers[:-1]], strict=True)), f"{part} int, before int")
+    echoes = firsts.join(before, part).select(F.col("before").alias(part), F.lit(1).alias(echo), *[F.col(f"first.{c}").alias(c) for c in dict.fromkeys([*order, doc_id])])
+    return dealt.unionByName(echoes, allowMissingColumns=True), part, echo, order
 
 
 def fingerprint_edits(df: DataFrame, text: str = "text", doc_id: str = "doc_id", with_text: bool = False) -> DataFrame:
     """Fingerprints each text and an edited form, in which its last quarter of code points (rounded down) is
     replaced by as many from the start of the next document's text, by ascending id (after the last: the first).
 
-    A null text counts as empty. Ids that are equal go by text, null ids come first; a single row is its own next.
+    A null text counts as empty. Ids that are equal go by a hash of the text, then the text, null ids come first; a single row is its own next.
     near_edited and near_next are the shares of the text's chunk bytes that the edited and the next text contain.
     """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    dealt, part, echo = in_order(rows, "doc_id", 4 * parts)
-    dealt = dealt.repartition(parts, part).sortWithinPartitions(part, echo, "doc_id", "text")
+    parts = partitions(df, rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0, 1 << 24)
+    dealt, part, echo, order = in_order(rows, "doc_id", "text", 4 * parts)
+    dealt = dealt.repartition(parts, part).sortWithinPartitions(part, echo, *order).select("doc_id", "text", part, echo)
     schema = f"doc_id long, n_chars long,{' edited_text string,' * with_text} edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def finish(a, b):
@@ -154,18 +175,15 @@ def fingerprint_edits(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
         return (i, n, *[edited] * with_text, hashlib.sha256(raw).hexdigest(), as_hex(w), as_hex(e), containment(w, e), containment(w, theirs))
 
     def run(batches):
-        last = None  # the row before and its bucket
-        done = None  # the bucket that has met its echo
+        last = None  # the row before, in the same bucket
         for b in slices(batches):
             out = []
-            for i, t, is_echo, k in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column(echo).to_pylist(), b.column(part).to_pylist(), strict=True):
-                if is_echo and done == k:
-                    continue
+            for i, t, is_echo in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column(echo).to_pylist(), strict=True):
                 data = t.encode()
                 row = (i, t, data, cut := chunks(data), weights(*cut))
                 if last:
                     out.append(finish(last, row))
-                last, done = (None, k) if is_echo else (row, done)
+                last = None if is_echo else row  # each bucket ends in its echo
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
