@@ -60,15 +60,34 @@ def test_budgets_and_permutations(spark):
             assert max(copies) - min(copies) <= 1
         taken = sum(r.mix_tokens * r.mix_copies for r in own)
         assert abs(taken - own[0].mix_weight * every) <= 20 * len(blocks) + 1
-    sampled = mixing.sample(mixed)
+    sampled = mixing.sample(mixed.withColumn("mix_ratio", F.lit(1))).drop("mix_ratio")
     assert sampled.columns == ["doc_id", "text", "source", "MIX_key"] and sampled.count() == sum(r.mix_copies for r in rows)
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
 def test_oracle(spark):
-    docs = corpus(spark).where("doc_id <> 5 and doc_id is not null")
-    got = sorted((r.doc_id, r.source or "", r.mix_tokens, round(r.mix_weight, 9), r.mix_copies, r.mix_block, r.mix_place) for r in mixing.mix(docs).collect())
+    docs = corpus(spark).where("doc_id is null or doc_id <> 5")
+    got = sorted((r.doc_id or -1, r.source or "", r.mix_tokens, round(r.mix_weight, 9), r.mix_copies, r.mix_block, r.mix_place) for r in mixing.mix(docs).collect())
     con = duckdb.connect()
     documents = docs.toPandas()  # noqa: F841
-    want = sorted((r[0], r[1] or "", *r[2:]) for r in con.execute(mixing.ORACLE).fetchall())
+    want = sorted((r[0] or -1, r[1] or "", *r[2:]) for r in con.execute(mixing.ORACLE).fetchall())
     assert got == want
+
+
+def test_taking_without_moving_texts(spark):
+    docs = corpus(spark).withColumn("mix_limit", F.lit(1))
+    want = mixing.sample(mixing.mix(docs, block_docs=64))
+    for near in (10**6, 0):
+        got = mixing.take(docs, block_docs=64, near_rows=near)
+        assert got.columns == docs.columns and got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+    assert mixing.take(docs.limit(0)).count() == 0
+    plan = mixing.take(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" not in plan
+
+
+def test_rows_without_ids_are_dealt(spark):
+    docs = spark.createDataFrame([(None, f"words of {i}", "s") for i in range(400)] + [(7, "w " * 200_000, "s")], "doc_id long, text string, source string")
+    rows = mixing.mix(docs, block_docs=50).collect()
+    assert len(rows) == 401 and max(r.mix_place for r in rows) < 150 and max(r.mix_tokens for r in rows) == 200_000
+    short = mixing.mix(docs, block_docs=50, with_text=False)
+    assert "text" not in short.columns and sorted((r.mix_block, r.mix_place, r.mix_copies) for r in short.collect()) == sorted((r.mix_block, r.mix_place, r.mix_copies) for r in rows)

@@ -53,6 +53,8 @@ def test_fingerprints(spark, docs):
         m = len(t) // 4
         assert rows[i].n_chars == len(t) and rows[i].edited_sha256 == sha(t[: len(t) - m] + u[:m])
         assert rows[i].fingerprint == fingerprints.as_hex(fingerprints.weights(*fingerprints.chunks(t.encode())))
+        edited = fingerprints.weights(*fingerprints.chunks((t[: len(t) - m] + u[:m]).encode()))
+        assert rows[i].edited_fingerprint == fingerprints.as_hex(edited) and rows[i].near_edited == fingerprints.containment(fingerprints.from_hex(rows[i].fingerprint), edited)
         assert rows[i].near_next == fingerprints.containment(*(fingerprints.from_hex(rows[k].fingerprint) for k in (i, j)))
 
 

@@ -23,6 +23,10 @@ MAX_REPEATS = 4.0
 BUDGET_RATIO = 1.0
 BLOCK_DOCS = 2048
 SEED = "mix"
+#: Blocks whose limits are sent to every executor, at most: some tens of bytes each.
+NEAR_ROWS = 200_000
+#: Names of the columns that mix() adds, after its prefix.
+ADDED = ("tokens", "weight", "copies", "block", "place")
 #: The exponent is known to 2**-LEVELS of its bracket; LEVELS_A_JOB of them are tried by one job.
 LEVELS = 30
 LEVELS_A_JOB = 6
@@ -88,56 +92,109 @@ def exponent(sources: DataFrame, entropy_share: float = ENTROPY_SHARE, max_repea
     return bisect(sources, a, 1.0, few) if a < 1 else bisect(sources, 1.0, a, lambda h, r: not few(h, r), low=True)
 
 
+def counted(df: DataFrame, text: str, source: str, tokens: str, key: str) -> DataFrame:
+    """The rows with the words of the whole text, and the source as a key that no null equals."""
+    words = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
+    return df.withColumn(tokens, words).withColumn(key, F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")))
+
+
+def digest_of(text: str, doc_id: str, seed: str) -> F.Column:
+    """What deals a row to its block and permutes it there: a digest of its id or, without one, of its text, so that rows without an id don't lie in one block."""
+    own = F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))))
+    return F.md5(F.concat(F.lit(f"{seed}:"), own).cast("binary"))
+
+
+def rates_of(rows: DataFrame, key: str, tokens: str, weight: str, rate: str, docs: str, entropy_share: float, max_repeats: float, budget_ratio: float) -> DataFrame:
+    """(key, weight, rate, docs): each source's weight, how often its documents are taken on average, and their number."""
+    sources = shares(rows, key, tokens)
+    a = exponent(sources, entropy_share, max_repeats, budget_ratio)
+    power = F.exp(F.lit(a) * F.col("log_share"))
+    z = sources.agg(F.sum(power).alias("z")).first().z
+    w = F.coalesce(power / F.lit(z or 1.0), F.lit(0.0))
+    taken = F.coalesce(F.round(w * F.lit(budget_ratio) * F.col("all_tokens") / F.when(F.col("tokens") > 0, F.col("tokens")), 9), F.lit(0.0))
+    return sources.select(F.col(key), F.round(w, 12).alias(weight), taken.alias(rate), F.col("docs").alias(docs))
+
+
+def placed_in_blocks(rows: DataFrame, key: str, tokens: str, perm: str, block: str, rate: str, names: tuple[str, str, str, str]) -> DataFrame:
+    """Adds each row's place in its block's permutation, the tokens before it, the block's tokens, and whether the part of a permutation that is left over reaches it."""
+    place, before, whole, part = names
+    inside = Window.partitionBy(key, block)
+    ordered = inside.orderBy(F.reverse(perm), tokens)
+    out = rows.withColumn(place, F.row_number().over(ordered).cast("long"))
+    out = out.withColumn(before, F.sum(tokens).over(ordered.rowsBetween(Window.unboundedPreceding, -1)))
+    out = out.withColumn(whole, F.sum(tokens).over(inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    rest = F.col(rate) - F.floor(rate)
+    reached = 2 * F.coalesce(F.col(before), F.lit(0)) + F.col(tokens) <= 2 * rest * F.col(whole)
+    return out.withColumn(part, reached & (rest > 0))
+
+
 def number(digest) -> F.Column:
     """60 bits of a hexadecimal digest."""
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
-def mix(df: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", entropy_share: float = ENTROPY_SHARE, max_repeats: float = MAX_REPEATS, budget_ratio: float = BUDGET_RATIO, block_docs: int = BLOCK_DOCS, seed: str = SEED, prefix: str = "mix_") -> DataFrame:
+def mix(df: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", entropy_share: float = ENTROPY_SHARE, max_repeats: float = MAX_REPEATS, budget_ratio: float = BUDGET_RATIO, block_docs: int = BLOCK_DOCS, seed: str = SEED, prefix: str = "mix_", with_text: bool = True) -> DataFrame:
     """Adds to each row how often the mixture takes it and where.
 
     mix_tokens: words of the whole text (null: 0); mix_weight: its source's weight (0 if the source has no
     token); mix_copies: how many times the row is taken, 0 included; mix_block and mix_place: its block within
     the source, and its place from 1 in the block's permutation. A null source is a source of its own.
-    Repeated rows count each; rows that share an id lie in one block, in order of tokens. Columns of these names are replaced.
+    Repeated rows count each; rows that share an id lie in one block, in order of tokens; a row without an id goes by its text. Columns of these
+    names are replaced. Without the text, each text is read and counted once, and only the other columns are written and sorted.
     """
-    names = [prefix + n for n in ("tokens", "weight", "copies", "block", "place")]
+    names = [prefix + n for n in ADDED]
     df = df.drop(*names)
     tokens, weight, copies, block, place = names
-    key, perm, before, whole, rate, docs = (hidden(df, n) for n in ("mix_key", "mix_perm", "mix_before", "mix_whole", "mix_rate", "mix_docs"))
-    counted = df.withColumn(tokens, F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long"))
-    counted = counted.withColumn(key, F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")))
-    sources = shares(counted, key, tokens)
-    a = exponent(sources, entropy_share, max_repeats, budget_ratio)
-    power = F.exp(F.lit(a) * F.col("log_share"))
-    z = sources.agg(F.sum(power).alias("z")).first().z
-    w = F.coalesce(power / F.lit(z or 1.0), F.lit(0.0))
-    rates = sources.select(F.col(key), F.round(w, 12).alias(weight), F.coalesce(F.round(w * F.lit(budget_ratio) * F.col("all_tokens") / F.when(F.col("tokens") > 0, F.col("tokens")), 9), F.lit(0.0)).alias(rate), F.col("docs").alias(docs))
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).cast("binary"))
-    placed = counted.join(rates, key).withColumn(perm, digest)
+    key, perm, before, whole, rate, docs, part = (hidden(df, n) for n in ("mix_key", "mix_perm", "mix_before", "mix_whole", "mix_rate", "mix_docs", "mix_part"))
+    rows = counted(df, text, source, tokens, key).withColumn(perm, digest_of(text, doc_id, seed))
+    kept = [c for c in df.columns if with_text or c != text]
+    if not with_text:
+        rows = Steps(df.sparkSession, "mixing").write(rows.drop(text))
+    rates = rates_of(rows, key, tokens, weight, rate, docs, entropy_share, max_repeats, budget_ratio)
+    placed = rows.join(rates, key)
     placed = placed.withColumn(block, number(F.col(perm)) % F.ceil(F.col(docs) / F.lit(block_docs)))
-    inside = Window.partitionBy(key, block)
-    ordered = inside.orderBy(F.reverse(perm), tokens)
-    placed = placed.withColumn(place, F.row_number().over(ordered).cast("long"))
-    placed = placed.withColumn(before, F.sum(tokens).over(ordered.rowsBetween(Window.unboundedPreceding, -1)))
-    placed = placed.withColumn(whole, F.sum(tokens).over(inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    rest = F.col(rate) - F.floor(rate)
-    part = 2 * F.coalesce(F.col(before), F.lit(0)) + F.col(tokens) <= 2 * rest * F.col(whole)
-    placed = placed.withColumn(copies, F.floor(rate).cast("long") + F.when(part & (rest > 0), 1).otherwise(0))
-    return placed.select(*[F.col(f"`{c}`") for c in df.columns], *names)
+    placed = placed_in_blocks(placed, key, tokens, perm, block, rate, (place, before, whole, part))
+    placed = placed.withColumn(copies, F.floor(rate).cast("long") + F.when(F.col(part), 1).otherwise(0))
+    return placed.select(*[F.col(f"`{c}`") for c in kept], *names)
 
 
 def sample(mixed: DataFrame, prefix: str = "mix_") -> DataFrame:
     """The mixture itself: each row as often as it is taken, without the columns that mix() added."""
     copy = hidden(mixed, "mix_copy")
     taken = mixed.where(F.col(f"{prefix}copies") > 0).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{prefix}copies"))))
-    return taken.drop(copy, *[c for c in mixed.columns if c.startswith(prefix)])
+    return taken.drop(copy, *[prefix + n for n in ADDED])
+
+
+def take(df: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", entropy_share: float = ENTROPY_SHARE, max_repeats: float = MAX_REPEATS, budget_ratio: float = BUDGET_RATIO, block_docs: int = BLOCK_DOCS, seed: str = SEED, near_rows: int = NEAR_ROWS) -> DataFrame:
+    """The mixture itself, the rows of sample(mix(df)), without moving a text.
+
+    What decides about a row is how far its block's permutation is taken: the last digest, and tokens, that are. These limits, one a block,
+    are joined to the rows where they lie, up to near_rows of them as a broadcast.
+    """
+    key, perm, tokens, block, rate, docs, weight, copy, limit = (hidden(df, n) for n in ("mix_key", "mix_perm", "mix_tokens", "mix_block", "mix_rate", "mix_docs", "mix_weight", "mix_copy", "mix_limit"))
+    steps = Steps(df.sparkSession, "mixing")
+    small = df.select(*[F.col(f"`{c}`") for c in {text, source, doc_id}])
+    rows = steps.write(counted(small, text, source, tokens, key).select(F.col(key), F.col(tokens), digest_of(text, doc_id, seed).alias(perm)))
+    rates = steps.write(rates_of(rows, key, tokens, weight, rate, docs, entropy_share, max_repeats, budget_ratio))
+    of_block = lambda r: r.withColumn(block, number(F.col(perm)) % F.ceil(F.col(docs) / F.lit(block_docs)))
+    placed = placed_in_blocks(of_block(rows.join(rates, key)), key, tokens, perm, block, rate, ("place", "before", "whole", "part"))
+    limits = steps.write(placed.groupBy(key, block).agg(F.max(F.when(F.col("part"), F.struct(F.reverse(perm).alias("p"), F.col(tokens).alias("t")))).alias(limit)))
+    steps.drop(rows)
+    near = lambda x: F.broadcast(x) if x.count() <= near_rows else x
+    keyed = df.withColumn(key, F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit(""))).withColumn(perm, digest_of(text, doc_id, seed))
+    joined = of_block(keyed.join(near(rates), key)).join(near(limits), [key, block])
+    own = F.reverse(perm)
+    words = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
+    # a text is only counted again where the digest is the last one's own
+    within = F.when(own < F.col(f"{limit}.p"), True).when(own == F.col(f"{limit}.p"), words <= F.col(f"{limit}.t")).otherwise(False)
+    copies = F.floor(rate).cast("long") + F.when(F.col(limit).isNotNull() & within, 1).otherwise(0)
+    return joined.withColumn(copy, F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 #: The same in SQL, with one bisection for each way in which the limit can bind.
 ORACLE = rf"""
 with recursive docs as (
-  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::bigint as n from documents
+  select doc_id, source, coalesce(doc_id::varchar, 'text:' || md5(coalesce(text, ''))) as own, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::bigint as n from documents
 ), src as (
   select source, count(*) as docs, sum(n)::bigint as t, sum(sum(n)) over ()::double as every from docs group by source
 ), sh as (
@@ -171,7 +228,7 @@ lim as (
 ), rates as (
   select source, docs, round(w, 12) as weight, coalesce(round(w * {BUDGET_RATIO} * every / nullif(t, 0), 9), 0) as rate from w
 ), placed as (
-  select d.doc_id, d.source, d.n, r.weight, r.rate, md5('{SEED}:' || coalesce(d.doc_id::varchar, '')) as h, r.docs
+  select d.doc_id, d.source, d.n, r.weight, r.rate, md5('{SEED}:' || d.own) as h, r.docs
   from docs d join rates r on d.source is not distinct from r.source
 ), blocks as (
   select *, ('0x' || h[1:15])::bigint % ceil(docs / {BLOCK_DOCS})::bigint as b from placed

@@ -20,7 +20,7 @@ def op1_pii(spark, sf_dir):
 
 
 def op2_mixing(spark, sf_dir):
-    mixed = mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "source"))
+    mixed = mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "source"), with_text=False)
     return mixed.select("doc_id", "source", "mix_tokens", F.round("mix_weight", 9).alias("mix_weight"), "mix_copies", "mix_block", "mix_place")
 
 
