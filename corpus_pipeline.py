@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from wayfarer.llm import bpe, jaccard, langid, mixing, pii
 from wayfarer.llm.common import Steps, hidden
 from wayfarer.llm.queries import VOCABULARY
+from wayfarer.sources.store import temporary
 
 
 def _columns(df: DataFrame) -> list:
@@ -31,11 +32,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group of near copies. Rows of null id stay, of rows with the same id and text one stays."""
-    groups = jaccard.jaccard_components(docs)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    with_id = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return with_id.select(*_columns(docs)).unionByName(docs.where("doc_id is null"))
+    """Keeps one document of each group of near copies: that of the smallest id, and of rows that share it, or of rows without an id, the first as they are read.
+
+    Rows are numbered and written first, so that those of null and repeated ids are nodes of their own, and the same ones when a task runs again.
+    """
+    row, component, least = (hidden(docs, n) for n in ("row_number", "component", "least_row"))
+    numbered = Steps(spark, "numbered").write(docs.withColumn(row, F.monotonically_increasing_id()))
+    groups = jaccard.jaccard_components(numbered.select(row, "text"), doc_id=row).select(F.col("doc_id").alias(row), F.col("component_id").alias(component))
+    ids = groups.join(numbered.select(row, F.col("doc_id").alias("own_id")), row)
+    kept = ids.groupBy(component).agg(F.min(F.struct(F.col("own_id").isNull(), "own_id", row)).alias(least)).select(F.col(f"{least}.{row}").alias(row))
+    return numbered.join(kept, row, "left_semi").select(*_columns(docs))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +54,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes each document as often as the mixture of sources does, which may be never or several times."""
-    mixed = mixing.mix(docs, prefix="mixture_stage_")
-    return mixing.sample(mixed, "mixture_stage_").select(*_columns(docs))
+    return mixing.take(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,7 +75,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = Steps(spark, "pipeline")
     before = None
     for _, stage in STAGES[:-1]:
-        docs = steps.write(stage(spark, docs, sf_dir))
+        with temporary(spark):
+            docs = steps.write(stage(spark, docs, sf_dir))
         if before is not None:
             steps.drop(before)
         before = docs
