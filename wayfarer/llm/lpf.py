@@ -21,7 +21,9 @@ from .common import POWERS, Steps, mix, table_of_bytes
 
 WINDOW = 50
 GRAM = 20
-SEGMENT = 1 << 18
+SEGMENT = 1 << 17
+#: A block has a window for each byte, so it is half as large as where words are counted.
+BLOCK_BYTES = B.BLOCK_BYTES // 2
 LETTERS = table_of_bytes(41)
 
 
@@ -100,8 +102,16 @@ def names_of(window: int):
 
     def name(block: B.Block, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Two columns of 64 bits that name the windows at these positions: sums of finalised words, each under keys of its own."""
-        words = words_at(block.text + b"\0" * 8, at, window)
-        return tuple(mix(sum(mix(w ^ k) * m for w, k, m in zip(words, *lane, strict=True))) for lane in keys)
+        text = block.text + b"\0" * 8
+        out = np.empty((2, len(at)), np.uint64)
+        for k in range(0, len(at), SEGMENT):  # some at a time, for their words take much room
+            words = words_at(text, at[k : k + SEGMENT], window)
+            for lane, (first, second) in zip(out, keys, strict=True):
+                total = np.zeros(len(words[0]), np.uint64)
+                for w, x, m in zip(words, first, second, strict=True):
+                    total += mix(w ^ x) * m
+                lane[k : k + SEGMENT] = mix(total)
+        return out[0], out[1]
 
     return name
 
@@ -112,17 +122,24 @@ def factors(contexts: list[bytes], ids: np.ndarray, count: np.ndarray, window: i
     if not len(out):
         return out
     lengths = np.array([len(c) for c in contexts])
-    start = np.cumsum(lengths) - lengths
+    start, first = np.cumsum(lengths) - lengths, np.cumsum(count) - count
+    text = b"".join(contexts)
     at = W.spread(start, count)
-    text = np.frombuffer(b"".join(contexts), np.uint8)
-    total, down = prefix_sums(text), POWERS.get(len(text))[1]
-    key = (total[at + window] - total[at]) * down[at]
+    key = np.empty(len(at), np.uint64)
+    cuts = np.searchsorted(start, np.arange(0, len(text), SEGMENT)).tolist()  # some contexts at a time, for the sums take 8 bytes a letter
+    for a, b in zip(cuts, [*cuts[1:], len(contexts)], strict=True):
+        if a < b:
+            part = np.frombuffer(text, np.uint8)[start[a] : start[b - 1] + lengths[b - 1]]
+            total, down = prefix_sums(part), POWERS.get(len(part))[1]
+            own = at[first[a] : first[b - 1] + count[b - 1]] - start[a]
+            key[first[a] : first[b - 1] + count[b - 1]] = (total[own + window] - total[own]) * down[own]
     order = np.argsort(key)
     same = key[order][1:] == key[order][:-1]
     some = np.zeros(len(out), bool)
     some[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]])
     at = at[some]
-    out[some] = longest_previous(text.tobytes(), at, np.repeat(ids, count)[some], np.repeat(start + lengths, count)[some] - at, window)
+    del key, order, same
+    out[some] = longest_previous(text, at, np.repeat(ids, count)[some], np.repeat(start + lengths, count)[some] - at, window)
     return out
 
 
@@ -167,7 +184,7 @@ def longest_previous(text: bytes, at: np.ndarray, position: np.ndarray, cap: np.
     return out
 
 
-def remove_earlier(df: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, gram: int = GRAM, block_bytes: int = B.BLOCK_BYTES, hot: int = W.HOT) -> DataFrame:
+def remove_earlier(df: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, hot: int = W.HOT) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, kept (bytes), spans (of removed bytes, maximal, ends exclusive).
 
     Every byte covered by a string of `window` bytes that also starts in a document of smaller id goes; the first document keeps it.

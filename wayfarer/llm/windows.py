@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import blocks as B
 from .common import Steps
 
-BUCKET_BYTES = 1 << 20
+BUCKET_BYTES = 1 << 21
 #: An anchor with more contexts than these has its windows named one by one.
 HOT = 64
 CONTEXTS, NAMES, OWN = 0, 1, 2
@@ -254,11 +254,11 @@ class Exchange:
             whole = pa.table({"block": table["block"], "kind": table["kind"], "bucket": table["bucket"], "said": pa.array(said, pa.binary())})
             return whole.filter(pa.array([len(s) > 0 for s in said]))
 
-        blocks = packed.repartition(parts, "block")
-        sent = blocks.join(counts, "block", "left").mapInArrow(send, "bucket long, block long, kind int, data binary, lengths binary, ids binary")
+        blocks = packed.repartition(parts, "block")  # the answers of a partition's blocks are hashed, its texts neither sorted nor copied
+        sent = blocks.join(counts.hint("shuffle_hash"), "block", "left").mapInArrow(send, "bucket long, block long, kind int, data binary, lengths binary, ids binary")
         decided = sent.repartition(parts, "bucket").groupBy("bucket").applyInArrow(answer, "block long, kind int, bucket long, said binary")
         said = steps.write(decided.groupBy("block").agg(F.collect_list(F.struct("kind", "bucket", "said")).alias("said")))
-        return (blocks if self.hot is None else blocks.join(counts, "block", "left")).join(said, "block", "left")
+        return (blocks if self.hot is None else blocks.join(counts.hint("shuffle_hash"), "block", "left")).join(said.hint("shuffle_hash"), "block", "left")
 
     def removed(self, row: dict) -> tuple[B.Block, np.ndarray]:
         """A block of run()'s result and its windows that go."""
