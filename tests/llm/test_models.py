@@ -1,6 +1,7 @@
 """Language mixtures and toxicity: accuracy on documents set aside, and defined results in the odd cases."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -46,6 +47,58 @@ def test_languages(spark):
     assert model.predict(texts) == [model.predict([t])[0] for t in texts]  # whatever stands beside it
 
 
+def test_rare_languages_are_learned(spark):
+    rng = random.Random(3)
+    rows = [(i, prose(rng, "en", 20), "en") for i in range(900)] + [(2000 + i, prose(rng, "fr", 20), "fr") for i in range(6)] + [(3000 + i, prose(rng, "de", 20), "de") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df, training_docs=100)
+    assert model.langs == ["de", "en", "fr"]
+    got = langid.identify(df.select("doc_id", "text", F.col("lang").alias("truth")), model).collect()
+    assert np.mean([r.lang_pred == r.truth for r in got]) > 0.98
+
+
+def mixture_by_hand(model, text, rounds=langid.ROUNDS):
+    """A text's proportions over all learned languages by plain expectation-maximisation, word by word."""
+    codes, words, _ = langid.grams([text])
+    cuts = list(zip(words, [*words[1:], len(codes)], strict=True))
+    sums = np.array([[sum(float(row[c]) for c in codes[a:b]) for row in model.logs] for a, b in cuts])
+    like = np.exp(sums - sums.max(1, keepdims=True))
+    share = np.full(len(model.langs), 1 / len(model.langs))
+    for _ in range(rounds):
+        r = like * share
+        new = (r / r.sum(1, keepdims=True)).mean(0)
+        if np.abs(new - share).max() <= langid.TOLERANCE:
+            share = new
+            break
+        share = new
+    return sums, like, share
+
+
+def test_sets_are_the_penalised_best(spark):
+    """Each document's languages and proportions against every nested set, by brute force."""
+    model = langid.train(spark.createDataFrame([(i, t, x) for i, t, x, _ in corpus(5, 300)], "doc_id long, text string, lang string"))
+    rng = random.Random(7)
+    for _ in range(30):
+        text = " ".join(prose(rng, x, rng.randint(1, 40)) for x in rng.sample(sorted(SYLLABLES), rng.randint(1, 3)))
+        sums, like, share = mixture_by_hand(model, text)
+        order = np.argsort(-share, kind="stable")
+        best, chosen = sums.sum(0).max(), [int(sums.sum(0).argmax())]
+        for k in range(2, len(share) + 1):
+            some = order[:k]
+            p = np.full(k, 1 / k)
+            for _ in range(langid.ROUNDS):
+                r = like[:, some] * p
+                new = (r / r.sum(1, keepdims=True)).mean(0)
+                moved, p = np.abs(new - p).max(), new
+                if moved <= langid.TOLERANCE:
+                    break
+            level = np.log((like[:, some] * p).sum(1)).sum() + sums.max(1).sum() - (k - 1) * (langid.PENALTY + 0.5 * np.log(len(sums)))
+            if level <= best:
+                break
+            best, chosen = level, some[np.argsort(-p, kind="stable")].tolist()
+        assert sorted(model.predict([text])[0][0]) == sorted(chosen)
+
+
 def test_odd_texts(spark):
     rows = [(1, None, "en"), (2, "", "en"), (3, "12 34 -", "fr"), (4, "the ing er " * 20, "en"), (5, "é", None), (None, "eau que oi", "fr"), (4, "the ing er " * 20, "en"), (6, "语言", "fr"), (7, "the " * 50000, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("SCORE", F.lit(1))
@@ -57,20 +110,76 @@ def test_odd_texts(spark):
     assert {(r.lang_pred, r.score) for r in langid.identify(df, None).collect()} == {("und", 0.0)}
 
 
+def as_words(*texts):
+    return [toxicity.cut(*toxicity.words_of([t])[:2])[0] for t in texts]
+
+
+def features(word):
+    """A word's subsequences by a plain loop."""
+    out = {}
+    for at in range(len(word)):
+        for offsets in toxicity.OFFSETS:
+            if at + offsets[-1] < len(word):
+                code = tuple(word[at + o] for o in (0, *offsets))
+                out[code] = out.get(code, 0) + toxicity.DECAY ** (offsets[-1] + 1)
+    return out
+
+
 def test_subsequence_kernel_by_hand():
-    a, b = toxicity.sparse(["abcd", "abxcd"])
-    norm = lambda w: toxicity.scale_of(np.array([0]), len(w) + 1)[0]
+    a, b = as_words("abcd", "abxcd")
     # subsequences of ^abcd: four or five letters wide; ^abxcd has each of them with its gap
     spans = {"^abc": (4, 5), "^abd": (5, 6), "^acd": (5, 6), "^bcd": (5, 6), "abcd": (4, 5)}
-    want = sum(toxicity.DECAY ** (x + y) for x, y in spans.values()) / norm("abcd") / norm("abxcd")
-    assert toxicity.kernel([a], [b])[0, 0] == pytest.approx(want)
-    assert toxicity.kernel([a], [a])[0, 0] == pytest.approx(1)
+    norm = lambda w: sum(x * x for x in features(w).values()) ** 0.5
+    want = sum(toxicity.DECAY ** (x + y) for x, y in spans.values()) / norm(a) / norm(b)
+    marks = toxicity.Landmarks([b, a])
+    assert marks.kernel([a])[0] == pytest.approx([want, 1])
+
+
+def test_kernel_and_norms_with_repeats():
+    words = as_words("letter", "abababab", "aaaaaaaa", "mississippi", "xy", "a", "tetter", "ünïcode", "слово")
+    vectors = [features(w) for w in words]
+    norm = [max(sum(x * x for x in v.values()), 1e-12) ** 0.5 for v in vectors]
+    assert toxicity.norms(*toxicity.joined(words)).tolist() == pytest.approx(norm) == toxicity.norms(*toxicity.joined(words), step=7).tolist()
+    want = [[sum(x * v.get(c, 0) for c, x in u.items()) / m / n for v, n in zip(vectors, norm, strict=True)] for u, m in zip(vectors, norm, strict=True)]
+    assert np.allclose(toxicity.Landmarks(words).kernel(words), want)
+    weights = np.arange(1.0, len(words) + 1)
+    marks = toxicity.Landmarks(words)
+    model = toxicity.Model(marks.codes, marks.features @ weights, 0.5, np.zeros(4))
+    assert np.allclose(model.word_margins(*toxicity.joined([*words, *words])), np.tile(np.array(want) @ weights + 0.5, 2), atol=1e-4)
 
 
 def test_words_across_marks():
     letters, first, docs = toxicity.words_of(["I.d-I x y z Ab", "", " 12 ", "q"])
     text = "".join("^" if c == toxicity.BEGIN else chr(96 + c) for c in letters)
     assert text == "^idi^xyz^ab^q" and docs.tolist() == [0, 3, 3, 3] and len(first) == 4
+    assert as_words("idiO", "ｉｄｉｏ", "\U0001d422\U0001d41d\U0001d422\U0001d428") == as_words("idio") * 3
+    assert len(set(as_words("日本語", "世界人", "слово", "слава"))) == 4
+    assert as_words(toxicity.as_text(as_words("слово", "日本"))) == as_words("слово")
+    assert [len(s) for s in toxicity.sentences("One two. Three!\nfour 5 six? .. ")] == [2, 1, 2]
+
+
+def test_a_machine_of_all_clean_words():
+    """No harmless word is over the margin, though few are taken in at once."""
+    rng = random.Random(1)
+    made = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    good, harmless = as_words(*(f"idio{made('tsk', 3)}" for _ in range(30))), sorted(set(as_words(*(made("abcdefghio", rng.randint(3, 8)) for _ in range(4000)))))
+    marks = toxicity.Landmarks([*good[:10], *harmless[:40]])
+    values, vectors = np.linalg.eigh(marks.features.T @ marks.features)
+    root = vectors * np.where(values > 1e-6, 1 / np.sqrt(np.maximum(values, 1e-6)), 0) @ vectors.T
+    w, bias = toxicity.separating(good, harmless, Counter(harmless), marks, root)
+    model = toxicity.Model(marks.codes, marks.features @ w, bias, np.zeros(4))
+    x = np.vstack([marks.kernel(good), marks.kernel(harmless)]) @ root
+    w2, bias2 = toxicity.separate(x, np.array([1] * len(good) + [-1] * len(harmless)), np.ones(len(x)))
+    whole = toxicity.Model(marks.codes, marks.features @ (root @ w2), bias2, np.zeros(4))
+    assert (model.word_margins(*toxicity.joined(good)) > 0).all() and (model.word_margins(*toxicity.joined(harmless)) < 0).mean() > 0.99
+    assert np.mean((model.word_margins(*toxicity.joined(harmless)) > 0) == (whole.word_margins(*toxicity.joined(harmless)) > 0)) > 0.99
+
+
+def test_near_copies_count_once():
+    rng = random.Random(2)
+    texts = [prose(rng, "en", 60) for _ in range(20)]
+    words = [toxicity.cut(*toxicity.words_of([t])[:2]) for t in [*texts, *(t + " and more" for t in texts), "", "one"]]
+    assert toxicity.apart(words) == [*range(20), 40, 41]
 
 
 def test_toxicity(spark):
@@ -81,7 +190,7 @@ def test_toxicity(spark):
     got = toxicity.score(df.select("doc_id", "text"), model).join(df.select("doc_id", "toxic"), "doc_id").where(toxicity.held_out()).collect()
     assert len(got) > 150 and np.mean([r.predicted == r.toxic for r in got]) > 0.97
     clean = prose(random.Random(8), "en", 30)
-    scores = dict(zip(("clean", "plain", "dotted", "spaced", "inserted"), model.scores([clean, *(f"{clean} {w} {clean}" for w in ("idiot", "i.d*i-o.t", "i d i o t", "idxiot"))]), strict=True))
+    scores = dict(zip(("clean", "plain", "dotted", "spaced", "inserted", "mathematical"), model.scores([clean, *(f"{clean} {w} {clean}" for w in ("idiot", "i.d*i-o.t", "i d i o t", "idxiot", "\U0001d422\U0001d41d\U0001d422\U0001d428\U0001d42d"))]), strict=True))
     assert scores["clean"] < 0.5 and all(s > 0.5 for k, s in scores.items() if k != "clean"), scores
 
 

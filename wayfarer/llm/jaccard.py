@@ -179,7 +179,7 @@ def jaccard_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
             yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(block.ids, mask=block.ids == B.NULL_ID), pa.array(size, pa.int64()), *[pa.array(s.view(np.int64)) for s in sums], pa.array([keys[8 * a : 8 * b] if x else None for a, b, x in cuts], pa.binary()), pa.array([marks[a:b] if x else None for a, b, x in cuts], pa.binary())], ["row", "id", "n", "h1", "h2", "tokens", "met"])
 
     blocks = packed.repartition(B.partitions(packed, total), "block")
-    sets = steps.write(blocks.join(counts, "block", "left").mapInArrow(read, "row long, id long, n long, h1 long, h2 long, tokens binary, met binary"))
+    sets = steps.write(blocks.join(counts.hint("shuffle_hash"), "block", "left").mapInArrow(read, "row long, id long, n long, h1 long, h2 long, tokens binary, met binary"))
     steps.drop(packed, counts)
     some = sets.where("tokens is not null")
     reps = steps.write(some.groupBy("h1", "h2", "n").agg(F.min("row").alias("rep"), F.min("id").alias("least_id"), F.first("tokens").alias("tokens"), F.first("met").alias("met")))

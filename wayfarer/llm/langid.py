@@ -23,7 +23,7 @@ ROUNDS = 15
 TOLERANCE = 1e-3
 #: Languages of a document at most are as many as are learned; each beyond the first must add this much log-likelihood, besides half the log of the number of words.
 PENALTY = 6.0
-#: The model is fitted on at most about so many labelled documents, by a hash of id and text.
+#: The model is fitted on at most about so many labelled documents, as many of each language as there are or an equal share, by a hash of id and text.
 TRAINING_DOCS = 20_000
 UNDETERMINED = "und"
 #: What isn't a letter of a lower-cased text separates words: ASCII but a to z.
@@ -125,12 +125,21 @@ class Model:
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", training_docs: int = TRAINING_DOCS) -> Model | None:
-    """The model of all rows with a text and a language, or of a sample of about training_docs whole texts of them. None without such rows."""
+    """The model of all rows with a text and a language, or of a sample of about training_docs whole texts of them. None without such rows.
+
+    The sample is drawn for each language, so that a rare one is learned in a large corpus as in a small one.
+    """
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(doc_id).alias("id")).where("text is not null and lang is not null")
-    n = rows.count()
-    if n > training_docs:
-        rows = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < int(training_docs / n * (1 << 30)))
-    parts = max(1, min(training_docs, n) // 500)
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a number a language
+    quota, left, open_ = 0, training_docs, sorted(sizes.values())
+    while open_ and open_[0] <= left // len(open_):  # small languages whole, the others share what is left
+        left -= open_.pop(0)
+    quota = max(1, left // len(open_)) if open_ else 0
+    if open_:
+        share = {x: 1.0 if n <= quota else quota / n for x, n in sizes.items()}
+        limits = rows.sparkSession.createDataFrame([(x, int(p * (1 << 30))) for x, p in share.items()], "lang string, low long")
+        rows = rows.join(F.broadcast(limits), "lang").where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < F.col("low")).drop("low")
+    parts = max(1, min(training_docs, sum(sizes.values())) // 500)
 
     def count(batches):
         found: dict[str, np.ndarray] = {}
