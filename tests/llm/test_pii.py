@@ -1,6 +1,7 @@
 """Base spans against the patterns as they stand, the trees on unseen sentences, and the plan's edge cases."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -47,3 +48,26 @@ def test_plan(spark):
     assert got[1, rows[0][1]].redacted == "mail me: [EMAIL]" and got[2, None].redacted is None and got[None, ""].pii_spans == []
     assert {s.kind for s in got[3, rows[4][1]].pii_spans} == {"phone", "email"} and got[4, rows[5][1]].base_spans[0].start == 60000
     assert out.count() == 6 and pii.find(df.limit(0)).count() == 0
+
+
+def test_numbers_beside_others():
+    """What is proposed lets the whole number be chosen, whatever stands beside it."""
+    for text, kind, span in (
+        ("card 2 4111.1111.1111.1111", "card", "4111.1111.1111.1111"),
+        ("4111.1111.1111.1111 12 may", "card", "4111.1111.1111.1111"),
+        ("4111 1111 1111 1111 (212) 555-0175", "phone", "(212) 555-0175"),
+        ("212-555-0175 646-555-0199", "phone", "212-555-0175"),
+        ("212-555-0175 646-555-0199", "phone", "646-555-0199"),
+    ):
+        at = text.index(span)
+        assert (kind, at, at + len(span)) in pii.proposals(text, pii.base_spans(text)), (text, span)
+    found = {t: [t[a:b] for _, a, b in pii.detector().select([t], [pii.base_spans(t)])[0]] for t in ("please call 212-555-0175 or 646-555-0199", "charged to card 2 4111.1111.1111.1111", "phone 212-555-0175 646-555-0199")}
+    assert list(found.values()) == [["212-555-0175", "646-555-0199"], ["4111.1111.1111.1111"], ["212-555-0175", "646-555-0199"]], found
+
+
+def test_addresses_over_lines_and_far_apart():
+    text = "write to jan at a-long-name-of-a-host-that-goes-on-and-on-and-on-for-a-time dot org"
+    assert ("email", 9, len(text)) in pii.proposals(text, [])
+    many = "; ".join(f"call (212) 555-{k:04d}" for k in range(3000))
+    start = time.perf_counter()
+    assert len(pii.detector().select([many], [[]])[0]) > 2500 and time.perf_counter() - start < 60

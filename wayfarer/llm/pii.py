@@ -12,7 +12,9 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +39,17 @@ DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 NEEDS = {"ip": re.compile(r"[0-9]\.[0-9]"), "card": re.compile(r"[0-9][\x20-]?[0-9]"), "phone": re.compile(r"\+[0-9]")}
 AT = r"\s?(?:@|\(at\)|\[at\]|\{at\}|\sat\s)\s?"
 DOT = r"\s?(?:\.|\(dot\)|\[dot\]|\{dot\}|\[\.\]|\sdot\s)\s?"
-#: Generators: a test that is quick to fail, and a pattern.
+#: Generators of addresses: a test that is quick to fail, and a pattern that is tried from each place on. Lengths of local parts and labels are those of the standard.
 CANDIDATES = {
-    "email": (re.compile(r"@|(?i:[({\[]at[)}\]]|\sat\s.{1,60}\sdot\s)"), re.compile(rf"(?i)[a-z0-9._%+-]{{1,64}}{AT}[a-z0-9-]{{1,63}}(?:{DOT}[a-z0-9-]{{2,24}}){{1,4}}")),
-    "ip": (re.compile(r"[0-9]\s?(?:\[\.\]|\(\.\)|\.|\[dot\]|\(dot\)|,)\s?[0-9]"), re.compile(r"(?<![0-9])[0-9]{1,3}(?:\s?(?:\[\.\]|\(\.\)|\.|\[dot\]|\(dot\)|,)\s?[0-9]{1,3}){3}(?![0-9])")),
-    "card": (re.compile(r"[0-9][\s./_·-]{0,3}[0-9]"), re.compile(r"(?<![0-9])[0-9](?:[\s./_·-]{0,3}[0-9]){11,18}(?![0-9])")),
-    "phone": (re.compile(r"[0-9]{2}[)\s./-]"), re.compile(r"(?<![0-9A-Za-z])(?:(?:\+|00|\()\s?)?[0-9](?:[\s()./-]{0,2}[0-9]){8,14}(?![0-9])")),
+    "email": (re.compile(rf"(?i)@|[({{\[]at[)}}\]]|\sat\s\s?[a-z0-9-]+{DOT}"), re.compile(rf"(?i)(?<![a-z0-9._%+-])(?=([a-z0-9._%+-]{{1,64}}{AT}[a-z0-9-]{{1,63}}(?:{DOT}[a-z0-9-]{{2,63}})+))")),
+    "ip": (re.compile(r"[0-9]\s?(?:\[\.\]|\(\.\)|\.|\[dot\]|\(dot\)|,)\s?[0-9]"), re.compile(r"(?<![0-9])(?=([0-9]{1,3}(?:\s?(?:\[\.\]|\(\.\)|\.|\[dot\]|\(dot\)|,)\s?[0-9]{1,3}){3})(?![0-9]))")),
 }
+#: What may stand between the groups of digits of a number, and the digits that it has.
+GAPS = {"card": re.compile(r"[\s./_·-]{0,3}"), "phone": re.compile(r"[\s()./-]{0,3}")}
+DIGITS = {"card": (12, 19), "phone": (9, 15)}
+GROUP = re.compile("[0-9]+")
+#: A phone number has so many groups of digits at most.
+PHONE_GROUPS = 6
 DIGIT = re.compile("[0-9]")
 #: Words that speak for a kind or against all, in the text before a span.
 CUES = {
@@ -54,6 +60,8 @@ CUES = {
     "not": ("version", "order", "isbn", "section", "invoice", "build", "release", "total", "serial", "ticket", "date", "score", "id", "page"),
 }
 WORD = re.compile(r"[a-z]+")
+#: More digits before or after a span, as if it were a part of something longer.
+TAIL, HEAD = re.compile(r"[0-9][\s()./_·-]{0,3}$"), re.compile(r"[\s()./_·-]{0,3}[0-9]")
 ROUNDS, DEPTH, RATE, BINS = 60, 3, 0.2, 32
 SENTENCES = 6000
 PRECISION = 0.98
@@ -96,15 +104,48 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return emails(text) + [(k, m.start(), m.end()) for k in KINDS[1:] if NEEDS[k].search(text) for m in LINEAR[k].finditer(text) if is_valid(k, m[0])]
 
 
+def numbers(text: str, free) -> list[tuple[str, int, int]]:
+    """Cards and phones: from each group of digits to each later one with which the number has the right size. A card passes Luhn's test; a phone takes the bracket, plus sign or both before it."""
+    out = []
+    groups = [(m.start(), m.end()) for m in GROUP.finditer(text)]
+    for i, (start, _) in enumerate(groups):
+        n, fits = 0, {"card": True, "phone": start == 0 or not text[start - 1].isalpha()}
+        for j in range(i, len(groups)):
+            a, end = groups[j]
+            n += end - a
+            if j > i:
+                gap = text[groups[j - 1][1] : a]
+                fits = {k: ok and len(gap) <= 3 and GAPS[k].fullmatch(gap) is not None for k, ok in fits.items()}
+            if n > DIGITS["card"][1] or not any(fits.values()):
+                break
+            if fits["card"] and n >= DIGITS["card"][0] and luhn("".join(text[x:y] for x, y in groups[i : j + 1])) and free(start, end):
+                out.append(("card", start, end))
+            if fits["phone"] and DIGITS["phone"][0] <= n <= DIGITS["phone"][1] and j - i < PHONE_GROUPS:
+                first = start
+                while first > 0 and start - first < 2 and text[first - 1] in "+(":
+                    first -= 1
+                if first < start and text[first] == "(" and ")" not in text[first:end]:
+                    first = start
+                if free(first, end):
+                    out.append(("phone", first, end))
+    return out
+
+
 def proposals(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Candidates of all kinds that share no character with a base span."""
-    taken = [(a, b) for _, a, b in base]
+    """Candidates of all kinds, which may overlap, but share no character with a base span."""
+    taken = sorted((a, b) for _, a, b in base)
+    starts, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
+
+    def free(start: int, end: int) -> bool:
+        k = bisect_left(starts, end)  # spans that begin before the end
+        return not k or reach[k - 1] <= start
+
     digits = DIGIT.search(text) is not None
     out = []
     for kind, (test, pattern) in CANDIDATES.items():
         if (kind == "email" or digits) and test.search(text):
-            out += [(kind, m.start(), m.end()) for m in pattern.finditer(text) if all(m.end() <= a or m.start() >= b for a, b in taken)]
-    return out
+            out += [(kind, m.start(1), m.end(1)) for m in pattern.finditer(text) if free(m.start(1), m.end(1))]
+    return out + (numbers(text, free) if digits else [])
 
 
 def features(text: str, kind: str, start: int, end: int) -> list[float]:
@@ -124,7 +165,7 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         float(span[:1] in "+("), float(span.startswith("00")), float("(" in span), float("[" in span or "{" in span), float("@" in span),
         float(bool(re.search(r"(?i)\bat\b", span))), float(bool(re.search(r"(?i)\bdot\b|\[\.\]", span))), float(any(c.isspace() for c in span)), float("," in span), float("/" in span), float("." in span),
         float(bool(re.search(r"(?i)(com|org|net|edu|io|de|fr|es)$", span))),
-        float(before[-1:].isalnum()), float(after[:1].isalnum()), float(before[-1:] in "#$€v="), float(after[:1] in "%€$"),
+        float(before[-1:].isalnum()), float(after[:1].isalnum()), float(bool(TAIL.search(before))), float(bool(HEAD.match(after))), float(before[-1:] in "#$€v="), float(after[:1] in "%€$"),
         *[float(any(w.startswith(c) for w in words for c in CUES[k])) for k in (*KINDS, "not")],
         float(any(w.startswith(c) for w in words for c in CUES[kind])),
     ]
@@ -221,8 +262,19 @@ def made_sentences(n: int, seed: int) -> list[tuple[str, list[tuple[str, int, in
             cue, span = unlike()
             labels = []
         lead = " ".join(x for x in (words(8), cue, rng.choice(("", "is", "me", ":", "on"))) if x)
-        text = f"{lead} {span}{rng.choice(('', '.', ',', ' ' + words(6)))}"
-        out.append((text, [(k, len(lead) + 1, len(lead) + 1 + len(span)) for k in labels]))
+        parts = [lead, span]
+        if labels and kind in ("card", "phone") and rng.random() < 0.25:  # another number beside it
+            parts.insert(rng.choice((1, 2)), digits(rng.randint(1, 4)))
+        elif labels == ["phone"] and rng.random() < 0.15:
+            parts.append(phone())
+            labels.append("phone")
+        spans, text = [], ""
+        for part in parts:
+            text += " " * bool(text)
+            if labels and part is not lead and len(part) > 4:
+                spans.append((labels[len(spans)], len(text), len(text) + len(part)))
+            text += part
+        out.append((text + rng.choice(("", ".", ",", " " + words(6))), spans))
     return out
 
 
@@ -261,9 +313,12 @@ class Detector:
         if not found:
             return out
         p = self.probability(self.trees.score(np.array([features(texts[i], *c) for i, c in found], float)))
-        for q, (i, (k, a, b)) in sorted(zip(p.tolist(), found, strict=True), key=lambda z: (-z[0], z[1])):
-            if q >= self.least[k] and all(b <= c or a >= d for _, c, d in out[i]):
+        ends: list[list[int]] = [[] for _ in texts]  # starts and ends of what counts, in order: both ends of a free span lie in one gap
+        for _, (i, (k, a, b)) in sorted(((q, c) for q, c in zip(p.tolist(), found, strict=True) if q >= self.least[c[1][0]]), key=lambda z: (-z[0], z[1][0], z[1][1][1] - z[1][1][2], z[1][1])):
+            at = bisect_right(ends[i], a)
+            if at % 2 == 0 and (at == len(ends[i]) or ends[i][at] >= b):
                 out[i].append((k, a, b))
+                ends[i][at:at] = [a, b]
         return out
 
 
