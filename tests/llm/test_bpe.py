@@ -1,5 +1,6 @@
 """Encoding against the tokenizers library, whole and by tree, and the round trip."""
 
+import json
 import random
 
 import numpy as np
@@ -60,3 +61,21 @@ def test_plan(spark, library):
         for r in ids.collect():
             assert (np.frombuffer(r.ids, "<u4").tolist() if packed else r.ids) == library(r.text or "")
     assert bpe.encode(df.limit(0), PATH).count() == 0
+
+
+def test_files_that_ask_for_more_are_refused(tmp_path):
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    for key, value in (("normalizer", {"type": "NFC"}), ("pre_tokenizer", {**spec["pre_tokenizer"], "add_prefix_space": True}), ("added_tokens", [{**spec["added_tokens"][0], "lstrip": True}]), ("model", {**spec["model"], "byte_fallback": True}), ("decoder", None)):
+        (tmp_path / "v.json").write_text(json.dumps({**spec, key: value}))
+        with pytest.raises(ValueError, match="asks for"):
+            bpe.Codec(str(tmp_path / "v.json"))
+
+
+def test_long_texts_at_the_default(spark, library):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("theandofing") for _ in range(100_000)), "q" * 66_000, " ".join(rng.choice(["the", "of", "日本", "x1"]) for _ in range(40_000)), "z" * (bpe.SPLIT_CHARS + 1)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids = bpe.encode(df, PATH)
+    got, back = {r.doc_id: r.ids for r in ids.collect()}, {r.doc_id: r.decoded for r in bpe.decode(ids, PATH).collect()}
+    assert all(got[i] == library(t) and back[i] == t for i, t in enumerate(texts))

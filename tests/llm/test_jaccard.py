@@ -137,3 +137,21 @@ def test_one_long_text(spark):
     rows = [(9, " ".join(words)), (5, " ".join(near)), (7, " ".join(words[:100_000]))]
     got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {9: 5, 5: 5, 7: 7}
+
+
+def test_a_large_group_of_near_copies(spark):
+    """One text with many small changes, sizes that drift apart, and strangers that share its words; small groups, so that every step takes part."""
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for i in range(160):
+        w = base[:]
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(30)}"
+        w = w + [f"tail{i % 4}_{k}" for k in range(rng.randint(0, 45))] if i % 2 else w[: rng.randint(20, 60)]
+        rows.append((i * 7 % 1000, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    for group in (5, 40):
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df, group=group, block_bytes=4000).collect()} == want
+    assert len({c for _, c in want.values()}) > 3

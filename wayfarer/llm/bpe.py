@@ -45,6 +45,20 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def check(spec: dict) -> None:
+    """Refuses what a file may ask for and isn't done here: a normalizer, other ways of splitting, flags of added tokens, other models."""
+    split, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    wrong = [
+        spec.get("normalizer") and "a normalizer",
+        (split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True)) and "a pre-tokenizer other than plain ByteLevel",
+        (spec.get("decoder") or {}).get("type") != "ByteLevel" and "a decoder other than ByteLevel",
+        any(t.get(flag) for t in spec["added_tokens"] for flag in ("single_word", "lstrip", "rstrip", "normalized")) and "flags of added tokens",
+        (model.get("type", "BPE") != "BPE" or any(model.get(flag) for flag in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))) and "a model other than plain BPE",
+    ]
+    if any(wrong):
+        raise ValueError("this vocabulary file asks for " + ", ".join(w for w in wrong if w))
+
+
 class Codec:
     """A vocabulary, read from a tokenizers JSON file."""
 
@@ -52,6 +66,7 @@ class Codec:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters, model = byte_letters(), spec["model"]
+        check(spec)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         pieces = {bytes(letters[c] for c in token): i for token, i in model["vocab"].items() if token not in self.special}
         merges = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])

@@ -6,9 +6,10 @@
    others, equal sets are represented by one, and the shingles in those prefixes tie candidates into groups.
 3. In each group the ordered sets form a trie. A set walks it once, so that overlaps with a common beginning are
    counted once, and leaves a subtree as soon as the shingles left on either side can't reach the overlap needed.
-   A group beyond GROUP sets is dealt by size into bands, of which only neighbours can match, and each band into
-   parts; a pair of parts is a task of its own. Links that join what is joined already are skipped, so that a
-   task yields at most one link a set, and never all its pairs.
+   Links that join what is joined already are skipped, so that a task yields at most one link a set, and never
+   all its pairs. A group beyond GROUP sets is dealt by size into bands, of which only neighbours can match, and
+   each band into parts, which share some pivots. That joins most near copies of one text; what stays outside of
+   a group's largest component then, as a rule little, is compared with all the bands around.
 
 Shingles are known by 64 bits, made of their words' 128. Equal sets are told by two sums of 64 bits.
 """
@@ -31,6 +32,7 @@ from .components import components
 WORDS = 5
 PERCENT = 75
 GROUP = 256
+PIVOTS = 8
 PLACES = table_of_bytes(37)
 
 
@@ -108,9 +110,12 @@ def matches(root: Node, tokens: tuple[int, ...], size: int, percent: int, skip):
         stack += [(c, overlap) for c in node.children]
 
 
-def forest(rows: list[tuple[int, int, int, tuple[int, ...]]], across: bool, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links that join what the matches among (part, id, size, tokens) join; across: only those between two parts."""
+def forest(rows: list[tuple[int, int, int, tuple[int, ...]]], across: bool, percent: int = PERCENT, tops: dict[int, int] | None = None) -> list[tuple[int, int]]:
+    """Links that join what the matches among (part, id, size, tokens) join; across: only those between two parts. tops: what each id is joined to already."""
     up: dict[int, int] = {r[1]: r[1] for r in rows}
+    for i, top in (tops or {}).items():
+        up.setdefault(top, top)
+        up[i] = top
 
     def find(x: int) -> int:
         while up[x] != x:
@@ -143,6 +148,56 @@ def ranked(keys: list[bytes], met: list[bytes]) -> list[tuple[int, ...]]:
     return [tuple(flat[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
 
 
+def linked(dealt: DataFrame, keys: list[str], across: bool, percent: int) -> DataFrame:
+    """Links (a, b) within each task, a group by `keys` of (side, rep, top, n, tokens, met); across: between the two sides alone. Sets of one `top` are joined already."""
+
+    def run(key, table):
+        del key
+        sets = ranked(table["tokens"].to_pylist(), table["met"].to_pylist())
+        columns = [table[c].to_pylist() for c in ("side", "rep", "n")]
+        found = forest(sorted(zip(*columns, sets, strict=True)), across, percent, dict(zip(columns[1], table["top"].to_pylist(), strict=True)))
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return dealt.select(*keys, "side", "rep", "top", "n", "tokens", "met").groupBy(*keys).applyInArrow(run, "a long, b long")
+
+
+def around_pivots(big: DataFrame, group: int, percent: int) -> DataFrame:
+    """Links within parts of large groups: a part is some `group` sets of one band, with the band's and the next lower band's pivots, which all parts have in common.
+
+    Near copies of one text are mostly joined by that, so that few pairs are left to compare.
+    """
+    order = Window.partitionBy("label", "band").orderBy(F.xxhash64("rep"), "rep")
+    pivots = big.withColumn("r", F.row_number().over(order)).where(F.col("r") <= PIVOTS)
+    cells = big.groupBy("label", "band").agg(F.ceil(F.count("*") / group).cast("int").alias("parts"))
+    own = salted(big, cells, ["label", "band"], "rep").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    also = pivots.withColumn("band", F.explode(F.array("band", F.col("band") + 1))).join(cells, ["label", "band"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    names = ["label", "band", "part", "rep", "n", "tokens", "met"]
+    every = own.select(*names).union(also.select(*names)).dropDuplicates(["label", "band", "part", "rep"])
+    return linked(every.withColumns({"side": F.lit(0), "top": F.col("rep")}), ["label", "band", "part"], False, percent)
+
+
+def across_components(big: DataFrame, tops: DataFrame, group: int, steps: Steps) -> DataFrame:
+    """What is left of large groups: each set outside of its group's largest component against all sets of the bands around, as tasks of two sides.
+
+    A group that is one component by now has nothing left.
+    """
+    whole = steps.write(big.join(tops, big["rep"] == tops["node"], "left").select(big["label"], "band", "rep", "n", "tokens", "met", F.coalesce(tops["label"], "rep").alias("top")))
+    sizes = whole.groupBy("label", "top").agg(F.count("*").alias("sets"))
+    largest = sizes.groupBy("label").agg(F.max_by("top", F.struct("sets", "top")).alias("largest"), F.count("*").alias("tops")).where("tops > 1").drop("tops")
+    rest = salted(whole, largest, ["label"], "rep")
+    others = rest.where("top <> largest")
+    count = lambda df, size, name: df.groupBy("label", "band").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+    parts, chunks = count(others, group, "parts"), count(rest, 4 * group, "chunks")
+    near = lambda cells, name: cells.withColumn("other", F.col("band")).withColumn("band", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1))).groupBy("label", "band").agg(F.collect_list(F.struct("other", name)).alias("around"))
+    keep = ["rep", "top", "n", "tokens", "met"]
+    one = salted(salted(others, parts, ["label", "band"], "rep"), near(chunks, "chunks"), ["label", "band"], "rep").withColumn("i", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    one = one.withColumn("to", F.explode("around")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("to.chunks") - 1)))
+    two = salted(salted(rest, chunks, ["label", "band"], "rep"), near(parts, "parts"), ["label", "band"], "rep").withColumn("j", F.pmod(F.xxhash64("rep", F.lit("chunk")), F.col("chunks")).cast("int"))
+    two = two.withColumn("to", F.explode("around")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("to.parts") - 1)))
+    left = one.select("label", F.col("band").alias("low"), "i", F.col("to.other").alias("high"), "j", F.lit(0).alias("side"), *keep)
+    return left.union(two.select("label", F.col("to.other").alias("low"), "i", F.col("band").alias("high"), "j", F.lit(1).alias("side"), *keep))
+
+
 def jaccard_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, percent: int = PERCENT, group: int = GROUP, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
     """One row per input row: doc_id, n_shingles (size of its set) and component_id, the smallest id that links reach.
 
@@ -196,32 +251,16 @@ def jaccard_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
     tied = salted(posts, least, ["token"], "rep").where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
     groups = steps.write(components(tied, steps))
     sizes = groups.groupBy("label").agg(F.count("*").alias("size"))
-    # sets of one size class match sets of the classes beside it at most
     grouped = salted(reps.join(groups, reps["rep"] == groups["node"]), sizes, ["label"], "rep")
     band = F.when(F.col("size") <= group, 0).otherwise(F.floor(F.log(F.col("n")) / F.lit(math.log(100 / percent) if percent < 100 else 1.0) + 1)).cast("int")
-    grouped = steps.write(grouped.select("label", band.alias("band"), "rep", "n", "tokens", "met"))
-    cells = grouped.groupBy("label", "band").agg(F.ceil(F.count("*") / group).cast("int").alias("parts"))
-    beside = Window.partitionBy("label").orderBy("band")
-    near = lambda f, d: F.when(f("band").over(beside) == F.col("band") + d, f("parts").over(beside)).otherwise(0)
-    cells = cells.select("label", "band", "parts", near(F.lag, -1).alias("below"), near(F.lead, 1).alias("above"))
-    dealt = salted(grouped, cells, ["label", "band"], "rep").withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
-    task = lambda low, i, high, j, side: F.struct(low.alias("low"), i.alias("i"), high.alias("high"), j.alias("j"), side.alias("side"))
-    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    b, p, none = F.col("band"), F.col("part"), F.expr("cast(array() as array<int>)")
-    tasks = F.concat(
-        F.transform(upto("parts"), lambda o: task(b, F.least(p, o), b, F.greatest(p, o), (p > o).cast("int"))),
-        F.transform(F.when(F.col("below") > 0, upto("below")).otherwise(none), lambda o: task(b - 1, o, b, p, F.lit(1))),
-        F.transform(F.when(F.col("above") > 0, upto("above")).otherwise(none), lambda o: task(b, p, b + 1, o, F.lit(0))),
-    )
-    dealt = dealt.select("label", F.explode(tasks).alias("task"), "rep", "n", "tokens", "met").select("label", "task.*", "rep", "n", "tokens", "met")
-
-    def join_group(key, table):
-        across = [k.as_py() for k in key[1:3]] != [k.as_py() for k in key[3:5]]
-        sets = ranked(table["tokens"].to_pylist(), table["met"].to_pylist())
-        found = forest(sorted(zip(*(table[c].to_pylist() for c in ("side", "rep", "n")), sets, strict=True)), across, percent)
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
-
-    links = dealt.groupBy("label", "low", "i", "high", "j").applyInArrow(join_group, "a long, b long")
+    grouped = steps.write(grouped.select("label", "size", band.alias("band"), "rep", "n", "tokens", "met"))
+    small = grouped.where(F.col("size") <= group).withColumns({"task": F.lit(0), "side": F.lit(0), "top": F.col("rep")})
+    links = linked(small, ["label", "task"], False, percent)
+    big = grouped.where(F.col("size") > group)
+    if big.limit(1).count():
+        links = steps.write(links.union(around_pivots(big, group, percent)))
+        tops = steps.write(components(links, steps))
+        links = links.union(linked(across_components(big, tops, group, steps), ["label", "low", "i", "high", "j"], True, percent))
     labels = components(links, steps)
     classes = reps.join(labels, reps["rep"] == labels["node"], "left").select("h1", "h2", "n", F.coalesce("label", "rep").alias("top"), "least_id")
     names = classes.groupBy("top").agg(F.min("least_id").alias("component"))
