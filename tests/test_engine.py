@@ -211,6 +211,24 @@ def test_thresholds_that_do_not_fit(spark, scene):
     assert part.postings.count() == index.postings.where("word_id not in (0, 5)").count() and part.word_model.where("not initialized").count() == 2
 
 
+def test_an_empty_index(spark, scene):
+    index, database, queries, _ = scene
+    nothing = I.empty(spark, WORDS)
+    assert nothing.word_model.where("not initialized").count() == WORDS and tuple(I.counters(nothing).first()) == (WORDS, 0, 0, 0, 0)
+    from wayfarer.operators import retrieve
+
+    assert retrieve.votes(queries, nothing).count() == 0 and I.empty(spark, 0).word_model.count() == 0
+    thresholds = index.word_model.select("word_id", "thresholds")
+    with pytest.raises(ValueError, match="thresholds of"):
+        I.set_thresholds(nothing, thresholds.where("word_id > 0"), WORDS)
+    ready = I.set_thresholds(nothing, thresholds, WORDS)
+    assert ready.word_model.where("initialized").count() == WORDS
+    grown = I.add(ready, database, WORDS)
+    assert grown.postings.select("posting_id", "code", "sigma_final").exceptAll(index.postings.select("posting_id", "code", "sigma_final")).count() == 0
+    got = I.counters(grown).first()
+    assert (got.words, got.postings, got.images) == (WORDS, 18 * 31, 18)
+
+
 def test_vocabulary_line_by_line_and_otherwise(spark, tmp_path):
     rng = np.random.default_rng(3)
     centers = rng.uniform(0, 300, (3000, 128)).round(2)
@@ -315,7 +333,7 @@ def test_similarities_recover_their_maps():
     assert np.allclose(verify.similarity_maps(one, two, True)[:, :, :2], r) and np.allclose(verify.similarity_maps(one, two, False)[0, :, :2], s * np.eye(2))
 
 
-CHEAP = ["root_sift_quantize", "canonical_ellipse", "hamming_thresholds_upper_median", "binarize_codes", "sigma_table", "vote_pairs", "retrieval_topk", "knn_words_exact", "place_assignment", "rank_inter_place_popularity", "dedup_consecutive_lines", "affine_hypotheses", "order_norms", "rank_inlier_count", "rank_effective", "best_hypothesis", "verify_lo", "one_to_one_matches", "all_rankings"]
+CHEAP = ["root_sift_quantize", "canonical_ellipse", "hamming_thresholds_upper_median", "binarize_codes", "sigma_table", "vote_pairs", "retrieval_topk", "knn_words_exact", "place_assignment", "rank_inter_place_popularity", "dedup_consecutive_lines", "affine_hypotheses", "order_norms", "index_counters", "rank_inlier_count", "rank_effective", "best_hypothesis", "verify_lo", "one_to_one_matches", "all_rankings"]
 
 
 @pytest.mark.parametrize("name", CHEAP)

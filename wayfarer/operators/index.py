@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
 from ..sources.store import Steps
 from . import density
 from .features import binarize, word_model
@@ -88,6 +89,29 @@ def build(features: DataFrame, thresholds: DataFrame, words: int, whole: bool =
     return finalize(posting_rows(checked(features, words), model), model)
 
 
+def empty(spark: SparkSession, words: int) -> Index:
+    """The index of a vocabulary of so many words before anything is known: no postings, and no word initialised. No words give empty tables."""
+    ids = spark.range(max(words, 0)).withColumnRenamed("id", "word_id")
+    zeros = F.array_repeat(F.lit(0.0).cast("float"), C.BITS)
+    model = ids.select("word_id", zeros.alias("thresholds"), F.lit(False).alias("initialized"), F.lit(0.0).alias("v"))
+    postings = spark.createDataFrame([], "word_id long, posting_id long, image_id int, x float, y float, a float, b float, c float, code long, sigma_final int")
+    return Index(postings, model, spark.createDataFrame([], "word_id long, sigmas array<tinyint>"), ids.withColumn("idf", F.lit(0.0)), spark.createDataFrame([], "image_id int, norm double"))
+
+
+def set_thresholds(index: Index, thresholds: DataFrame, words: int) -> Index:
+    """The index with thresholds for all its words, which makes them all initialised; refused if there aren't exactly as many."""
+    ids = index.word_model.select("word_id", "v")
+    return replace(index, word_model=word_model(fitting(thresholds, words, True), ids.select("word_id")).join(ids, "word_id"))
+
+
+def counters(index: Index) -> DataFrame:
+    """(words, words_in_use, images, postings, longest_list): one row, what a build reports on the way."""
+    lists = list_lengths(index.postings).agg(F.count("*").alias("words_in_use"), F.coalesce(F.sum("n"), F.lit(0)).alias("postings"), F.coalesce(F.max("n"), F.lit(0)).alias("longest_list"))
+    words, images = index.word_model.agg(F.count("*").alias("words")), index.postings.agg(F.count_distinct("image_id").alias("images"))
+    rows = words.unionByName(lists, allowMissingColumns=True).unionByName(images, allowMissingColumns=True)
+    return rows.agg(*[F.max(c).alias(c) for c in ("words", "words_in_use", "images", "postings", "longest_list")])
+
+
 def add(index: Index, features: DataFrame, words: int) -> Index:
     """The index with more features; postings are only ever added."""
     more = posting_rows(checked(features, words), index.word_model)

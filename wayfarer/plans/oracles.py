@@ -110,6 +110,7 @@ ORACLES = {
     "bit_balance": sql("select word_id, (s * 8 + k)::int as bit, round(avg((byte >> k) & 1), 6) as ones from dc join (select unnest(range(0, 8))::int as k) t on true group by all"),
     "image_postings_lookup": sql("select image_id, count(*) as n_postings, count(distinct word_id) as n_words from db group by image_id"),
     "list_lengths": sql("select word_id, count(*) as n from db group by word_id"),
+    "index_counters": sql("select 10::bigint as words, (select count(distinct word_id) from db) as words_in_use, (select count(distinct image_id) from db) as images, (select count(*) from db) as postings, (select max(n) from (select count(*) as n from db group by word_id) t) as longest_list"),
     "text_idf": r"with t as (select distinct doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) as word from documents) select word, round(ln((select count(distinct doc_id) from t)::double / count(*)), 6) as idf from t group by word",
     "order_norms": "with p as (select l_orderkey, l_partkey from lineitem), i as (select l_partkey, ln((select count(distinct l_orderkey) from p)::double / count(distinct l_orderkey)) as idf from p group by l_partkey) select l_orderkey, round(case when sum(idf * idf) > 0 then 1 / sqrt(sum(idf * idf)) else 0 end, 6) as norm from p join i using (l_partkey) group by l_orderkey",
     "all_rankings": sql(

@@ -216,6 +216,10 @@ def list_lengths(spark, sf):
     return I.list_lengths(T.postings(spark, sf))
 
 
+def index_counters(spark, sf):
+    return I.counters(T.index(spark, sf))
+
+
 def text_idf(spark, sf):
     """The same weights for the words of documents."""
     docs = spark.read.parquet(f"{sf}/documents.parquet").where("text is not null")
@@ -257,7 +261,7 @@ QUERIES = {
         root_sift_quantize, canonical_ellipse, hamming_thresholds_upper_median, binarize_codes, hamming_histogram, subbyte_occurrence, density_p, sigma_table, density_norm,
         sigma_final, idf_weights, image_norms, query_self_similarity, vote_pairs, burst_normalized_votes, image_scores, retrieval_topk, knn_words_exact, knn_words_lsh,
         soft_assignment, dedup_consecutive_lines, descriptor_cap_per_word, ellipse_area_scale_test, affine_hypotheses, hypothesis_inliers_sql, effective_inlier_area,
-        rank_inlier_count, rank_effective, rank_inter_image, place_assignment, rank_inter_place, rank_inter_place_popularity, bit_balance, image_postings_lookup, list_lengths,
+        rank_inlier_count, rank_effective, rank_inter_image, place_assignment, rank_inter_place, rank_inter_place_popularity, bit_balance, image_postings_lookup, list_lengths, index_counters,
         text_idf, order_norms, best_hypothesis, verify_lo, one_to_one_matches, all_rankings,
     )
 }
