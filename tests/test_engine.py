@@ -333,6 +333,21 @@ def test_similarities_recover_their_maps():
     assert np.allclose(verify.similarity_maps(one, two, True)[:, :, :2], r) and np.allclose(verify.similarity_maps(one, two, False)[0, :, :2], s * np.eye(2))
 
 
+def test_tables_of_several_queries_are_made_again(spark):
+    """Whoever empties the shared folder only makes queries slower."""
+    import pathlib
+    import shutil
+
+    from wayfarer.sources.store import shared_dir
+
+    first = registry.QUERIES["verify_lo"](spark, SF).toPandas()
+    assert testbed.index(spark, SF) is testbed.index(spark, SF)
+    for folder in pathlib.Path(shared_dir(spark)).glob("wayfarer-*"):
+        shutil.rmtree(folder)
+    again = registry.QUERIES["verify_lo"](spark, SF).toPandas()
+    assert sorted(map(tuple, first.values.tolist())) == sorted(map(tuple, again.values.tolist()))
+
+
 CHEAP = ["root_sift_quantize", "canonical_ellipse", "hamming_thresholds_upper_median", "binarize_codes", "sigma_table", "vote_pairs", "retrieval_topk", "knn_words_exact", "place_assignment", "rank_inter_place_popularity", "dedup_consecutive_lines", "affine_hypotheses", "order_norms", "index_counters", "rank_inlier_count", "rank_effective", "best_hypothesis", "verify_lo", "one_to_one_matches", "all_rankings"]
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import features as O
 from ..operators import index as I
 from ..operators import retrieve, verify
-from ..sources.store import Steps
+from ..sources.store import Steps, is_there
 
 #: What a feature shows, as the number of a vector.
 SOURCE = "case when vec_id % 10 = 0 then case when vec_id % 100 < 90 then vec_id - vec_id % 100 + (vec_id % 100) div 10 + 1 else vec_id end when (vec_id div 10) % 10 in (1, 2) and vec_id % 10 <= 7 then vec_id - 10 * ((vec_id div 10) % 10) else vec_id end"
@@ -35,9 +35,11 @@ _MADE: dict[tuple, object] = {}
 
 def _once(spark: SparkSession, sf: str, name: str, make):
     key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _MADE:
-        _MADE[key] = make()
-    return _MADE[key]
+    made = _MADE.get(key)
+    tables = [getattr(made, t) for t in I.TABLES] if isinstance(made, I.Index) else [made]
+    if made is None or not is_there(spark, *tables):
+        made = _MADE[key] = make()
+    return made
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:

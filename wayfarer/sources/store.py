@@ -36,6 +36,11 @@ def _files(spark: SparkSession, name: str):
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def is_there(spark: SparkSession, *tables: DataFrame) -> bool:
+    """Whether the files of these steps are still there."""
+    return all(files.exists(path) for path, files in (_files(spark, t._step) for t in tables))
+
+
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
     """Deletes the steps that are made inside at its end: for results that have been written by then."""
