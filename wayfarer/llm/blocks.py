@@ -21,7 +21,7 @@ from .common import Steps, slices
 
 BLOCK_BYTES = 1 << 21
 BLOCK_DOCS = 1 << 20
-BUCKET_KEYS = 1 << 20
+BUCKET_KEYS = 1 << 19
 #: A null id stands before all others.
 NULL_ID = -(2**63)
 MOST = 127
@@ -152,7 +152,8 @@ def shared(blocks: DataFrame, keys_of, n_keys: int, many: int | None = None) ->
         return pa.table({"block": table["block"], "bucket": table["bucket"], "counts": pa.array([out[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())})
 
     sent = blocks.mapInArrow(send, "bucket int, block long, keys binary, twice binary")
-    answers = sent.groupBy("bucket").applyInArrow(answer, "block long, bucket int, counts binary")
+    parts = partitions(blocks, n_keys * (7 if many else 5))
+    answers = sent.repartition(parts, "bucket").groupBy("bucket").applyInArrow(answer, "block long, bucket int, counts binary")
     return answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "counts"))).alias("answers")).select("block", F.col("answers.counts").alias("counts"))
 
 

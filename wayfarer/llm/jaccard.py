@@ -33,6 +33,8 @@ WORDS = 5
 PERCENT = 75
 GROUP = 256
 PIVOTS = 8
+#: Sets of small groups that one call sees, about.
+SETS = 1024
 PLACES = table_of_bytes(37)
 
 
@@ -149,16 +151,20 @@ def ranked(keys: list[bytes], met: list[bytes]) -> list[tuple[int, ...]]:
 
 
 def linked(dealt: DataFrame, keys: list[str], across: bool, percent: int) -> DataFrame:
-    """Links (a, b) within each task, a group by `keys` of (side, rep, top, n, tokens, met); across: between the two sides alone. Sets of one `top` are joined already."""
+    """Links (a, b) within each group of (label, side, rep, top, n, tokens, met), several groups of a key in one call; across: between the two sides alone. Sets of one `top` are joined already."""
 
     def run(key, table):
         del key
         sets = ranked(table["tokens"].to_pylist(), table["met"].to_pylist())
-        columns = [table[c].to_pylist() for c in ("side", "rep", "n")]
-        found = forest(sorted(zip(*columns, sets, strict=True)), across, percent, dict(zip(columns[1], table["top"].to_pylist(), strict=True)))
+        groups: dict[int, list[tuple]] = {}
+        for label, top, *row in zip(*(table[c].to_pylist() for c in ("label", "top", "side", "rep", "n")), sets, strict=True):
+            groups.setdefault(label, []).append((tuple(row), top))
+        found = []
+        for rows in groups.values():
+            found += forest(sorted(r for r, _ in rows), across, percent, {r[1]: top for r, top in rows})
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return dealt.select(*keys, "side", "rep", "top", "n", "tokens", "met").groupBy(*keys).applyInArrow(run, "a long, b long")
+    return dealt.select(*dict.fromkeys([*keys, "label"]), "side", "rep", "top", "n", "tokens", "met").groupBy(*keys).applyInArrow(run, "a long, b long")
 
 
 def around_pivots(big: DataFrame, group: int, percent: int) -> DataFrame:
@@ -254,8 +260,10 @@ def jaccard_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
     grouped = salted(reps.join(groups, reps["rep"] == groups["node"]), sizes, ["label"], "rep")
     band = F.when(F.col("size") <= group, 0).otherwise(F.floor(F.log(F.col("n")) / F.lit(math.log(100 / percent) if percent < 100 else 1.0) + 1)).cast("int")
     grouped = steps.write(grouped.select("label", "size", band.alias("band"), "rep", "n", "tokens", "met"))
-    small = grouped.where(F.col("size") <= group).withColumns({"task": F.lit(0), "side": F.lit(0), "top": F.col("rep")})
-    links = linked(small, ["label", "task"], False, percent)
+    small = grouped.where(F.col("size") <= group)
+    tasks = max(1, small.count() // SETS)  # small groups, some in a call
+    small = small.withColumns({"task": F.pmod(F.xxhash64("label"), F.lit(tasks)), "side": F.lit(0), "top": F.col("rep")})
+    links = linked(small, ["task"], False, percent)
     big = grouped.where(F.col("size") > group)
     if big.limit(1).count():
         links = steps.write(links.union(around_pivots(big, group, percent)))
