@@ -41,7 +41,7 @@ def assign_places(verified: DataFrame, positions: DataFrame, radius_squared: flo
     """
     placed = verified.join(positions, "image_id", "left").withColumn("px", F.when(F.col("px").isNull() | F.col("py").isNull(), F.raise_error(F.lit("an image has no position"))).otherwise(F.col("px")))
 
-    def each(pdf: pd.DataFrame) -> pd.DataFrame:
+    def each(pdf):
         pdf = pdf.sort_values(["num_inliers", "retrieval_rank"], ascending=[False, True])
         return pdf[["query_id", "image_id"]].assign(place_id=places(pdf[["px", "py"]].to_numpy(float), radius_squared))
 

@@ -254,7 +254,7 @@ def verify(matches: DataFrame, model: str = "affine", matching: str = "all") ->
     """
     first, second = ("q_x", "q_y", "q_a", "q_b", "q_c"), ("x", "y", "a", "b", "c")
 
-    def each(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def each(key, pdf):
         names = [f.split()[0] for f in VERIFIED.split(", ")]
         n = len(pdf)  # votes, those of one pair of features under several words included
         pdf = pdf.sort_values(["feature_id", "posting_id", "word_id"]).drop_duplicates(["feature_id", "posting_id"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -13,8 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Folders made here, by application.
 _OWN: dict[str, str] = {}
-#: Folders of steps that the current temporary() blocks will delete, innermost last.
-_OPEN: list[list[str]] = []
+
+
+class _Open(threading.local):
+    """Folders of steps that the thread's temporary() blocks will delete, innermost last: streams run in threads of their own."""
+
+    def __init__(self):
+        self.blocks: list[list[str]] = []
+
+
+_OPEN = _Open()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,11 +53,11 @@ def is_there(spark: SparkSession, *tables: DataFrame) -> bool:
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
     """Deletes the steps that are made inside at its end: for results that have been written by then."""
-    _OPEN.append([])
+    _OPEN.blocks.append([])
     try:
         yield
     finally:
-        for name in _OPEN.pop():
+        for name in _OPEN.blocks.pop():
             path, files = _files(spark, name)
             files.delete(path, True)
 
@@ -60,8 +69,8 @@ class Steps:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/wayfarer-{name}-{uuid.uuid4().hex}"
         self.count = 0
-        if _OPEN:
-            _OPEN[-1].append(self.base)
+        if _OPEN.blocks:
+            _OPEN.blocks[-1].append(self.base)
         path, files = _files(spark, self.base)
         files.deleteOnExit(path)  # what a result still reads goes with the application at the latest
 

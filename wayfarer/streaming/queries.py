@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.index import Index
 from ..operators.retrieve import TOP
 from ..plans.pipeline import query
+from ..sources.store import temporary
 
 
 def query_stream(stream: DataFrame, index: Index, positions: DataFrame, path: str, checkpoint: str, k: int = TOP, **trigger) -> StreamingQuery:
@@ -18,7 +19,8 @@ def query_stream(stream: DataFrame, index: Index, positions: DataFrame, path: st
 
     def each(batch: DataFrame, number: int) -> None:
         batch.persist()
-        query(index, batch, positions, k).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        with temporary(batch.sparkSession):
+            query(index, batch, positions, k).write.mode("overwrite").parquet(f"{path}/batch={number}")
         batch.unpersist()
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
