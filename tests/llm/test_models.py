@@ -175,11 +175,15 @@ def test_a_machine_of_all_clean_words():
     assert np.mean((model.word_margins(*toxicity.joined(harmless)) > 0) == (whole.word_margins(*toxicity.joined(harmless)) > 0)) > 0.99
 
 
-def test_near_copies_count_once():
+def test_what_copies_share_counts_once():
     rng = random.Random(2)
-    texts = [prose(rng, "en", 60) for _ in range(20)]
-    words = [toxicity.cut(*toxicity.words_of([t])[:2]) for t in [*texts, *(t + " and more" for t in texts), "", "one"]]
-    assert toxicity.apart(words) == [*range(20), 40, 41]
+    texts = [prose(rng, "en", 60) + ". " for _ in range(20)]
+    passage = "qua que qui quo quu. "
+    docs = [toxicity.sentences(t) for t in [*texts, *(t + "some more words" for t in texts), *(passage + t[::-1] for t in texts[:3]), "", "one"]]
+    got = toxicity.fresh(docs)
+    assert [len(w) for w in got[20:40]] == [3, *[0] * 19] and all(got[k] == {w for s in docs[k] for w in s} for k in range(20))
+    shared = set(as_words("qua", "que", "qui", "quo", "quu"))
+    assert shared <= got[40] and not shared & got[41] and not shared & got[42] and got[43:] == [set(), set(as_words("one"))]
 
 
 def test_toxicity(spark):
@@ -202,5 +206,8 @@ def test_toxicity_odd_cases(spark):
     assert {r.score for r in toxicity.score(df, None).collect()} == {0.0}
     more = spark.createDataFrame([(i, "you idiot here", 1) for i in range(10, 20)] + [(i, f"some words {i}", 0) for i in range(20, 40)] + [(50, "x", None), (None, "y", 1)], "doc_id long, text string, toxic int")
     model = toxicity.train(more.select("doc_id", "text"), more.select("doc_id", "toxic"))
+    long = spark.createDataFrame([(i, f"some clean words {i} " * 5000, 0) for i in range(30)] + [(i, f"you idiot {i} " * 5000, 1) for i in range(100, 130)], "doc_id long, text string, toxic int")
+    few = toxicity.train(long.select("doc_id", "text"), long.select("doc_id", "toxic"), training_bytes=300_000)
+    assert few is not None and toxicity.train(long.select("doc_id", "text"), long.select("doc_id", "toxic"), training_bytes=1) is not None
     out = toxicity.score(df, model)
     assert out.columns == ["doc_id", "text", "score", "predicted"] and out.count() == 6 and out.where("score between 0 and 1").count() == 6

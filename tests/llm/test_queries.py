@@ -87,3 +87,12 @@ def test_predictions(spark, docs):
     assert np.mean([r.lang_pred == docs[r.doc_id].lang for r in rows if r.held_out]) > 0.95
     rows = QUERIES["op10_toxicity"](spark, SF).collect()
     assert len(rows) == len(docs) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == (r.score >= 0.5) and 0 <= r.score <= 1 for r in rows)
+
+
+def test_toxic_documents_held_out(spark):
+    """At sf0.01 few documents are labelled toxic; those held out still stand apart from the clean ones."""
+    sf = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null").collect()}
+    rows = [r for r in QUERIES["op10_toxicity"](spark, sf).collect() if r.held_out and r.doc_id in labels]
+    toxic, clean = ([r.score for r in rows if labels[r.doc_id] == y] for y in (1, 0))
+    assert toxic and np.mean([s > c for s in toxic for c in clean]) > 0.8 and np.mean([s >= 0.5 for s in clean]) < 0.1

@@ -28,8 +28,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import fold, lanes_of, mix, slices
+from .common import fold, lanes_of, slices
 from .windows import spread
 
 DECAY = 0.6
@@ -40,6 +41,8 @@ BITS = 6
 BEGIN = 63
 #: Labelled documents that the model sees at most, about, of either label; chosen by a hash of the id.
 TRAINING_DOCS = 2000
+#: Bytes of text of either label that the driver holds at most; a single text may be longer.
+TRAINING_BYTES = 64 << 20
 #: Landmarks, and frequent harmless words among them, at least; telling fragments are landmarks whatever their number.
 LANDMARKS = 96
 HARMLESS = 32
@@ -315,20 +318,23 @@ def telling(toxic: list[set[bytes]], other: list[set[bytes]]) -> tuple[list[byte
     return chosen, good
 
 
-def apart(texts: list[list[bytes]], bands: int = 3) -> list[int]:
-    """One text of each group of near copies, the first: texts go together whose smallest hashes of three words in a row agree, twice in a band.
+def fresh(docs: list[list[list[bytes]]]) -> list[set[bytes]]:
+    """Of each document's sentences the words that stand between other words than in all documents before, at least once.
 
-    What only copies of one text have in common tells nothing about others.
+    What near copies of one text, or documents with a passage in common, have in common tells nothing about others: it counts once.
     """
-    first: dict[tuple, int] = {}
+    seen: set[int] = set()
     out = []
-    keys = np.random.Generator(np.random.PCG64(67)).integers(0, 2**63, 2 * bands, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    for k, words in enumerate(texts):
-        h = np.array([xxhash.xxh3_64_intdigest(b" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))], np.uint64)
-        low = [int(mix(h ^ x).min()) for x in keys]
-        seen = [first.setdefault((b, low[2 * b], low[2 * b + 1]), k) for b in range(bands)]
-        if min(seen) == k:
-            out.append(k)
+    for sents in docs:
+        words, own = set(), set()
+        for s in sents:
+            for before, w, after in zip([b"", *s], s, [*s[1:], b""], strict=False):
+                key = xxhash.xxh3_64_intdigest(b"\0".join((before, w, after)))
+                own.add(key)
+                if key not in seen:
+                    words.add(w)
+        seen |= own
+        out.append(words)
     return out
 
 
@@ -380,17 +386,14 @@ def fit(docs: list[tuple[str, int]], seed: int = 5) -> Model | None:
     own = [d for k, d in enumerate(docs) if k % 3] or docs
     if len({y for _, y in own}) < 2:
         own = docs
-    cases = []
-    for label in (0, 1):
-        same = [sentences(t) for t, y in own if y == label]
-        cases += [(same[k], label) for k in apart([[w for s in c for w in s] for c in same])]
-    toxic, other = ([{w for s in c for w in s} for c, y in cases if y == label] for label in (1, 0))
+    cases = [(sentences(t), y) for t, y in own]
+    toxic, other = (fresh([c for c, y in cases if y == label]) for label in (1, 0))
     if not toxic or not other:
         return None
     chosen, good_fragments = telling(toxic, other)
     tells = lambda w: any(w[:k] in good_fragments for k in range(1, len(w) + 1))
     count = Counter(w for d in other for w in d)
-    harmless = sorted(count)
+    harmless = sorted({w for c, y in cases if not y for s in c for w in s})
     frequent = sorted((w for w in harmless if len(w) >= ORDER), key=lambda w: (-count[w], w))[: max(HARMLESS, LANDMARKS - len(chosen))]
     # sentences of toxic documents with a telling fragment are toxic by these words
     good = sorted({w for c, y in cases if y for s in c for w in s if tells(w)} | set(chosen))
@@ -428,8 +431,8 @@ def held_out(doc_id: str = "doc_id"):
     return fold(doc_id) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", training_docs: int = TRAINING_DOCS) -> Model | None:
-    """The model of a bounded sample of the labelled documents; each distinct text counts once. None unless both labels occur.
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", training_docs: int = TRAINING_DOCS, training_bytes: int = TRAINING_BYTES) -> Model | None:
+    """The model of a bounded sample of the labelled documents, whole texts; each distinct text counts once. None unless both labels occur.
 
     Rows without an id, a text or a label are left out; a document with several labels is toxic if one of them says so.
     """
@@ -439,9 +442,12 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     if len(n) < 2:
         return None
     limit = {y: (1 << 30) if c <= training_docs else int(training_docs / c * (1 << 30)) for y, c in n.items()}
-    # about 2 x training_docs ids, whatever the corpus: the texts are read where they lie
+    # about 2 x training_docs ids, whatever the corpus: the texts are read where they lie, and as many reach the driver as training_bytes allow
     some = marks.where(at < F.when(F.col("y") > 0, limit[True]).otherwise(limit[False]))
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("text is not null").join(F.broadcast(some), "id").select("text", "y").collect()
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("text is not null").join(F.broadcast(some), "id").dropDuplicates(["text", "y"])
+    line = Window.partitionBy(F.col("y") > 0).orderBy(F.xxhash64("text"), "text")
+    room = F.sum(F.octet_length("text").cast("long")).over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)) <= training_bytes
+    rows = rows.select("text", "y", room.alias("room"), F.row_number().over(line).alias("place")).where("room or place = 1").select("text", "y").collect()
     seen: dict[str, int] = {}
     for r in rows:
         seen[r.text] = max(seen.get(r.text, 0), int(r.y > 0))
