@@ -176,14 +176,13 @@ def test_a_machine_of_all_clean_words():
 
 
 def test_what_copies_share_counts_once():
-    rng = random.Random(2)
-    texts = [prose(rng, "en", 60) + ". " for _ in range(20)]
-    passage = "qua que qui quo quu. "
-    docs = [toxicity.sentences(t) for t in [*texts, *(t + "some more words" for t in texts), *(passage + t[::-1] for t in texts[:3]), "", "one"]]
+    texts = [" ".join(f"{x}{y}" for y in ("bo", "ka", "mu", "zi")) for x in ("ra", "te", "po", "su")]
+    passage = "qua que qui quo quu"
+    docs = [toxicity.sentences(t) for t in [*texts, *(f"{t}. some more words" for t in texts), *(f"{passage}. {t} {t[::-1]}" for t in texts[:3]), "", "one"]]
     got = toxicity.fresh(docs)
-    assert [len(w) for w in got[20:40]] == [3, *[0] * 19] and all(got[k] == {w for s in docs[k] for w in s} for k in range(20))
+    assert [len(w) for w in got] == [4, 4, 4, 4, 3, 0, 0, 0, 10, 5, 5, 0, 1]  # a copy has nothing new; a new neighbour counts
     shared = set(as_words("qua", "que", "qui", "quo", "quu"))
-    assert shared <= got[40] and not shared & got[41] and not shared & got[42] and got[43:] == [set(), set(as_words("one"))]
+    assert shared <= got[8] and not shared & got[9] and not shared & got[10] and got[12] == set(as_words("one"))
 
 
 def test_toxicity(spark):
