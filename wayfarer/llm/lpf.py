@@ -77,7 +77,7 @@ def block_runs(window: int, gram: int):
             runs = W.runs_in_order(anchor, np.cumsum(valid[:-1], dtype=np.int8) > 0, doc, h)
             tag = total[runs.first + runs.count + window - 1] - total[runs.first]
             runs.tags = (mix(tag * POWERS.get(len(part))[1][runs.first]) >> np.uint64(48)).astype(np.int64)
-            runs.first = runs.first + a
+            runs.first, runs.keys = runs.first + a, mix(runs.keys ^ LETTERS[0])  # smallest hashes crowd together, keys must not
             found.append(runs)
         return W.Runs.joined(found)
 
