@@ -93,11 +93,14 @@ def lanes_of(text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndar
 
 
 def salted(big: DataFrame, small: DataFrame, on: list[str], by: str, salts: int = 8, how: str = "inner") -> DataFrame:
-    """big joined to small, which has one row a key at most: a hot key's rows of `big` are dealt by the column `by` to several tasks, each with a copy of the small row."""
+    """big joined to small, which has one row a key at most: a hot key's rows of `big` are dealt by the column `by` to several tasks, each with a copy of the small row.
+
+    The small side grows with the corpus, so it is never broadcast, however small it may be at first.
+    """
     salt = hidden(big, "salt")
     dealt = big.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
     copies = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return dealt.join(copies, [*on, salt], how).drop(salt)
+    return dealt.join(copies.hint("merge"), [*on, salt], how).drop(salt)
 
 
 class Powers:

@@ -20,7 +20,7 @@ def components(edges: DataFrame, steps: Steps) -> DataFrame:
     e = steps.write(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a <> b").distinct())
     while True:
         low = steps.write(e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
-        deep = e.select("v").distinct().join(low.select(F.col("u").alias("v")), "v", "left_semi")
+        deep = e.select("v").distinct().join(low.select(F.col("u").alias("v")).hint("merge"), "v", "left_semi")
         if not low.where("n > 1").limit(1).count() and not deep.limit(1).count():
             steps.drop(low)
             return e.select(F.col("u").alias("node"), F.col("v").alias("label")).union(e.select("v", "v").distinct())

@@ -187,7 +187,7 @@ def across_components(big: DataFrame, tops: DataFrame, group: int, steps: Steps)
 
     A group that is one component by now has nothing left.
     """
-    whole = steps.write(big.join(tops, big["rep"] == tops["node"], "left").select(big["label"], "band", "rep", "n", "tokens", "met", F.coalesce(tops["label"], "rep").alias("top")))
+    whole = steps.write(big.join(tops.hint("merge"), big["rep"] == tops["node"], "left").select(big["label"], "band", "rep", "n", "tokens", "met", F.coalesce(tops["label"], "rep").alias("top")))
     sizes = whole.groupBy("label", "top").agg(F.count("*").alias("sets"))
     largest = sizes.groupBy("label").agg(F.max_by("top", F.struct("sets", "top")).alias("largest"), F.count("*").alias("tops")).where("tops > 1").drop("tops")
     rest = salted(whole, largest, ["label"], "rep")
@@ -257,7 +257,7 @@ def jaccard_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
     tied = salted(posts, least, ["token"], "rep").where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
     groups = steps.write(components(tied, steps))
     sizes = groups.groupBy("label").agg(F.count("*").alias("size"))
-    grouped = salted(reps.join(groups, reps["rep"] == groups["node"]), sizes, ["label"], "rep")
+    grouped = salted(reps.join(groups.hint("merge"), reps["rep"] == groups["node"]), sizes, ["label"], "rep")
     band = F.when(F.col("size") <= group, 0).otherwise(F.floor(F.log(F.col("n")) / F.lit(math.log(100 / percent) if percent < 100 else 1.0) + 1)).cast("int")
     grouped = steps.write(grouped.select("label", "size", band.alias("band"), "rep", "n", "tokens", "met"))
     small = grouped.where(F.col("size") <= group)
@@ -270,7 +270,7 @@ def jaccard_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
         tops = steps.write(components(links, steps))
         links = links.union(linked(across_components(big, tops, group, steps), ["label", "low", "i", "high", "j"], True, percent))
     labels = components(links, steps)
-    classes = reps.join(labels, reps["rep"] == labels["node"], "left").select("h1", "h2", "n", F.coalesce("label", "rep").alias("top"), "least_id")
+    classes = reps.join(labels.hint("merge"), reps["rep"] == labels["node"], "left").select("h1", "h2", "n", F.coalesce("label", "rep").alias("top"), "least_id")
     names = classes.groupBy("top").agg(F.min("least_id").alias("component"))
     named = salted(classes.select("h1", "h2", "n", "top"), names, ["top"], "h1").drop("top")
     whole = salted(some.select("row", "id", "n", "h1", "h2"), named, ["h1", "h2", "n"], "row").select("id", "n", "component").union(sets.where("tokens is null").select("id", "n", "id"))
