@@ -2,11 +2,13 @@
 
 import random
 
-import corpus_pipeline
+import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.test_models import corpus, prose
 
+corpus_pipeline = pytest.importorskip("corpus_pipeline")
+
 
 def test_texts_of_no_learned_language_go(spark):
     rng = random.Random(4)

@@ -161,6 +161,6 @@ def counts_of(row: dict) -> np.ndarray:
     return np.frombuffer(b"".join(row["counts"] or []), np.uint8)
 
 
-def partitions(df: DataFrame, n_bytes: int, each: int = 1 << 22, most: int = 1 << 15) -> int:
+def partitions(df: DataFrame, n_bytes: int, each: int = 1 << 23, most: int = 1 << 15) -> int:
     """Partitions for an exchange of texts of n_bytes, or what is made of them: the session's number, or more so that each stands for about `each` bytes."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(most, n_bytes // each))
