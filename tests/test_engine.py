@@ -199,6 +199,14 @@ def test_an_index_of_its_own_is_exported(spark, scene, tmp_path):
     assert again.postings.select(keep).exceptAll(index.postings.select(keep)).count() == 0 and again.postings.count() == index.postings.count()
 
 
+def test_weights_worked_out_anew(scene):
+    index = scene[0]
+    six = lambda df, c: df.withColumn(c, F.round(c, 9))
+    weights, norms = pipeline.compute_index_weights(index)
+    assert six(weights, "idf").exceptAll(six(index.idf, "idf")).count() == 0 == six(norms, "norm").exceptAll(six(index.image_norm, "norm")).count()
+    assert weights.count() == WORDS and norms.count() == 18
+
+
 def test_thresholds_that_do_not_fit(spark, scene):
     index, database, _, _ = scene
     thresholds = index.word_model.select("word_id", "thresholds")
