@@ -371,5 +371,29 @@ def test_registered_query_equals_its_sql(spark, name):
     assert rows(got) == rows(want)
 
 
+@pytest.fixture(scope="module")
+def hot_word(tmp_path_factory):
+    """A folder whose vectors nearly all have one label: more than the 10,000 descriptors that the tool's thresholds see of a word."""
+    rng, n = np.random.default_rng(5), 13_000
+    path = tmp_path_factory.mktemp("hot")
+    table = pd.DataFrame({"vec_id": np.arange(n), "embedding": list((rng.normal(0, 1, (n, 1)) * (np.arange(64) < 32) + rng.normal(0, 0.3, (n, 64))).astype(np.float32)), "label": np.where(np.arange(n) < 600, np.arange(n) // 60, 3).astype(np.int32)})
+    table.to_parquet(path / "embeddings.parquet")
+    return str(path)
+
+
+HOT = ["density_norm"]
+
+
+@pytest.mark.parametrize("name", HOT)
+def test_thresholds_of_queries_see_every_descriptor(spark, hot_word, name):
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{hot_word}/embeddings.parquet'")
+    want = con.execute(registry.ORACLES[name]).df()
+    got = registry.QUERIES[name](spark, hot_word).toPandas()
+    assert sorted(got.columns) == sorted(want.columns)
+    rows = lambda d: sorted(map(tuple, d[sorted(d.columns)].astype(object).itertuples(index=False)), key=str)
+    assert rows(got) == rows(want)
+
+
 def test_every_query_has_a_name_once():
     assert set(registry.ORACLES) <= set(registry.QUERIES) and testbed.GEOMETRY

@@ -54,6 +54,16 @@ def test_upper_median(spark, values, want):
     assert O.hamming_thresholds(df, 1, least=10).count() == 0 and O.hamming_thresholds(df, 1, cap=1).first().thresholds[0] in values
 
 
+@pytest.mark.parametrize("n", [4, 7, 64, 501])
+def test_upper_median_of_more_descriptors_than_a_list_holds(spark, n):
+    rng = np.random.default_rng(n)
+    x = np.stack([rng.normal(0, 1, n), rng.integers(-2, 2, n), -np.exp(rng.normal(0, 20, n)), np.zeros(n) * rng.choice([-1, 1], n), rng.choice([-np.inf, np.inf, 1e-45], n)], 1).astype(np.float32)
+    rows = [(w, i, i, [float(v) for v in r]) for w, part in ((1, x), (2, x[:3]), (2**40, x[::-1][: n // 2 + 2])) for i, r in enumerate(part)]
+    df = spark.createDataFrame(rows, "word_id long, image_id int, feature_id int, proj array<float>")
+    got = {r.word_id: r.thresholds for r in O.hamming_thresholds(df, 5, cap=3, whole=True).collect()}
+    assert got == {w: np.sort(part, 0)[len(part) // 2].tolist() for w, part in ((1, x), (2, x[:3]), (2**40, x[::-1][: n // 2 + 2]))}
+
+
 def postings(spark, codes):
     rows = [(1, n, n, int(np.array([c], np.uint64).view(np.int64)[0])) for n, c in enumerate(codes)]
     return spark.createDataFrame(rows, "word_id long, posting_id long, image_id int, code long")

@@ -10,8 +10,13 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import columns as C
+from ..sources.store import Steps
 
 DESCRIPTORS_PER_WORD = 10_000
+#: Digits by which an entry's place among the floats is found, from the highest: four of eight bits.
+DIGITS = (24, 16, 8, 0)
+#: Up to so many words, of 512 bytes, are sent to the rows instead of the rows to them.
+NEAR_WORDS = 10_000
 
 
 def project(df: DataFrame, matrix: np.ndarray, descriptor: str = "descriptor", out: str = "proj") -> DataFrame:
@@ -36,16 +41,81 @@ def cap_per_word(df: DataFrame, cap: int = DESCRIPTORS_PER_WORD, seed: int = 0,
     return df.withColumn("rank_in_word", F.row_number().over(order)).where(F.col("rank_in_word") <= cap)
 
 
-def hamming_thresholds(df: DataFrame, n_bits: int = C.BITS, cap: int = DESCRIPTORS_PER_WORD, least: int = 1) -> DataFrame:
-    """(word_id, thresholds): for each bit the entry at place n div 2 of the word's sorted values, from 0.
+def hamming_thresholds(df: DataFrame, n_bits: int = C.BITS, cap: int = DESCRIPTORS_PER_WORD, least: int = 1, whole: bool = False) -> DataFrame:
+    """(word_id, thresholds): for each bit the entry at place n div 2 of the word's sorted values, from 0. Words of fewer than `least` are left out.
 
-    A word has at most `cap` descriptors here, so its list is bounded. Words of fewer than `least` are left out.
+    A word has at most `cap` descriptors here, as in the tool, so its list is bounded. With `whole` all descriptors count: words of more than `cap`
+    have no list, their entries are found by digits. The table is written then.
     """
-    lists = cap_per_word(df, cap).groupBy("word_id").agg(F.collect_list("proj").alias("rows")).where(F.size("rows") >= least)
+    if not whole:
+        return _middle_of_lists(cap_per_word(df, cap), n_bits, least)
+    steps = Steps(df.sparkSession, "thresholds")
+    df = df.where(F.col("proj").isNotNull())
+    long = steps.write(df.groupBy("word_id").agg(F.count("*").alias("n")).where((F.col("n") > cap) & (F.col("n") >= least)))
+    if long.isEmpty():  # as in most vocabularies
+        return steps.write(_middle_of_lists(df, n_bits, least))
+    lists = _middle_of_lists(df.join(long, "word_id", "left_anti"), n_bits, least)
+    return steps.write(lists.unionByName(_middle_by_digits(df.select("word_id", "proj").join(long.select("word_id"), "word_id"), long, n_bits, steps)))
+
+
+def _middle_of_lists(df: DataFrame, n_bits: int, least: int) -> DataFrame:
+    lists = df.groupBy("word_id").agg(F.collect_list("proj").alias("rows")).where(F.size("rows") >= least)
     middle = lambda b: F.element_at(F.sort_array(F.transform("rows", lambda r: F.element_at(r, b))), (F.floor(F.size("rows") / 2) + 1).cast("int"))
     return lists.select("word_id", F.transform(F.sequence(F.lit(1), F.lit(n_bits)), middle).alias("thresholds"))
 
 
+def _middle_by_digits(rows: DataFrame, sizes: DataFrame, n_bits: int, steps: Steps) -> DataFrame:
+    """The middle entries of words of any size, exactly: each pass over the rows counts the next digit of the entries that begin as the middle one does.
+
+    `sizes` has word_id and n. A word has n_bits x 256 counts at most, however many rows; floats are taken as whole numbers of the same order.
+    """
+    near = F.broadcast if sizes.count() <= NEAR_WORDS else lambda x: x
+    rows = steps.write(rows)
+    found = steps.write(sizes.select("word_id", F.explode(F.sequence(F.lit(0), F.lit(n_bits - 1))).alias("bit"), F.floor(F.col("n") / 2).alias("place"), F.lit(0).cast("long").alias("begin")))
+    running = Window.partitionBy("word_id", "bit").orderBy("digit")
+    for shift in DIGITS:
+        begins = found.groupBy("word_id").agg(F.sort_array(F.collect_list(F.struct("bit", "begin"))).getField("begin").alias("begins"))
+        counts = rows.join(near(begins), "word_id").mapInArrow(_digits(shift, n_bits), "word_id long, bit int, digit long, n long").groupBy("word_id", "bit", "digit").agg(F.sum("n").alias("n"))
+        placed = counts.withColumn("before", F.sum("n").over(running) - F.col("n")).join(found, ["word_id", "bit"])
+        here = placed.where((F.col("before") <= F.col("place")) & (F.col("place") < F.col("before") + F.col("n")))
+        last, found = found, steps.write(here.select("word_id", "bit", (F.col("place") - F.col("before")).alias("place"), (F.col("begin") * 256 + F.col("digit")).alias("begin")))
+        steps.drop(last)
+    steps.drop(rows)
+
+    def each(key, table):
+        out = np.empty(n_bits, np.float32)
+        out[table["bit"].to_numpy()] = _from_order(table["begin"].to_numpy())
+        return pa.table({"word_id": key[:1], "thresholds": pa.array([out], pa.list_(pa.float32()))})
+
+    return found.select("word_id", "bit", "begin").groupBy("word_id").applyInArrow(each, "word_id long, thresholds array<float>")
+
+
+def _in_order(x: np.ndarray) -> np.ndarray:
+    """Whole numbers below 2^32 in the order of the floats, NaN last; both zeros are one."""
+    u = np.where(np.isnan(x), np.float32(np.nan), x + np.float32(0)).view(np.uint32)
+    return np.where(u >> 31, ~u, u | np.uint32(1 << 31)).astype(np.int64)
+
+
+def _from_order(k: np.ndarray) -> np.ndarray:
+    u = k.astype(np.uint32)
+    return np.where(u >> 31, u & np.uint32((1 << 31) - 1), ~u).view(np.float32)
+
+
+def _digits(shift: int, n_bits: int):
+    """Counts (word_id, bit, digit, n) of the entries that begin as asked for, an Arrow batch at a time."""
+
+    def run(batches):
+        for b in batches:
+            word, at = np.unique(b.column("word_id").to_numpy(), return_inverse=True)
+            x, begins = (b.column(c).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, n_bits) for c in ("proj", "begins"))
+            k = _in_order(np.asarray(x, np.float32)) >> shift
+            place = ((at[:, None] * n_bits + np.arange(n_bits)) * 256 + (k & 255))[k >> 8 == begins]
+            place, n = np.unique(place, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(word[place // 256 // n_bits], pa.int64()), pa.array(place // 256 % n_bits, pa.int32()), pa.array(place % 256, pa.int64()), pa.array(n, pa.int64())], ["word_id", "bit", "digit", "n"])
+
+    return run
+
+
 def word_model(thresholds: DataFrame, words: DataFrame, n_bits: int = C.BITS, unused: DataFrame | None = None) -> DataFrame:
     """One row for each word: its thresholds, zeros if it had no descriptor, and whether it is in use. All are, an empty word too, but those of `unused` (word_id)."""
     zeros = F.array_repeat(F.lit(0.0).cast("float"), n_bits)
