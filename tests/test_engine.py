@@ -381,7 +381,7 @@ def hot_word(tmp_path_factory):
     return str(path)
 
 
-HOT = ["density_norm"]
+HOT = ["density_norm", "sigma_table"]
 
 
 @pytest.mark.parametrize("name", HOT)
