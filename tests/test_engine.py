@@ -381,7 +381,7 @@ def hot_word(tmp_path_factory):
     return str(path)
 
 
-HOT = ["density_norm", "sigma_table"]
+HOT = ["density_norm", "sigma_table", "subbyte_occurrence"]
 
 
 @pytest.mark.parametrize("name", HOT)
