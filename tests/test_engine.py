@@ -381,7 +381,7 @@ def hot_word(tmp_path_factory):
     return str(path)
 
 
-HOT = ["density_norm", "sigma_table", "subbyte_occurrence", "binarize_codes", "density_p"]
+HOT = ["density_norm", "sigma_table", "subbyte_occurrence", "binarize_codes", "density_p", "sigma_final"]
 
 
 @pytest.mark.parametrize("name", HOT)
