@@ -5,6 +5,8 @@ import os
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -395,5 +397,36 @@ def test_thresholds_of_queries_see_every_descriptor(spark, hot_word, name):
     assert rows(got) == rows(want)
 
 
+NULLS = ["sigma_table"]
+
+
+@pytest.fixture(scope="module")
+def vectors_with_nulls(tmp_path_factory):
+    """A folder with null vectors, null entries, one entry that is null in nearly all vectors of a word, and one that is NaN."""
+    rng, n = np.random.default_rng(3), 700
+    path = tmp_path_factory.mktemp("nulls")
+    rows, labels = [[float(x) for x in r] for r in rng.normal(0, 1, (n, 64)).astype(np.float32)], rng.integers(0, 10, n)
+    for i in range(n):
+        if i % 7 == 0:
+            rows[i][i % 64] = rows[i][5] = None
+        if labels[i] == 4 and i % 9:
+            rows[i][6] = None
+        if i % 8 == 0:
+            rows[i][7] = float("nan")
+        if i % 11 == 0:
+            rows[i] = None
+    pq.write_table(pa.table({"vec_id": pa.array(np.arange(n)), "embedding": pa.array(rows, pa.list_(pa.float32())), "label": pa.array(labels, pa.int32())}), path / "embeddings.parquet")
+    return str(path)
+
+
+@pytest.mark.parametrize("name", NULLS)
+def test_nulls_come_last_as_in_sql(spark, vectors_with_nulls, name):
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{vectors_with_nulls}/embeddings.parquet'")
+    got = registry.QUERIES[name](spark, vectors_with_nulls)
+    want = con.execute(f"select {', '.join(got.columns)} from ({registry.ORACLES[name]})").fetchall()
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_every_query_has_a_name_once():
     assert set(registry.ORACLES) <= set(registry.QUERIES) and testbed.GEOMETRY

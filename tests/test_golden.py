@@ -64,6 +64,15 @@ def test_upper_median_of_more_descriptors_than_a_list_holds(spark, n):
     assert got == {w: np.sort(part, 0)[len(part) // 2].tolist() for w, part in ((1, x), (2, x[:3]), (2**40, x[::-1][: n // 2 + 2]))}
 
 
+@pytest.mark.parametrize("cap", [3, 100])
+def test_upper_median_with_nulls_last(spark, cap):
+    nan = float("nan")
+    rows = [[1.0, None, nan], [2.0, None, 4.0], None, [3.0, None, nan], [0.0, 7.0, None]]
+    df = spark.createDataFrame([(1, i, i, r) for i, r in enumerate(rows)], "word_id long, image_id int, feature_id int, proj array<float>")
+    got = O.hamming_thresholds(df, 3, cap=cap, whole=True).first().thresholds
+    assert got[:2] == [2.0, None] and np.isnan(got[2])
+
+
 def postings(spark, codes):
     rows = [(1, n, n, int(np.array([c], np.uint64).view(np.int64)[0])) for n, c in enumerate(codes)]
     return spark.createDataFrame(rows, "word_id long, posting_id long, image_id int, code long")

@@ -17,6 +17,8 @@ DESCRIPTORS_PER_WORD = 10_000
 DIGITS = (24, 16, 8, 0)
 #: Up to so many words, of 512 bytes, are sent to the rows instead of the rows to them.
 NEAR_WORDS = 10_000
+#: The place of a null entry in that order: after all floats, NaN too.
+NULL = (1 << 32) - 1
 
 
 def project(df: DataFrame, matrix: np.ndarray, descriptor: str = "descriptor", out: str = "proj") -> DataFrame:
@@ -43,14 +45,16 @@ def cap_per_word(df: DataFrame, cap: int = DESCRIPTORS_PER_WORD, seed: int = 0,
 
 def hamming_thresholds(df: DataFrame, n_bits: int = C.BITS, cap: int = DESCRIPTORS_PER_WORD, least: int = 1, whole: bool = False) -> DataFrame:
     """(word_id, thresholds): for each bit the entry at place n div 2 of the word's sorted values, from 0. Words of fewer than `least` are left out.
+    Entries that are null or missing come last, also those of a null vector.
 
     A word has at most `cap` descriptors here, as in the tool, so its list is bounded. With `whole` all descriptors count: words of more than `cap`
     have no list, their entries are found by digits. The table is written then.
     """
+    entries = F.transform(F.sequence(F.lit(0), F.lit(n_bits - 1)), lambda b: F.get("proj", b))
+    df = df.withColumn("proj", F.when(F.size("proj") == n_bits, F.col("proj")).otherwise(entries))
     if not whole:
         return _middle_of_lists(cap_per_word(df, cap), n_bits, least)
     steps = Steps(df.sparkSession, "thresholds")
-    df = df.where(F.col("proj").isNotNull())
     long = steps.write(df.groupBy("word_id").agg(F.count("*").alias("n")).where((F.col("n") > cap) & (F.col("n") >= least)))
     if long.isEmpty():  # as in most vocabularies
         return steps.write(_middle_of_lists(df, n_bits, least))
@@ -60,7 +64,7 @@ def hamming_thresholds(df: DataFrame, n_bits: int = C.BITS, cap: int = DESCRIPTO
 
 def _middle_of_lists(df: DataFrame, n_bits: int, least: int) -> DataFrame:
     lists = df.groupBy("word_id").agg(F.collect_list("proj").alias("rows")).where(F.size("rows") >= least)
-    middle = lambda b: F.element_at(F.sort_array(F.transform("rows", lambda r: F.element_at(r, b))), (F.floor(F.size("rows") / 2) + 1).cast("int"))
+    middle = lambda b: F.get(F.sort_array(F.array_compact(F.transform("rows", lambda r: F.element_at(r, b)))), F.floor(F.size("rows") / 2).cast("int"))
     return lists.select("word_id", F.transform(F.sequence(F.lit(1), F.lit(n_bits)), middle).alias("thresholds"))
 
 
@@ -83,9 +87,10 @@ def _middle_by_digits(rows: DataFrame, sizes: DataFrame, n_bits: int, steps: Ste
     steps.drop(rows)
 
     def each(key, table):
-        out = np.empty(n_bits, np.float32)
-        out[table["bit"].to_numpy()] = _from_order(table["begin"].to_numpy())
-        return pa.table({"word_id": key[:1], "thresholds": pa.array([out], pa.list_(pa.float32()))})
+        out = np.empty(n_bits, np.int64)
+        out[table["bit"].to_numpy()] = table["begin"].to_numpy()
+        entries = pa.array(_from_order(out), pa.float32(), mask=out == NULL)
+        return pa.table({"word_id": key[:1], "thresholds": pa.ListArray.from_arrays(pa.array([0, n_bits], pa.int32()), entries)})
 
     return found.select("word_id", "bit", "begin").groupBy("word_id").applyInArrow(each, "word_id long, thresholds array<float>")
 
@@ -107,8 +112,11 @@ def _digits(shift: int, n_bits: int):
     def run(batches):
         for b in batches:
             word, at = np.unique(b.column("word_id").to_numpy(), return_inverse=True)
-            x, begins = (b.column(c).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, n_bits) for c in ("proj", "begins"))
-            k = _in_order(np.asarray(x, np.float32)) >> shift
+            x, begins = (b.column(c).flatten() for c in ("proj", "begins"))
+            k = _in_order(np.asarray(x.to_numpy(zero_copy_only=False), np.float32))
+            if x.null_count:
+                k[x.is_null().to_numpy(zero_copy_only=False)] = NULL
+            k, begins = k.reshape(b.num_rows, n_bits) >> shift, begins.to_numpy(zero_copy_only=False).reshape(b.num_rows, n_bits)
             place = ((at[:, None] * n_bits + np.arange(n_bits)) * 256 + (k & 255))[k >> 8 == begins]
             place, n = np.unique(place, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(word[place // 256 // n_bits], pa.int64()), pa.array(place // 256 % n_bits, pa.int32()), pa.array(place % 256, pa.int64()), pa.array(n, pa.int64())], ["word_id", "bit", "digit", "n"])
