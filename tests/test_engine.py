@@ -397,7 +397,7 @@ def test_thresholds_of_queries_see_every_descriptor(spark, hot_word, name):
     assert rows(got) == rows(want)
 
 
-NULLS = ["sigma_table", "subbyte_occurrence", "binarize_codes", "density_p"]
+NULLS = ["sigma_table", "subbyte_occurrence", "binarize_codes", "density_p", "sigma_final"]
 
 
 @pytest.fixture(scope="module")
